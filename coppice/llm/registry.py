@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from coppice.llm import chat, embedding_dedup, exact_dedup, language_id, licenses, mixing, packing, secrets
+from coppice.llm import chat, embedding_dedup, exact_dedup, language_id, licenses, line_dedup, mixing, ngram_join, packing, secrets
 
 QUERIES = {
     "op1_language_id": (language_id.op1_language_id, None),
     "op2_license_scan": (licenses.op2_license_scan, None),
     "op4_embedding_dedup": (embedding_dedup.op4_embedding_dedup, None),
     "op3_mixing": (mixing.op3_mixing, None),
+    "op5_line_dedup": (line_dedup.op5_line_dedup, None),
     "op6_exact_dedup": (exact_dedup.op6_exact_dedup, exact_dedup.SQL),
     "op7_chat_format": (chat.op7_chat_format, chat.SQL),
     "op8_packing": (packing.op8_packing, None),
     "op9_secret_scan": (secrets.op9_secret_scan, None),
+    "op10_ngram_join": (ngram_join.op10_ngram_join, None),
 }
 
 
