@@ -5,7 +5,7 @@
    rows) come to the driver, where the directory doubles until no bucket holds more than ``capacity``
    distinct keys. A bucket that the deepest directory can't split keeps its keys as chains.
 3. The directory's pointers (as many rows as it has slots, so of bounded size) route entries to buckets;
-   tasks that own buckets compare the texts of a key that occurs more than once byte for byte.
+   tasks that own buckets compare the texts of a key, a chain if there are several, byte for byte.
 Equal texts are combined before the shuffle, so a text that a third of all rows share is a few rows.
 """
 
@@ -67,15 +67,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumn("_key", F.xxhash64("_text"))
     entries = written(rows.select("_id", "_key", F.unhex(F.sha2("_text", 256)).alias("_digest")), "hash-index")
 
-    by_key = entries.groupBy("_key").agg(F.count("*").alias("_rows"))
-    keys = written(by_key.withColumn("_cell", _prefix(F.col("_key"), MAX_DEPTH)), "hash-keys")
-    cells = {r[0]: r[1] for r in keys.groupBy("_cell").count().collect()}  # 2 ** MAX_DEPTH rows at most
+    keys = entries.select("_key").distinct().groupBy(_prefix(F.col("_key"), MAX_DEPTH).alias("_cell")).count()
+    cells = {r[0]: r[1] for r in keys.collect()}  # 2 ** MAX_DEPTH rows at most
     depth, pointers = double_directory(cells, capacity)
     table = json.dumps([{"_slot": s, "_bucket": b, "_depth": d} for s, b, d in pointers])
     directory = spark.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<_slot: bigint, _bucket: bigint, _depth: int>>")))
 
-    chained = keys.where("_rows > 1").withColumn("_slot", _prefix(F.col("_key"), depth)).join(F.broadcast(directory), "_slot").select("_key", "_bucket")
-    owned = rows.join(chained, "_key")
+    owned = rows.withColumn("_slot", _prefix(F.col("_key"), depth)).join(F.broadcast(directory), "_slot")
     classes = (
         owned.groupBy("_bucket", "_key", "_text")  # the text is a grouping key: its bytes are compared
         .agg(F.max("_id").alias("_keep"), F.count("*").alias("_n"))
