@@ -162,9 +162,14 @@ def annotation_text(text: Column, pos: Column, length: Column, table: Column) ->
     return F.concat_ws("\n", around(text, pos, length), heads, F.array_join(table["cells"], " | "))
 
 
+def tags_of(text: Column, vocabulary: dict[str, list[str]]) -> Column:
+    """Every tag of which some pattern fires, in the vocabulary's order."""
+    return F.filter(F.array(*(F.when(any_of(text, patterns), tag) for tag, patterns in vocabulary.items())), lambda t: t.isNotNull())
+
+
 def roles_of(text: Column) -> Column:
-    """Every tag whose pattern fires; the outside tag goes where an aligned one fires."""
-    tags = F.filter(F.array(*(F.when(any_of(text, patterns), tag) for tag, patterns in ROLES.items())), lambda t: t.isNotNull())
+    """Tags of the closed vocabulary; the outside tag goes where an aligned one fires."""
+    tags = tags_of(text, ROLES)
     return F.when(F.arrays_overlap(tags, F.array(*(F.lit(t) for t in ALIGNED))), F.array_remove(tags, OUTSIDE)).otherwise(tags)
 
 

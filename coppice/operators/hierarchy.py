@@ -67,18 +67,24 @@ def parent_chain(nodes: DataFrame, hops: int = 3, parent: str = "parent_id") ->
 def preorder(nodes: DataFrame, parent: str = "parent_id") -> DataFrame:
     """Adds ``level`` (1 at roots), ``path`` and ``semantic_depth``; sorting by ``path`` gives the outline's order.
 
-    Levels are joined one by one until none is left, so depth bounds the rounds, not the number of nodes.
+    Pointers double: after round k a row knows its path over 2 ** k levels, so the rounds are few however
+    deep the outline is (``MAX_LEVELS`` at most; rows that only a cycle leads to are left out).
     """
-    base = nodes.select("*", F.lpad(F.col("ord").cast("string"), 12, "0").alias("_o"))
-    level = base.where(F.col(parent).isNull()).withColumn("level", F.lit(1)).withColumn("path", F.col("_o")).withColumn("_pn", F.lit(None).cast("string"))
-    out = level
-    for depth in range(2, MAX_LEVELS):
-        up = level.select(F.col("id").alias(parent), F.col("path").alias("_path"), F.col("doc_no").alias("_pn"))
-        level = base.join(up, parent).select(*nodes.columns, "_o", F.lit(depth).alias("level"), F.concat_ws("/", "_path", "_o").alias("path"), "_pn")
-        if level.isEmpty():
+    me = F.lpad(F.col("ord").cast("string"), 12, "0")
+    steps = nodes.select("id", F.col(parent).alias("_up"), F.lit(1).alias("level"), me.alias("path"))
+    checkpoints = nodes.sparkSession.sparkContext.getCheckpointDir() is not None
+    for _ in range(MAX_LEVELS.bit_length() - 1):
+        above = steps.select(F.col("id").alias("_a"), F.col("_up").alias("_next"), F.col("level").alias("_l"), F.col("path").alias("_p"))
+        steps = steps.join(above, F.col("_up") == F.col("_a"), "left").select(
+            "id", F.col("_next").alias("_up"), (F.col("level") + F.coalesce("_l", F.lit(0))).alias("level"), F.concat_ws("/", "_p", "path").alias("path")
+        )
+        if checkpoints:
+            steps = steps.checkpoint()
+        if steps.where("_up is not null").isEmpty():
             break
-        out = out.unionByName(level)
-    return out.withColumn("semantic_depth", docno.semantic_depth(F.col("doc_no"), F.col("_pn"))).drop("_o", "_pn")
+    up = nodes.select(F.col("id").alias("_pid"), F.col("doc_no").alias("_pn"))
+    out = nodes.join(steps.where("_up is null").drop("_up"), "id").join(up, F.col(parent) == F.col("_pid"), "left")
+    return out.withColumn("semantic_depth", docno.semantic_depth(F.col("doc_no"), F.col("_pn"))).drop("_pid", "_pn")
 
 
 def visible(outline: DataFrame, expanded: DataFrame, parent: str = "parent_id") -> DataFrame:
@@ -127,7 +133,14 @@ def neighbours(nodes: DataFrame, targets: DataFrame, window: int | None = 8, gro
     ranked = family.withColumn("_rn", F.row_number().over(W.partitionBy(group).orderBy(order)))
     me = ranked.join(wanted, F.col(key) == F.col("target")).select("target", F.col(group).alias("_g"), F.col("_rn").alias("_t"))
     gap = F.col("_rn") - F.col("_t")
-    beside = ranked.join(me, F.col(group).eqNullSafe(F.col("_g")) & (F.abs(gap) <= most)).select("target", F.when(gap < 0, "above").when(gap > 0, "below").otherwise("self").alias("section"), F.abs(gap).alias("pos"), F.col(key).alias("id"))
+    near = F.col(group).eqNullSafe(F.col("_g")) & (F.abs(gap) <= most)
+    if window is not None:
+        # Bands of window + 1 ranks: a target meets its own band and those beside it, not the whole family.
+        band = F.floor(F.col("_t") / (window + 1))
+        me = me.withColumn("_band", F.explode(F.array(band - 1, band, band + 1)))
+        ranked = ranked.withColumn("_in", F.floor(F.col("_rn") / (window + 1)))
+        near &= F.col("_in") == F.col("_band")
+    beside = ranked.join(me, near).select("target", F.when(gap < 0, "above").when(gap > 0, "below").otherwise("self").alias("section"), F.abs(gap).alias("pos"), F.col(key).alias("id"))
     above = mine.where(F.col(group).isNotNull()).select("target", F.lit("parent").alias("section"), F.lit(0).alias("pos"), F.col(group).alias("id"))
     kids = nodes.join(wanted, F.col(group) == F.col("target")).withColumn("pos", F.row_number().over(W.partitionBy("target").orderBy(order))).where(F.col("pos") <= most)
     return beside.unionByName(above).unionByName(kids.select("target", F.lit("child").alias("section"), "pos", F.col(key).alias("id")))

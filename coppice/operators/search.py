@@ -133,6 +133,8 @@ def score(index: DataFrame, stats: DataFrame, query: Query, key: str, boosts: di
     """``key, score, fields, matched``: documents in which a term occurs, every ``+`` term does and no ``-`` term does."""
     boosts = boosts or BOOSTS
     table = F.create_map(*(F.lit(x) for kv in boosts.items() for x in kv))
+    if not any(t.prefix or t.edits for t in query.terms):
+        index = index.where(F.col("term").isin(*{t.text for t in query.terms}))  # reaches the token scan
     hits = index.join(matching_terms(dictionary(index), query), ["field", "term"])
     hits = hits.join(F.broadcast(stats), "field")  # one row to a field
     part = bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl")) * F.coalesce(F.element_at(table, F.col("field")), F.lit(1.0)) * F.col("boost")

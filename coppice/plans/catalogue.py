@@ -10,7 +10,9 @@ FLAGSHIP = "bm25_search"
 
 
 def _modules() -> list:
-    return []
+    from coppice.plans import relational_queries, structure_queries, text_queries
+
+    return [text_queries, structure_queries, relational_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
