@@ -28,7 +28,7 @@ class Tools:
         return vectors.search(self.embeddings, self.nodes, self.embed(query), k, type)
 
     def get(self, id: str) -> DataFrame:  # noqa: A002
-        found = hierarchy.project(self.nodes.join(hierarchy.get(self.nodes, id).select("id"), "id", "left_semi"))
+        found = hierarchy.project(self.nodes).join(hierarchy.get(self.nodes, id).select("id"), "id", "left_semi")
         if found.isEmpty():
             raise KeyError(f"no node {id}")
         return found
