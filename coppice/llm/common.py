@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-
+from collections.abc import Iterator
+from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Rows and bytes to an Arrow batch: texts may be long, so batches stay small.
 ARROW_ROWS, ARROW_BYTES = "1000", str(16 << 20)
@@ -38,6 +40,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside remove their shuffle files when they end."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
@@ -45,18 +58,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")  # the table stands on its own, so the shuffle files behind it can go
-    try:
+    with cleaned(spark):  # the table stands on its own, so the shuffle files behind it can go
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def sampled_ids(rows: DataFrame, id_col: str, by: str | None, sample: int, total: int) -> DataFrame:
+    """The ``sample`` ids of least hash (of each value of ``by``; ``total`` ids in all at most) as a broadcast table.
+
+    Counts come first, so that only about four times the sample is ever ranked, whatever the input's size.
+    """
+    keys = [by] if by else []
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).limit(total + 1).collect()
+    if len(counts) > total:
+        raise ValueError(f"more than {total} labels")
+    sample = min(sample, total // max(1, len(counts)))
+    spark = rows.sparkSession
+    part = [(*([r[by]] if by else []), min(1.0, (4 * sample + 100) / max(1, r["_n"]))) for r in counts]
+    h = F.xxhash64(id_col)
+    within = lambda share: h < (share * 2.0**64 - 2.0**63)
+    if by:
+        table = spark.createDataFrame(part, f"_by {rows.schema[by].dataType.simpleString()}, _share double")
+        few = rows.join(F.broadcast(table), F.col(by) == F.col("_by")).where(within(F.col("_share")))
+    else:
+        few = rows.where(within(F.lit(part[0][-1] if part else 1.0)))
+    w = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_h", id_col)
+    few = few.select(*keys, F.col(id_col), h.alias("_h")).distinct().withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= sample)
+    chosen = [tuple(r) for r in few.select(*keys, id_col).collect()]
+    return F.broadcast(spark.createDataFrame(chosen, rows.select(*keys, id_col).schema))
 
 
 def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
