@@ -20,13 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from coppice.llm.common import tune, written
+from coppice.llm.common import sampled_ids, tune
 
 ORDER = 3
 #: Labelled texts that the trees are counted on, for each language; those with the least hash of the id.
 SAMPLE = 300
+#: Texts of all labels together at most.
+SAMPLE_TOTAL = 6000
 #: Texts of more bytes are not chosen for the sample: one very long text must not be most of it.
 SAMPLE_BYTES = 20_000
 #: A context of two bytes or more that a language's sample holds less often is left to the shorter one.
@@ -35,6 +36,8 @@ LEAST_SEEN = 3
 LEAST_TEXTS = 3
 #: Bytes scored at once, which bounds a worker's memory.
 CHUNK = 1 << 20
+#: Bytes that the score takes as evidence at most.
+SHARP = 32
 UNDECIDED = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -86,7 +89,7 @@ class ContextTrees:
         self.where = where.astype(np.int32)
         bits = -np.log2(np.maximum(probs[rows], 1e-30))
         bits[:, -1, :] += np.log2(max(1, 256 - len(seen)))  # one of the bytes folded together
-        self.bits = np.ascontiguousarray(bits.astype(np.float32)).reshape(-1, n_lang)
+        self.bits = np.ascontiguousarray(bits.astype(np.float32)).reshape(len(rows) * s, n_lang)
 
     def _numbers(self, a: np.ndarray, length: int) -> np.ndarray:
         out = np.zeros(max(0, len(a) - length + 1), dtype=np.int64)
@@ -142,11 +145,10 @@ class ContextTrees:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, least: int = LEAST_TEXTS) -> ContextTrees:
     """Trees of ``sample`` texts of each label at most, chosen by a hash of the id over all labelled rows."""
-    order = W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    fits = F.octet_length(text_col) <= SAMPLE_BYTES
-    chosen = docs.where(fits).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).where("_lang is not null").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample)
-    chosen = chosen.groupBy("_id", "_lang").count()
-    rows = docs.where(fits).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.encode(text_col, "UTF-8").alias("_text")).join(chosen, ["_id", "_lang"], "left_semi").orderBy("_lang", "_id", "_text").collect()
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    fits = rows.where(F.octet_length("_text") <= SAMPLE_BYTES)
+    chosen = sampled_ids(fits.select("_id", "_lang"), "_id", "_lang", sample, SAMPLE_TOTAL)
+    rows = fits.join(chosen, ["_id", "_lang"], "left_semi").select("_id", "_lang", F.encode("_text", "UTF-8").alias("_text")).orderBy("_lang", "_id", "_text").collect()
     texts: dict[str, list[bytes]] = {}
     for r in rows:
         texts.setdefault(r["_lang"], []).append(bytes(r["_text"]))
@@ -187,10 +189,6 @@ def predict(docs: DataFrame, trees: ContextTrees, text_col: str = "text") -> Dat
     return docs.mapInArrow(score, schema)
 
 
-#: Bytes that the score takes as evidence at most.
-SHARP = 32
-
-
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``id, held_out, lang_pred, score``: one row for each row, whole texts.
 
