@@ -233,7 +233,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, key: tuple[str, ...] = ("doc_i
         sums = celled.groupBy("length", "_cell").count()
         before = F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         ranked = ranked.join(sums.select("length", "_cell", before.alias("_before")), ["length", "_cell"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before")
-    ranked = ranked.drop("_cell")
+    ranked = ranked.select(*pieces.columns, "_rank")  # Arrow matches columns by place
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
