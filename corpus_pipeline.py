@@ -44,9 +44,12 @@ def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    taken = mixing.mix_sources(numbered.select("_row", "text", "source"), id_col="_row").where("taken > 0").select("_row", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    return numbered.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    numbered, key = docs, "doc_id"  # the choice depends on ids alone where they are unique
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        numbered, key = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), "_row"
+    mixed = mixing.mix_sources(numbered.select(key, "text", "source"), id_col=key)
+    taken = mixed.where("taken > 0").select(F.col(key).alias("_k"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    return numbered.join(taken, F.col(key) == F.col("_k")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
