@@ -17,46 +17,22 @@ from pyspark.sql import functions as F
 
 from coppice.llm import setjoin as S
 from coppice.llm.common import list_array, tune, written
-from coppice.llm.ngram_join import id_or_least
+from coppice.llm.ngram_join import LONGS, id_or_least
 
 #: Different words that a line must have to be compared, and the least Jaccard similarity.
 LEAST, NUM, DEN = 5, 80, 100
-#: Bits of the table of word counts.
-BITS = 18
-
-
-def _words(texts: list[bytes | None]) -> np.ndarray:
-    return S.word_hashes([w for t in texts for w in S.words_of(t)])
-
-
-def line_sets(lines: list[bytes], counts: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each line that has ``least`` different ones, rarest first, as hashes; the lines' starts; the lines."""
-    words = [S.words_of(x) for x in lines]
-    sizes = np.array([len(w) for w in words], dtype=np.int64)
-    flat = S.word_hashes([w for ws in words for w in ws])
-    if not len(flat):
-        return flat, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    different, at = np.unique(flat, return_inverse=True)
-    rank = np.arange(len(different))
-    if counts is not None:
-        order = np.lexsort((different, counts[(different & np.uint64(len(counts) - 1)).astype(np.int64)]))
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        different = different[order]
-    key = np.sort(np.repeat(np.arange(len(lines)), sizes) << 32 | rank[at])
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    line = key >> 32
-    enough = np.bincount(line, minlength=len(lines)) >= least
-    key, line = key[enough[line]], line[enough[line]]
-    start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, dtype=np.int64)
-    return different[key & 0xFFFFFFFF], start, line[start]
-
-
-def _digests(h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums over each set, alike for alike sets in any order."""
-    if not len(start):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return tuple(np.add.reduceat(S.mixed(h ^ np.uint64(salt)), start).view(np.int64) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+#: Bits of the table of word counts, and of a word's hash.
+BITS, HASH_BITS = 18, 44
+
+
+def line_sets(texts: list[bytes | None], classes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each line's different words, the rarest first, and their number; and the number of lines of each text."""
+    data, ends = S.joined(texts)
+    feeds = np.flatnonzero(data == 10)  # the joined texts' lines: each ends with a line feed
+    h, start = S.words_in(data)
+    rank = classes[(h & np.uint64(len(classes) - 1)).astype(np.int64)] if classes is not None else None
+    codes, sizes = S.ordered_sets(np.diff(np.searchsorted(start, feeds), prepend=0), h, rank, HASH_BITS)
+    return codes, sizes, np.diff(np.searchsorted(feeds, ends), prepend=0)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -64,32 +40,25 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     tune(spark)
     rows = docs.select(id_or_least(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    table = spark.sparkContext.broadcast(S.element_counts(rows, "_text", _words, BITS))  # of fixed size
+    table = spark.sparkContext.broadcast(S.rarity(S.word_counts(rows, "_text", BITS)))  # of fixed size
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, place, lines = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), S.binary(batch.column(1)), strict=True):
-                for i, line in enumerate(text.split(b"\n") if text else []):
-                    ids.append(doc)
-                    place.append(i)
-                    lines.append(line)
-            h, start, line = line_sets(lines, table.value, least)
-            n = np.diff(np.concatenate([start, [len(h)]]))
-            p = S.prefix_length(n, num, den)
-            inside = np.arange(len(h)) - np.repeat(start, n) < np.repeat(p, n)
-            d1, d2 = _digests(h, start)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(ids, dtype=np.int64)[line]), pa.array(np.array(place, dtype=np.int64)[line]), pa.array(n), pa.array(d1), pa.array(d2), pa.array(S.parity(h, start).view(np.int64)), list_array(h[inside].view(np.int64), p, pa.int64())],
-                names=["_doc", "_line", "_n", "_d1", "_d2", "_x", "_prefix"],
-            )
-
-    lines = written(rows.mapInArrow(split, "_doc long, _line long, _n long, _d1 long, _d2 long, _x long, _prefix array<long>"), "lines")
+            codes, sizes, lines = line_sets(S.binary(batch.column(1)), table.value)
+            long = sizes >= least
+            codes, n = codes[np.repeat(long, sizes)], sizes[long]
+            doc = np.repeat(batch.column(0).to_numpy(), lines)[long]
+            place = (np.arange(len(sizes)) - np.repeat(S.starts_of(lines), lines))[long]
+            prefix, p = S.prefixes(codes, n, num, den)
+            words = [*S.digests(codes, n, HASH_BITS), *S.parities(codes, n, 1), *S.parities(codes, n, 4)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), pa.array(n), *(pa.array(w) for w in words), list_array(prefix.view(np.int64), p, pa.int64())], names=["_doc", "_line", "_n", *LONGS, "_prefix"])
+
+    lines = written(rows.mapInArrow(split, f"_doc long, _line long, _n long, {', '.join(f'{c} long' for c in LONGS)}, _prefix array<long>"), "lines")
     digest = ["_d1", "_d2"]
-    classes = lines.groupBy(*digest).agg(F.min(F.struct("_doc", "_line", "_n", "_x", "_prefix")).alias("_m")).select(*digest, "_m.*")
+    classes = lines.groupBy(*digest).agg(F.min(F.struct("_doc", "_line", "_n", *LONGS[2:], "_prefix")).alias("_m")).select(*digest, "_m.*")
     classes = written(classes.withColumn("_item", F.monotonically_increasing_id()), "line-classes")
 
-    comps = S.candidate_components(classes.select("_item", "_n", "_prefix", "_x"), num, den)
+    comps = S.candidate_components(classes.select("_item", "_n", "_prefix", *LONGS[2:], F.lit(0).alias("_free")), num, den)
     members = written(classes.select("_item", "_doc", "_line", "_n", *digest).join(comps, "_item"), "members")
     wanted = members.join(S.block_plan(members), "_comp").groupBy("_doc").agg(F.collect_list(F.struct("_line", "_item", "_comp", "_k", *digest)).alias("_want")).withColumnRenamed("_doc", "_at")
 
@@ -102,14 +71,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if w["_line"] < len(own):
                         out.append((w["_comp"], w["_k"], w["_item"], doc, w["_line"], w["_d1"], w["_d2"]))
                         lines_.append(own[w["_line"]])
-            h, start, at = line_sets(lines_, None, 1)
-            d1, d2 = _digests(h, start)
-            rows_ = np.array(out, dtype=np.int64).reshape(len(out), 7)[at]
+            codes, n, _ = line_sets(lines_, None)
+            d1, d2 = S.digests(codes, n, HASH_BITS)
+            rows_ = np.array(out, dtype=np.int64).reshape(len(out), 7)
             same = (rows_[:, 5] == d1) & (rows_[:, 6] == d2)  # rows may share an id
-            n = np.diff(np.concatenate([start, [len(h)]]))
             columns = [pa.array(rows_[same, c]) for c in range(5)]
             columns[1] = columns[1].cast(pa.int32())
-            yield pa.RecordBatch.from_arrays([*columns, list_array(h[np.repeat(same, n)].view(np.int64), n[same], pa.int64())], names=["_comp", "_k", "_item", "_doc", "_line", "_set"])
+            yield pa.RecordBatch.from_arrays([*columns, list_array(codes[np.repeat(same, n)].view(np.int64), n[same], pa.int64())], names=["_comp", "_k", "_item", "_doc", "_line", "_set"])
 
     sets = rows.join(wanted, rows["_doc"] == wanted["_at"]).select("_doc", "_text", "_want").mapInArrow(expand, "_comp long, _k int, _item long, _doc long, _line long, _set array<long>")
     gone = written(S.verified(sets, S.repeated_later(num, den), ["_doc", "_line"]).select("_left").distinct(), "repeated")
@@ -124,7 +92,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` with repeated lines taken out of their text, and ``n_lines``, ``n_removed``, ``n_compared``.
 
     Lines end at a line feed and are otherwise kept as they are, in their order. n_lines counts the lines of
-    the old text (null: 0), n_compared those left of ``least`` words or more. A null text stays null. Rows that
+    the old text (null: 0), n_compared those left of ``least`` words or more (null where no line was
+    removed). A null text stays null. Rows that
     share an id are one document: lines at the same place of it are not repeats of each other. A null id
     counts as the smallest. Input columns of the added names are replaced; others are returned untouched.
     """
@@ -142,7 +111,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         *columns,
         F.coalesce(F.when(F.col("_in")[text_col].isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
         F.size(removed).cast("long").alias("n_removed"),
-        F.coalesce(F.when(F.col("_in")[text_col].isNotNull(), F.size(F.filter(left, lambda x: size(x) >= least))), F.lit(0)).cast("long").alias("n_compared"),
+        F.when(F.size(removed) > 0, F.size(F.filter(left, lambda x: size(x) >= least))).cast("long").alias("n_compared"),
     )
 
 

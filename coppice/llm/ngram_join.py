@@ -1,6 +1,8 @@
 """N-gram Jaccard join of documents by the grouped prefix join.
 
-Documents of the same shingle set are one class. Classes with the same prefix and size are one group, and
+Shingles are ordered by the count of their rarest word: one that holds a rare word is hardly ever in two
+documents by chance, and the words of a passage that many share are not rare. (Counts of shingles would
+need a table as large as the corpus to tell one from a few.) Documents of the same shingle set are one class. Classes with the same prefix and size are one group, and
 only groups are dealt by their prefixes; groups that may be similar are expanded to their members, whose
 whole sets are compared exactly. See ``setjoin`` for the filters and for how hot shingles are split.
 """
@@ -11,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,10 @@ from coppice.llm import setjoin as S
 from coppice.llm.common import list_array, tune, written
 from coppice.llm.components import connected_components
 
-#: Bits of the table of shingle counts.
-BITS = 16
+#: Bits of the table of word counts, and of a shingle's hash.
+BITS, HASH_BITS = 18, 48
+LONGS = ("_d1", "_d2", "_x", "_y0", "_y1", "_y2", "_y3")
+DIGEST = ["_d1", "_d2"]
 #: Stands for a null id, and sorts before all others.
 NO_ID = -(1 << 63)
 
@@ -29,33 +32,31 @@ def id_or_least(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
 
 
-def shingles(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all k-word shingles, text after text, and each text's number; a shorter text is one shingle."""
-    words = [S.words_of(t) for t in texts]
-    sizes = np.array([len(w) for w in words], dtype=np.int64)
-    flat = S.word_hashes([w for ws in words for w in ws])
+def shingles(texts: list[bytes | None], k: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Hashes of all k-word shingles, text after text, the classes of their rarest words, and each text's number.
+
+    A text of fewer words is one shingle.
+    """
+    flat, sizes = S.words_of_texts(texts)
     counts = np.where(sizes >= k, sizes - k + 1, np.minimum(sizes, 1))
-    start = np.cumsum(sizes) - sizes
-    first = np.repeat(start - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    first = np.repeat(S.starts_of(sizes) - S.starts_of(counts), counts) + np.arange(int(counts.sum()))
     length = np.repeat(np.minimum(sizes, k), counts)
     h = length.astype(np.uint64)
-    for i in range(k):
+    known = classes[(flat & np.uint64(len(classes) - 1)).astype(np.int64)] if classes is not None else None
+    rarest = np.full(len(h), 255, dtype=np.uint8) if classes is not None else None
+    for i in range(k if len(flat) else 0):
         inside = length > i
-        nxt = S.mixed(h * S._M1 + flat[np.where(inside, first + i, 0)]) if len(flat) else h
-        h = np.where(inside, nxt, h)
-    return h, counts
-
+        at = np.where(inside, first + i, 0)
+        h = np.where(inside, S.mixed(h * S._M1 + flat[at]), h)
+        if known is not None:
+            rarest = np.where(inside, np.minimum(rarest, known[at]), rarest)
+    return h, rarest, counts
 
-def _sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
-    h, counts = shingles(texts, k)
-    at = 0
-    for c in counts:
-        yield np.unique(h[at : at + c])
-        at += c
 
-
-def _digest(values: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(values.tobytes())
+def shingle_sets(texts: list[bytes | None], k: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's set of shingles, the rarest first, and its size."""
+    h, rarest, counts = shingles(texts, k, classes)
+    return S.ordered_sets(counts, h, rarest, HASH_BITS)
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -69,56 +70,51 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     tune(spark)
     rows = docs.select(id_or_least(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    table = spark.sparkContext.broadcast(S.element_counts(rows, "_text", lambda t: shingles(t, k)[0], BITS))  # of fixed size
-    mask = np.uint64((1 << BITS) - 1)
+    table = spark.sparkContext.broadcast(S.rarity(S.word_counts(rows, "_text", BITS)))  # of fixed size
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, digests, prefixes = [], [], []
-            for u in _sets(S.binary(batch.column(1)), k):
-                n = len(u)
-                size.append(n)
-                digests.append(_digest(u))
-                order = np.lexsort((u, table.value[(u & mask).astype(np.int64)]))
-                prefixes.append(u[order[: S.prefix_length(n, num, den)]] if n else u)
-            lengths = np.array([len(p) for p in prefixes], dtype=np.int64)
-            flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, type=pa.int64()), pa.array(digests, type=pa.binary()), list_array(flat, lengths, pa.int64())], names=["_doc", "_n", "_digest", "_prefix"])
-
-    signed = written(rows.mapInArrow(sign, "_doc long, _n long, _digest binary, _prefix array<long>"), "shingle-prefixes")
-    classes = signed.where("_n > 0").groupBy("_digest").agg(F.min(F.struct("_doc", "_n", "_prefix")).alias("_m")).select("_digest", "_m.*")
-    classes = classes.withColumn("_g1", F.xxhash64("_prefix")).withColumn("_g2", F.xxhash64(F.lit(1), "_prefix")).withColumn("_item", F.monotonically_increasing_id())
-    classes = written(classes, "classes")
+            codes, sizes = shingle_sets(S.binary(batch.column(1)), k, table.value)
+            prefix, lengths = S.prefixes(codes, sizes, num, den)
+            words = [*S.digests(codes, sizes, HASH_BITS), *S.parities(codes, sizes, 1), *S.parities(codes, sizes, 4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *(pa.array(w) for w in words), list_array(prefix.view(np.int64), lengths, pa.int64())], names=["_doc", "_n", *LONGS, "_prefix"])
 
+    signed = written(rows.mapInArrow(sign, f"_doc long, _n long, {', '.join(f'{c} long' for c in LONGS)}, _prefix array<long>"), "shingle-prefixes")
+    hashed = signed.withColumn("_g1", F.xxhash64("_prefix")).withColumn("_g2", F.xxhash64(F.lit(1), "_prefix"))
     group = ["_n", "_g1", "_g2"]
-    groups = classes.groupBy(*group).agg(F.min(F.struct("_item", "_prefix")).alias("_m"), F.count("*").alias("_c")).select(*group, F.col("_m._item").alias("_group"), F.col("_m._prefix").alias("_prefix"), "_c")
-    groups = written(groups, "groups")
-    comps = S.candidate_components(groups.select(F.col("_group").alias("_item"), "_n", "_prefix", F.lit(0).cast("long").alias("_x")), num, den)
+    classes = hashed.where("_n > 0").groupBy(*DIGEST).agg(F.min(F.struct("_doc", *group)).alias("_m")).select(*DIGEST, "_m.*")
+    classes = written(classes.withColumn("_item", F.monotonically_increasing_id()), "classes")
+
+    groups = classes.groupBy(*group).agg(F.min(F.struct("_item", *DIGEST, "_doc")).alias("_m"), F.count("*").alias("_c"))
+    groups = written(groups.select(*group, F.col("_m._item").alias("_group"), *(F.col(f"_m.{c}") for c in (*DIGEST, "_doc")), "_c"), "groups")
+    # Prefixes of one document of each group; rows that repeat it repeat its entries, which changes nothing.
+    # Members of a group differ outside the prefix, so a group of several has no bitmap that holds for all: they
+    # are compared by prefix and size alone.
+    items = signed.select(*DIGEST, "_doc", *LONGS[2:], "_prefix").join(groups.select(*DIGEST, "_doc", "_n", F.col("_group").alias("_item"), "_c"), [*DIGEST, "_doc"])
+    free = (F.col("_c") > 1).cast("int").alias("_free")
+    comps = S.candidate_components(written(items.select("_item", "_n", "_prefix", *LONGS[2:], free), "group-prefixes"), num, den)
     placed = groups.join(comps, groups["_group"] == comps["_item"], "left").where("_comp is not null or _c > 1").select(*group, F.coalesce("_comp", "_group").alias("_comp"))
-    members = written(classes.select("_item", "_doc", "_digest", *group).join(placed, group).select("_item", "_doc", "_digest", "_n", "_comp"), "members")
-    wanted = members.join(S.block_plan(members), "_comp").select("_item", "_digest", "_comp", "_k", F.col("_doc").alias("_at"))
+    members = written(classes.select("_item", "_doc", *DIGEST, *group).join(placed, group).select("_item", "_doc", *DIGEST, "_n", "_comp"), "members")
+    wanted = members.join(S.block_plan(members), "_comp").select("_item", *DIGEST, "_comp", "_k", F.col("_doc").alias("_at"))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, found = [], []
-            for i, (u, digest) in enumerate(zip(_sets(S.binary(batch.column(3)), k), batch.column(4).to_pylist(), strict=True)):
-                if _digest(u) == digest:  # rows may share an id
-                    keep.append(i)
-                    found.append(u)
-            flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            take = pa.array(keep, type=pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), list_array(flat, np.array([len(u) for u in found], dtype=np.int64), pa.int64())], names=["_item", "_comp", "_k", "_set"])
-
-    sets = rows.join(wanted, rows["_doc"] == wanted["_at"]).select("_item", "_comp", "_k", "_text", "_digest").mapInArrow(expand, "_item long, _comp long, _k int, _set array<long>")
+            codes, sizes = shingle_sets(S.binary(batch.column(3)), k)
+            d1, d2 = S.digests(codes, sizes, HASH_BITS)
+            same = (batch.column(4).to_numpy() == d1) & (batch.column(5).to_numpy() == d2)  # rows may share an id
+            take = pa.array(np.flatnonzero(same))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), list_array(codes[np.repeat(same, sizes)].view(np.int64), sizes[same], pa.int64())], names=["_item", "_comp", "_k", "_set"])
+
+    sets = rows.join(wanted, rows["_doc"] == wanted["_at"]).select("_item", "_comp", "_k", "_text", *DIGEST).mapInArrow(expand, "_item long, _comp long, _k int, _set array<long>")
     links = written(S.verified(sets, S.spanning_links(num, den), []), "links")
     tune(spark)
     parts = connected_components(links, "_left", "_right")
-    labelled = classes.select("_item", "_doc", "_digest").join(parts, F.col("_item") == F.col("node"))
+    labelled = classes.select("_item", "_doc", *DIGEST).join(parts, F.col("_item") == F.col("node"))
     least = labelled.groupBy("component").agg(F.min("_doc").alias("_least"))
-    named = labelled.join(least, "component").select("_digest", "_least").unionByName(
-        classes.join(parts, F.col("_item") == F.col("node"), "left_anti").select("_digest", F.col("_doc").alias("_least"))
+    named = labelled.join(least, "component").select(*DIGEST, "_least").unionByName(
+        classes.join(parts, F.col("_item") == F.col("node"), "left_anti").select(*DIGEST, F.col("_doc").alias("_least"))
     )
-    out = signed.select("_doc", "_n", "_digest").join(named, "_digest", "left")
+    out = signed.select("_doc", "_n", *DIGEST).join(named, DIGEST, "left")
     component = F.when(F.col("_n") > 0, F.col("_least")).otherwise(F.col("_doc"))
     null_out = lambda c: F.when(c != NO_ID, c)
     return out.select(null_out(F.col("_doc")).alias(id_col), F.col("_n").alias("n_shingles"), null_out(component).alias("component_id"))

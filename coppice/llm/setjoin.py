@@ -22,19 +22,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import tune, written
+from coppice.llm.common import cleaned, tune, written
 from coppice.llm.components import connected_components
 
 #: An element's holders to a block, at least; elements that more hold are split.
 HOLDERS = 4000
-#: At most so many elements can be split: beyond ``HOLDERS`` the limit is this share of all prefix entries.
-SPLIT = 10_000
+#: Beyond ``HOLDERS`` the limit is this share of all prefix entries; elements are counted by so many cells.
+SPLIT, CELLS = 10_000, 1 << 16
 #: Set elements, and sets, to a block of a component.
 ELEMENTS, MEMBERS = 1 << 20, 4096
 #: Pairs compared at once.
 PAIRS = 1 << 21
-#: Words that a worker remembers the hashes of.
-REMEMBERED = 300_000
+#: Sizes up to which a 64-bit bitmap tells sets apart, and one of 256 bits; larger sets have none.
+SHORT, MIDDLE = 80, 700
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -46,30 +46,132 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+#: Bytes hashed at once; a word as long as that is hashed on its own.
+PIECE = 1 << 19
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _M1)
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_STEP = 0xD1342543DE82EF95
+_POWER, _INVERSE = (np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.uint64), np.full(PIECE, x, dtype=np.uint64)])) for x in (_STEP, pow(_STEP, -1, 1 << 64)))
 
 
-_hashes = _Hashes()
+def words_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words ``[^\\x20\\x09-\\x0D]+`` of bytes that end with white space; A-Z count as a-z.
+
+    A word's hash is a polynomial of its bytes modulo 2**64, from running sums over the whole piece.
+    """
+    hashes, starts, lo = [], [], 0
+    while lo < len(data):
+        hi = min(len(data), lo + PIECE)
+        space = _SPACE[data[lo:hi]]
+        if hi < len(data):
+            ends = np.flatnonzero(space)
+            if not len(ends):  # a word longer than a piece
+                end = hi + int(np.argmax(_SPACE[data[hi:]]))
+                hashes.append(np.array([xxhash.xxh3_64_intdigest(data[lo:end].tobytes().lower())], dtype=np.uint64))
+                starts.append(np.array([lo]))
+                lo = end
+                continue
+            hi = lo + int(ends[-1]) + 1
+            space = space[: hi - lo]
+        total = np.cumsum(np.where(space, np.uint64(0), _BYTE[data[lo:hi]]) * _POWER[: hi - lo])
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edge = np.concatenate([[0], edge])
+        first, after = edge[::2], edge[1::2]  # each word ends within the piece, as white space ends it
+        before = np.where(first > 0, total[first - 1], np.uint64(0))
+        hashes.append(mixed((total[after - 1] - before) * _INVERSE[first] + (after - first).astype(np.uint64) * _M1))
+        starts.append(first + lo)
+        lo = hi
+    if not hashes:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    return np.concatenate(hashes), np.concatenate(starts)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+def joined(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts as one array of bytes, a line feed after each, and where each ends."""
+    texts = [t or b"" for t in texts]
+    data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
+    return data, np.cumsum(np.array([len(t) + 1 for t in texts], dtype=np.int64))
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case."""
-    return text.lower().split() if text else []
+def words_of_texts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, text after text, and the number of each text's."""
+    data, ends = joined(texts)
+    h, start = words_in(data)
+    return h, np.diff(np.searchsorted(start, ends), prepend=0)
 
 
 def binary(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Classes 0 to 255 that grow with the counts."""
+    return np.minimum(255, 8 * np.log2(1 + counts.astype(np.float64))).astype(np.uint8)
+
+
+def ordered_sets(owner_sizes: np.ndarray, h: np.ndarray, rank: np.ndarray | None, hash_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each owner's different elements, the rarest first, as rank << hash_bits | hash; and how many each has.
+
+    h: elements, owner after owner (``owner_sizes`` of each); hashes keep their first ``hash_bits`` bits. One
+    sort of plain integers orders the sets of as many owners as the bits left can number.
+    """
+    bits = np.uint64(hash_bits)
+    code = h >> np.uint64(64 - hash_bits)
+    if rank is not None:
+        code = code | rank.astype(np.uint64) << bits
+    chunk = 1 << (56 - hash_bits)
+    own = bits + np.uint64(8)
+    edges = np.concatenate([[0], np.cumsum(owner_sizes)])
+    codes, sizes = [], []
+    for lo in range(0, len(owner_sizes), chunk):
+        hi = min(lo + chunk, len(owner_sizes))
+        owner = np.repeat(np.arange(hi - lo, dtype=np.uint64), owner_sizes[lo:hi])
+        key = np.sort(owner << own | code[edges[lo] : edges[hi]])
+        if len(key):
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        sizes.append(np.bincount((key >> own).astype(np.int64), minlength=hi - lo))
+        codes.append(key & np.uint64((1 << (hash_bits + 8)) - 1))
+    if not codes:
+        return code, np.zeros(0, dtype=np.int64)
+    return np.concatenate(codes), np.concatenate(sizes)
+
+
+def starts_of(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def prefixes(codes: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefixes of ordered sets, set after set, and their lengths."""
+    p = np.where(sizes > 0, prefix_length(sizes, num, den), 0)
+    inside = np.arange(len(codes)) - np.repeat(starts_of(sizes), sizes) < np.repeat(p, sizes)
+    return codes[inside], p
+
+
+def per_set(values: np.ndarray, sizes: np.ndarray, ufunc: np.ufunc) -> np.ndarray:
+    """``ufunc`` over each set's values; 0 for empty sets."""
+    out = np.zeros(len(sizes), dtype=values.dtype)
+    full = np.flatnonzero(sizes > 0)
+    if len(full):
+        out[full] = ufunc.reduceat(values, starts_of(sizes)[full])
+    return out
+
+
+def digests(codes: np.ndarray, sizes: np.ndarray, hash_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each set's hashes."""
+    h = codes & np.uint64((1 << hash_bits) - 1)
+    return tuple(per_set(mixed(h * _M1 ^ np.uint64(salt)), sizes, np.add).view(np.int64) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+
+
+def parities(codes: np.ndarray, sizes: np.ndarray, words: int) -> list[np.ndarray]:
+    """Bitmaps of 64 * ``words`` bits: an element flips a bit, so two differ in no more bits than their sets in elements."""
+    at = mixed(codes * _M1) & np.uint64(64 * words - 1)
+    bit = np.uint64(1) << (at & np.uint64(63))
+    return [per_set(np.where(at >> np.uint64(6) == w, bit, np.uint64(0)), sizes, np.bitwise_xor).view(np.int64) for w in range(words)]
+
+
 def overlap_needed(n: np.ndarray | int, num: int, den: int):
     """Least intersection with any set that can be similar to one of n elements."""
     return -(-n * num // den)
@@ -79,28 +181,24 @@ def prefix_length(n: np.ndarray | int, num: int, den: int):
     return n - overlap_needed(n, num, den) + 1
 
 
-def parity(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit bitmaps of sets: an element flips a bit, so bitmaps differ in no more bits than sets in elements."""
-    return np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), starts) if len(starts) else np.zeros(0, dtype=np.uint64)
-
-
-def element_counts(docs: DataFrame, text_col: str, elements: Callable[[list[bytes | None]], np.ndarray], bits: int) -> np.ndarray:
-    """Elements of all texts counted by the last ``bits`` bits of their hashes: a table of fixed size."""
+def word_counts(docs: DataFrame, text_col: str, bits: int) -> np.ndarray:
+    """Words of all texts counted by the last ``bits`` bits of their hashes: a table of fixed size."""
     mask = np.uint64((1 << bits) - 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
-            h = elements(binary(batch.column(0)))
+            h, _ = words_of_texts(binary(batch.column(0)))
             total += np.bincount((h & mask).astype(np.int64), minlength=1 << bits)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["_b", "_n"])
 
     tune(docs.sparkSession)
-    rows = docs.select(text_col).mapInArrow(count, "_b long, _n long").groupBy("_b").agg(F.sum("_n").alias("_n")).toArrow()
+    with cleaned(docs.sparkSession):
+        rows = docs.select(text_col).mapInArrow(count, "_b long, _n long").groupBy("_b").agg(F.sum("_n").alias("_n")).toArrow()
     out = np.zeros(1 << bits, dtype=np.int64)
     out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+    return out
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], enough: int = 1 << 16) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -151,8 +249,11 @@ def group_labels(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         i, j = i[differ], j[differ]
 
 
-def similar_runs(start: np.ndarray, n: np.ndarray, pos: np.ndarray, x: np.ndarray, block: np.ndarray, cross: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows in the same run, sorted by size, that pass the filters. cross: only rows of different blocks."""
+def similar_runs(start: np.ndarray, n: np.ndarray, pos: np.ndarray, x: list[np.ndarray], free: np.ndarray, block: np.ndarray, cross: np.ndarray, above: int, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows in the same run, sorted by size, that pass the filters and are not both of ``above`` elements or fewer.
+
+    x: the words of the bitmaps, none if there are no bitmaps; ``free`` rows have none either. cross: only rows of different blocks.
+    """
     total = len(n)
     run = np.repeat(np.arange(len(start) - 1), np.diff(start))
     wide = np.int64(n.max(initial=0)) * den // num + 2
@@ -168,35 +269,45 @@ def similar_runs(start: np.ndarray, n: np.ndarray, pos: np.ndarray, x: np.ndarra
             j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + i + 1
             both = n[i] + n[j]
             need = -(-num * both // (num + den))
-            ok = (1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= need) & (np.bitwise_count(x[i] ^ x[j]) <= both - 2 * need)
+            ok = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (n[j] > above)
             ok &= ~cross[i] | (block[i] != block[j])
+            i, j, both, need = i[ok], j[ok], both[ok], need[ok]
+            ok = sum((np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in x), np.zeros(len(i), dtype=np.int64)) <= both - 2 * need
+            ok |= free[i] | free[j]
             yield i[ok], j[ok]
         lo = hi
 
 
-def candidate_edges(items: DataFrame, num: int, den: int) -> DataFrame:
+def candidate_edges(items: DataFrame, num: int, den: int, above: int, upto: int | None, bitmap: list[str]) -> DataFrame:
     """``src, dst``: a spanning forest, task by task, of the pairs of items that pass the filters.
 
-    items: ``_item`` (long, unique), ``_n`` (size), ``_prefix`` (array of long), ``_x`` (bitmap as a long).
+    Pairs whose larger set has more than ``above`` and at most ``upto`` elements. items: ``_item`` (long,
+    unique), ``_n`` (size), ``_prefix`` (array of long), the bitmap's words as long columns, and ``_free`` (1 where
+    the bitmap does not hold for all that the item stands for).
     """
     spark = items.sparkSession
-    entries = items.select("_item", "_n", "_x", F.posexplode("_prefix").alias("_pos", "_e"))
-    size = items.agg(F.sum(F.size("_prefix"))).first()[0] or 0
-    limit = max(HOLDERS, size // SPLIT)
-    hot = entries.groupBy("_e").count().where(F.col("count") > limit).select("_e", F.ceil(F.col("count") / limit).cast("int").alias("_k"))
-    hot = spark.createDataFrame(hot.collect(), "_e long, _k int")  # SPLIT rows at most
-    dealt = entries.join(F.broadcast(hot), "_e", "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+    items = items.where(F.col("_n") > above * num // den)
+    if upto is not None:
+        items = items.where(F.col("_n") <= upto)
+    entries = items.select("_item", "_n", "_free", *bitmap, F.posexplode("_prefix").alias("_pos", "_e"))
+    with cleaned(spark):
+        size = items.agg(F.sum(F.size("_prefix"))).first()[0] or 0
+        limit = max(HOLDERS, size // SPLIT)
+        # Holders are counted by fixed cells of elements; all elements of a cell beyond the limit are split.
+        cell = F.pmod(F.xxhash64("_e"), F.lit(CELLS)).cast("int")
+        hot = entries.groupBy(cell.alias("_c")).count().where(F.col("count") > limit).select("_c", F.ceil(F.col("count") / limit).cast("int").alias("_k")).collect()
+    hot = spark.createDataFrame(hot, "_c int, _k int")  # CELLS rows at most
+    dealt = entries.withColumn("_c", cell).join(F.broadcast(hot), "_c", "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
     dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("_item"), F.col("_k")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    dealt = dealt.select("_e", F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi"), "_b", F.col("_n").cast("int").alias("_n"), F.col("_pos").cast("int").alias("_pos"), "_x", "_item")
+    dealt = dealt.select("_e", F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi"), "_b", "_free", F.col("_n").cast("int").alias("_n"), F.col("_pos").cast("int").alias("_pos"), *bitmap, "_item")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, start in runs(batches, ["_e", "_lo", "_hi"]):
-            c = {k: t.column(k).to_numpy() for k in ("_item", "_n", "_pos", "_b", "_lo", "_hi")}
-            x = t.column("_x").to_numpy().view(np.uint64)
+            c = {k: t.column(k).to_numpy() for k in ("_item", "_n", "_pos", "_b", "_lo", "_hi", "_free")}
+            x = [t.column(k).to_numpy().view(np.uint64) for k in bitmap]
             ids, at = np.unique(c["_item"], return_inverse=True)
-            found = similar_runs(start, c["_n"].astype(np.int64), c["_pos"].astype(np.int64), x, c["_b"], c["_lo"] != c["_hi"], num, den)
             label = np.arange(len(ids))
-            for i, j in found:
+            for i, j in similar_runs(start, c["_n"].astype(np.int64), c["_pos"].astype(np.int64), x, c["_free"] == 1, c["_b"], c["_lo"] != c["_hi"], above, num, den):
                 a, b = label[at[i]], label[at[j]]
                 a, b = a[a != b], b[a != b]
                 if len(a):
@@ -212,8 +323,17 @@ def candidate_edges(items: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def candidate_components(items: DataFrame, num: int, den: int) -> DataFrame:
-    """``_item, _comp`` of the items that some other one may be similar to."""
-    parts = connected_components(candidate_edges(items, num, den))
+    """``_item, _comp`` of the items that some other one may be similar to.
+
+    items: as in ``candidate_edges`` with ``_x`` (64 bits), ``_y0`` to ``_y3`` (256 bits). Bands of sizes have
+    bitmaps that suit them, so that hardly any pair passes by chance.
+    """
+    bands = ((0, SHORT, ["_x"]), (SHORT, MIDDLE, ["_y0", "_y1", "_y2", "_y3"]), (MIDDLE, None, []))
+    edges = None
+    for above, upto, bitmap in bands:
+        found = candidate_edges(items, num, den, above, upto, bitmap)
+        edges = found if edges is None else edges.unionByName(found)
+    parts = connected_components(edges)
     return parts.select(F.col("node").alias("_item"), F.col("component").alias("_comp"))
 
 

@@ -62,7 +62,21 @@ def test_line_dedup_odd_tables(spark):
     assert spark_lines(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(None, "a b c d e"), (2, "a b c d e\nx"), (2, "a b c d e\nx"), (3, "p q r s t"), (3, "p q r s t")]
     got = sorted(((r.doc_id, r.text, r.n_removed, r.n_compared) for r in spark_lines(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr)
-    assert got == sorted([(None, "a b c d e", 0, 1), (2, "x", 1, 0), (2, "x", 1, 0), (3, "p q r s t", 0, 1), (3, "p q r s t", 0, 1)], key=repr)
+    assert got == sorted([(None, "a b c d e", 0, None), (2, "x", 1, 0), (2, "x", 1, 0), (3, "p q r s t", 0, None), (3, "p q r s t", 0, None)], key=repr)
+
+
+def test_words_in(monkeypatch):
+    from brute import words
+
+    monkeypatch.setattr(S, "PIECE", 64)
+    rng = random.Random(3)
+    texts = ["", "  ", "One two\tthree\x0bfour\x0cfive\rsix\nseven", "x" * 64, "y" * 63, "A" * 200 + " b", "é\u00a0É \u2003 z", " ".join("".join(rng.choice("abAB") for _ in range(rng.randrange(1, 90))) for _ in range(80))]
+    h, sizes = S.words_of_texts([t.encode() for t in texts])
+    want = [words(t) for t in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    flat = [w for ws in want for w in ws]
+    assert len(dict(zip(flat, h.tolist(), strict=True))) == len(set(h.tolist())) == len(set(flat))
+    assert all(len({a for w, a in zip(flat, h.tolist(), strict=True) if w == x}) == 1 for x in set(flat))
 
 
 def test_prefix_filters_lose_nothing():
