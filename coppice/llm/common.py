@@ -64,6 +64,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Words of 64 bits of the filter below.
+FILTER_WORDS = 1 << 20
+
+
+def flagged(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, flag: str) -> DataFrame:
+    """Adds ``flag``: true if the key may be among the wanted ones, false if it is not (a Bloom filter of one hash).
+
+    The filter has ``FILTER_WORDS`` words whatever the input, so it can be broadcast, and keeps rows that are
+    not wanted out of a shuffle. An exact join must follow: when very many keys are wanted it lets others by.
+    """
+    word = lambda c: F.pmod(F.xxhash64(F.lit(17), c), F.lit(FILTER_WORDS))
+    bit = lambda c: F.pmod(F.xxhash64(F.lit(23), c), F.lit(64)).cast("int")
+    bits = F.array(*(F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)))
+    words = wanted.groupBy(word(F.col(wanted_key)).alias("_word")).agg(F.bit_or(F.element_at(bits, bit(F.col(wanted_key)) + 1)).alias("_bits"))
+    joined = rows.join(F.broadcast(words), word(F.col(key)) == F.col("_word"), "left")
+    hit = F.coalesce(F.getbit("_bits", bit(F.col(key))) == 1, F.lit(False))
+    return joined.withColumn(flag, hit).drop("_word", "_bits")
+
+
 def sampled_ids(rows: DataFrame, id_col: str, by: str | None, sample: int, total: int) -> DataFrame:
     """The ``sample`` ids of least hash (of each value of ``by``; ``total`` ids in all at most) as a broadcast table.
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coppice.llm import setjoin as S
-from coppice.llm.common import list_array, tune, written
+from coppice.llm.common import flagged, list_array, tune, written
 from coppice.llm.components import connected_components
 
 #: Bits of the table of word counts, and of a shingle's hash.
@@ -95,7 +95,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     comps = S.candidate_components(written(items.select("_item", "_n", "_prefix", *LONGS[2:], free), "group-prefixes"), num, den)
     placed = groups.join(comps, groups["_group"] == comps["_item"], "left").where("_comp is not null or _c > 1").select(*group, F.coalesce("_comp", "_group").alias("_comp"))
     members = written(classes.select("_item", "_doc", *DIGEST, *group).join(placed, group).select("_item", "_doc", *DIGEST, "_n", "_comp"), "members")
-    wanted = members.join(S.block_plan(members), "_comp").select("_item", *DIGEST, "_comp", "_k", F.col("_doc").alias("_at"))
+    wanted = written(members.join(S.block_plan(members), "_comp").select("_item", *DIGEST, "_comp", "_k", F.col("_doc").alias("_at")), "wanted")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +105,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             take = pa.array(np.flatnonzero(same))
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), list_array(codes[np.repeat(same, sizes)].view(np.int64), sizes[same], pa.int64())], names=["_item", "_comp", "_k", "_set"])
 
-    sets = rows.join(wanted, rows["_doc"] == wanted["_at"]).select("_item", "_comp", "_k", "_text", *DIGEST).mapInArrow(expand, "_item long, _comp long, _k int, _set array<long>")
+    few = flagged(rows, "_doc", wanted, "_at", "_maybe").where("_maybe")
+    sets = few.join(wanted, F.col("_doc") == F.col("_at")).select("_item", "_comp", "_k", "_text", *DIGEST).mapInArrow(expand, "_item long, _comp long, _k int, _set array<long>")
     links = written(S.verified(sets, S.spanning_links(num, den), []), "links")
     tune(spark)
     parts = connected_components(links, "_left", "_right")

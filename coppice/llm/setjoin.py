@@ -30,7 +30,7 @@ HOLDERS = 4000
 #: Beyond ``HOLDERS`` the limit is this share of all prefix entries; elements are counted by so many cells.
 SPLIT, CELLS = 10_000, 1 << 16
 #: Set elements, and sets, to a block of a component.
-ELEMENTS, MEMBERS = 1 << 20, 4096
+ELEMENTS, MEMBERS = 1 << 19, 1024
 #: Pairs compared at once.
 PAIRS = 1 << 21
 #: Sizes up to which a 64-bit bitmap tells sets apart, and one of 256 bits; larger sets have none.
