@@ -213,3 +213,16 @@ def test_licences(spark):
     assert licenses.scan(table.limit(0), "id", "path", "text").count() == 0
     vectors, _ = licenses.template_weights(licenses.TEMPLATES)
     assert all(sum(v * v for v in w.values()) == pytest.approx(1) for w in vectors.values())
+
+
+def test_mix_of_overlapping_sources(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(1, 40), rng.choice([[0], [1], [0, 1], [1, 0, 1], []])) for i in range(2000)]
+    table = spark.createDataFrame(rows, "_row long, _size long, m array<int>")
+    total = sum(s for _, s, _ in rows)
+    want = {0: 0.5 * total, 1: 0.3 * total}
+    out = mixing.mix(table, "m", want).collect()
+    assert len(out) == len(rows) and all(r.taken == 0 for r in out if not r.m)
+    assert abs(sum(r.taken for r in out) - sum(want.values())) <= 0.01 * total
+    # Nothing repeats, as one copy of everything is enough.
+    assert all(r.taken <= r._size for r in out)
