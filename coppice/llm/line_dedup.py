@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.llm import setjoin as S
-from coppice.llm.common import list_array, tune, written
+from coppice.llm.common import flagged, list_array, tune, written
 from coppice.llm.ngram_join import LONGS, id_or_least
 
 #: Different words that a line must have to be compared, and the least Jaccard similarity.
@@ -55,12 +55,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     lines = written(rows.mapInArrow(split, f"_doc long, _line long, _n long, {', '.join(f'{c} long' for c in LONGS)}, _prefix array<long>"), "lines")
     digest = ["_d1", "_d2"]
-    classes = lines.groupBy(*digest).agg(F.min(F.struct("_doc", "_line", "_n", *LONGS[2:], "_prefix")).alias("_m")).select(*digest, "_m.*")
+    classes = lines.groupBy(*digest).agg(F.min(F.struct("_doc", "_line", "_n", *LONGS[2:], "_prefix")).alias("_m"), F.count("*").alias("_c")).select(*digest, "_c", "_m.*")
     classes = written(classes.withColumn("_item", F.monotonically_increasing_id()), "line-classes")
 
     comps = S.candidate_components(classes.select("_item", "_n", "_prefix", *LONGS[2:], F.lit(0).alias("_free")), num, den)
-    members = written(classes.select("_item", "_doc", "_line", "_n", *digest).join(comps, "_item"), "members")
-    wanted = members.join(S.block_plan(members), "_comp").groupBy("_doc").agg(F.collect_list(F.struct("_line", "_item", "_comp", "_k", *digest)).alias("_want")).withColumnRenamed("_doc", "_at")
+    comps = written(comps.withColumnRenamed("_item", "_member"), "components")
+    few = flagged(classes.select("_item", "_doc", "_line", "_n", *digest), "_item", comps, "_member", "_maybe").where("_maybe")
+    members = written(few.join(comps, F.col("_item") == F.col("_member")).drop("_member", "_maybe"), "members")
+    wanted = members.join(S.block_plan(members), "_comp").groupBy("_doc").agg(F.collect_list(F.struct("_line", "_item", "_comp", "_k", *digest)).alias("_want"))
+    wanted = written(wanted.withColumnRenamed("_doc", "_at"), "wanted")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,12 +82,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns[1] = columns[1].cast(pa.int32())
             yield pa.RecordBatch.from_arrays([*columns, list_array(codes[np.repeat(same, n)].view(np.int64), n[same], pa.int64())], names=["_comp", "_k", "_item", "_doc", "_line", "_set"])
 
-    sets = rows.join(wanted, rows["_doc"] == wanted["_at"]).select("_doc", "_text", "_want").mapInArrow(expand, "_comp long, _k int, _item long, _doc long, _line long, _set array<long>")
+    few = flagged(rows, "_doc", wanted, "_at", "_maybe").where("_maybe")
+    sets = few.join(wanted, F.col("_doc") == F.col("_at")).select("_doc", "_text", "_want").mapInArrow(expand, "_comp long, _k int, _item long, _doc long, _line long, _set array<long>")
     gone = written(S.verified(sets, S.repeated_later(num, den), ["_doc", "_line"]).select("_left").distinct(), "repeated")
     tune(spark)
-    first = classes.select(*digest, F.col("_doc").alias("_doc0"), F.col("_line").alias("_line0"), "_item").join(gone, F.col("_item") == F.col("_left"), "left")
-    placed = lines.select("_doc", "_line", *digest).join(first, digest)
-    later = placed.where("_left is not null or _doc != _doc0 or _line != _line0")
+    # Lines can only go if their class occurs again or has an earlier like.
+    marked = flagged(classes.select(*digest, "_c", F.col("_doc").alias("_doc0"), F.col("_line").alias("_line0"), "_item"), "_item", gone, "_left", "_maybe")
+    hit = marked.where("_maybe").join(gone, F.col("_item") == F.col("_left"), "left")
+    rest = marked.where("not _maybe and _c > 1").withColumn("_left", F.lit(None).cast("long"))
+    first = written(hit.where("_left is not null or _c > 1").select(*rest.columns).unionByName(rest).drop("_maybe", "_item", "_c"), "suspects")
+    some = flagged(lines.select("_doc", "_line", *digest), "_d1", first, "_d1", "_maybe").where("_maybe").drop("_maybe")
+    later = some.join(first, digest).where("_left is not null or _doc != _doc0 or _line != _line0")
     return written(later.groupBy("_doc").agg(F.array_sort(F.collect_set("_line")).alias("_gone")), "gone-lines")
 
 
@@ -100,7 +108,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = repeated_lines(docs, id_col, text_col, least, num, den)
     added = ("n_lines", "n_removed", "n_compared")
     packed = docs.select(id_or_least(id_col).alias("_doc"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added]).alias("_in"))
-    joined = packed.join(gone, "_doc", "left")
+    # Texts that lose no line stay where they are.
+    marked = flagged(packed, "_doc", gone, "_doc", "_maybe")
+    whole = marked.where("not _maybe").withColumn("_gone", F.lit(None).cast("array<bigint>"))
+    joined = marked.where("_maybe").join(gone, "_doc", "left").select(*whole.columns).unionByName(whole)
     lines = F.split(F.col("_in")[text_col], "\n", -1)
     removed = F.coalesce("_gone", F.array().cast("array<bigint>"))
     left = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~F.array_contains(removed, i.cast("long"))))
