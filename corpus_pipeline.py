@@ -14,6 +14,8 @@ from coppice.llm.common import written
 
 #: A text whose best language gets less of the score is rejected.
 LEAST_SCORE = 0.5
+#: Words to a shingle, and the least Jaccard similarity, of near-duplicates.
+SHINGLE, NUM, DEN = 5, 80, 100
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +35,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one of the smallest id stays, once if the row repeats."""
+    """Of each component of similar documents the one of the smallest id stays, once if the row repeats.
+
+    Similar: a Jaccard similarity of 0.8 or more of the sets of five-word shingles.
+    """
     numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    parts = ngram_join.similar_documents(numbered.select("_row", "text"), id_col="_row").select("_row", F.col("component_id").alias("_of"))
+    parts = ngram_join.similar_documents(numbered.select("_row", "text"), id_col="_row", k=SHINGLE, num=NUM, den=DEN).select("_row", F.col("component_id").alias("_of"))
     joined = numbered.join(parts, "_row")
     # The row of the smallest id of a component; partial minima combine before the shuffle.
     stays = joined.groupBy("_of").agg(F.min(F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"), F.col("_row"))).alias("_m")).select(F.col("_m")["_row"].alias("_row"))

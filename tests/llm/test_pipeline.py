@@ -82,3 +82,14 @@ def test_an_empty_table_passes(spark, kept):
     for _, stage in P.STAGES:
         docs = written(stage(spark, docs, ""), "empty")
     assert docs.isEmpty()
+
+
+def test_ngram_stage_takes_five_words_and_a_similarity_of_0_8(spark):
+    base = [f"w{i}" for i in range(200)]
+    # One block of changed words: a five-word similarity of 0.81 to 0.84, under 0.85 also by four words.
+    docs = [(i, " ".join(base[: 200 - n] + [f"x{i}y{j}" for j in range(n)])) for i, n in ((1, 0), (2, 18), (3, 20))]
+    docs += [(4, " ".join(f"z{j}" for j in range(200))), (5, " ".join(["q", *(f"z{j}" for j in range(160)), *(f"v{j}" for j in range(39))]))]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {c for _, c in ngram_components(docs, 5, 80).values()}
+    assert want == {1, 4, 5} != {c for _, c in ngram_components(docs).values()}
+    assert {i for i, _ in texts(P.join_ngrams(spark, table, ""))} == want
