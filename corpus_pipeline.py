@@ -12,25 +12,25 @@ from pyspark.sql import functions as F
 from coppice.llm import language_id, line_dedup, mixing, ngram_join, packing
 from coppice.llm.common import written
 
-#: A text whose best language gets less of the score is rejected.
-LEAST_SCORE = 0.5
+#: A text that no language codes in fewer bits a byte is rejected: bytes alone take as many.
+MOST_BITS = 8
 #: Words to a shingle, and the least Jaccard similarity, of near-duplicates.
 SHINGLE, NUM, DEN = 5, 80, 100
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters (also null texts) or without a clear language, and corrects ``lang``."""
+    """Drops documents without letters (also null texts) or that no language codes shorter than bytes, and corrects ``lang``."""
     rows = docs.select(F.struct("*").alias("_in"), F.col("text").alias("_text"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     scored = language_id.predict(rows, language_id.train(docs.where(~held)), "_text")
-    kept = scored.where((F.col("lang_pred") != language_id.UNDECIDED) & (F.col("score") >= LEAST_SCORE))
+    kept = scored.where((F.col("lang_pred") != language_id.UNDECIDED) & (F.col("bits_per_byte") <= MOST_BITS))
     return kept.select(*((F.col("lang_pred") if c == "lang" else F.col("_in")[c]).alias(c) for c in docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out; a document that has lost lines and has no line left to compare goes."""
+    """Takes repeated lines out; a document that has lost lines and has only blank ones left goes."""
     lines = line_dedup.dedup_lines(docs)
-    kept = lines.where((F.col("n_removed") == 0) | (F.col("n_compared") > 0))
+    kept = lines.where((F.col("n_removed") == 0) | F.col("text").rlike(mixing.WORD))
     return kept.select(*((F.length("text").cast("long") if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns))
 
 

@@ -1,6 +1,7 @@
 import corpus_pipeline as P
 import pytest
 from brute import dedup_lines, ngram_components, words
+from pyspark.sql import functions as F
 
 from coppice.llm import mixing
 from coppice.llm.common import written
@@ -93,3 +94,16 @@ def test_ngram_stage_takes_five_words_and_a_similarity_of_0_8(spark):
     want = {c for _, c in ngram_components(docs, 5, 80).values()}
     assert want == {1, 4, 5} != {c for _, c in ngram_components(docs).values()}
     assert {i for i, _ in texts(P.join_ngrams(spark, table, ""))} == want
+
+
+def test_line_stage_keeps_documents_with_short_lines_left(spark):
+    line = "one two three four five six"
+    docs = [(1, line), (2, f"{line}\n- bread\n- milk"), (3, f"{line}\n \t\n"), (4, line), (5, f"{line}\n東京は日本の首都です"), (6, " ")]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    assert dict(texts(P.dedup_lines(spark, table, ""))) == {1: line, 2: "- bread\n- milk", 5: "東京は日本の首都です", 6: " "}
+
+
+def test_language_stage_keeps_documents_of_close_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and n_chars > 100").orderBy("doc_id").limit(200)
+    close = docs.withColumn("lang", F.concat(F.lit("en-"), (F.crc32(F.col("doc_id").cast("string")) % 5).cast("string"))).persist()
+    assert {i for i, _ in texts(P.identify_language(spark, close, ""))} == {i for i, _ in texts(close)}
