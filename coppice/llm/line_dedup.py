@@ -21,6 +21,8 @@ from coppice.llm.ngram_join import LONGS, id_or_least
 
 #: Different words that a line must have to be compared, and the least Jaccard similarity.
 LEAST, NUM, DEN = 5, 80, 100
+#: The query compares every line that has a word.
+QUERY_LEAST = 1
 #: Bits of the table of word counts, and of a word's hash.
 BITS, HASH_BITS = 18, 44
 
@@ -127,4 +129,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_lines", "n_removed", "text")
+    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=QUERY_LEAST).select("doc_id", "n_lines", "n_removed", "text")

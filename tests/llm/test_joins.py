@@ -132,3 +132,15 @@ def test_tables_keep_the_recall(n):
     bits, tables = table_shape(n)
     p = (1 - np.arccos(0.9) / np.pi) ** bits
     assert 1 - (1 - p) ** tables >= 0.995
+
+
+def test_line_dedup_of_short_lines_equals_brute_force(spark, tmp_path):
+    from coppice.llm.line_dedup import op5_line_dedup
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    docs += [(5000, None), (5001, "\n \n"), (5002, "Home\nHOME\nhome page\n\n"), (5003, "a b c d e\nb c d a\na b c"), (5004, "page home home\nc b a\nc b"), (5005, "no no no no no no\nNo\n\n")]
+    spark.createDataFrame(docs, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    want = dedup_lines(docs, least=1)
+    # A line without words is blank and always stays.
+    assert want[5005] == "no no no no no no\n\n" and want[5002] == "Home\nhome page\n\n"
+    assert {r.doc_id: r.text for r in op5_line_dedup(spark, str(tmp_path)).collect()} == want
