@@ -103,7 +103,7 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     for size in rows["_size"]:
         extra.append(int(0 < size <= left))
         left -= size * extra[-1]
-    return rows.assign(_extra=extra)[["_row", "_extra"]]
+    return rows.assign(_extra=extra)[["_pattern", "_row", "_size", "_extra"]]
 
 
 def mix(docs: DataFrame, members: str, targets: dict[int, float], repeats: int = 2, seed: int = 7) -> DataFrame:
@@ -125,17 +125,35 @@ def mix(docs: DataFrame, members: str, targets: dict[int, float], repeats: int =
 
     dealt = keyed.join(F.broadcast(plan_df), "_pattern")  # MAX_PATTERNS short rows at most
     dealt = dealt.withColumn("_order", F.xxhash64(F.lit(seed), "_row")).withColumn("_bucket", F.pmod(F.col("_order"), F.col("_buckets")))
-    buckets = dealt.groupBy("_pattern", "_bucket").agg(F.sum("_size").alias("_sum"), F.first("_rest").alias("_rest"))
-    before = F.coalesce(F.sum("_sum").over(W.partitionBy("_pattern").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    buckets = buckets.select("_pattern", "_bucket", (F.col("_rest") - before).alias("_left"), "_sum")
-    edge = buckets.where("_left > 0 and _left < _sum").select("_pattern", "_bucket", "_left")
-    whole = buckets.where("_left >= _sum").select("_pattern", "_bucket", F.lit(1).alias("_all"))
-    filled = dealt.select("_pattern", "_bucket", "_row", "_order", "_size").join(edge, ["_pattern", "_bucket"]).groupBy("_pattern").applyInPandas(_fill, "_row long, _extra long")  # a bucket of each pattern
+    # Rounds: of the buckets after the last edge, the documents that fit into what is left by themselves go whole
+    # up to the bucket where their sum does not fit; of that one, the edge, every document that still fits. What
+    # is left then is less than any document passed over, so the rounds are few; buckets only advance.
+    state = [(r[0], -1, r[2]) for r in plan if r[2] > 0]
+    ranges, filled = [], spark.createDataFrame([], dealt.select("_row", F.lit(1).alias("_extra")).schema)
+    while state:
+        now = F.broadcast(spark.createDataFrame(state, "_pattern string, _from long, _left long"))  # MAX_PATTERNS short rows at most
+        fits = dealt.select("_pattern", "_bucket", "_row", "_order", "_size").join(now, "_pattern").where("_bucket > _from and _size > 0 and _size <= _left")
+        buckets = fits.groupBy("_pattern", "_bucket").agg(F.sum("_size").alias("_sum"), F.first("_left").alias("_left"))
+        before = F.coalesce(F.sum("_sum").over(W.partitionBy("_pattern").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        edges = buckets.withColumn("_room", F.col("_left") - before).where("_room < _sum").groupBy("_pattern").agg(F.min(F.struct("_bucket", "_room")).alias("_e")).select("_pattern", "_e.*")
+        edge = {r["_pattern"]: (r["_bucket"], r["_room"]) for r in edges.collect()}
+        ranges += [(p, start, edge[p][0] if p in edge else 1 << 62, left) for p, start, left in state]
+        at = [(p, k, room) for p, (k, room) in sorted(edge.items()) if room > 0]
+        if not at:
+            break
+        last = F.broadcast(spark.createDataFrame(at, "_pattern string, _bucket long, _left long"))
+        rows = fits.drop("_left").join(last, ["_pattern", "_bucket"]).groupBy("_pattern").applyInPandas(_fill, "_pattern string, _row long, _size long, _extra long")  # a bucket of each pattern
+        rows = written(rows, "filled").where("_extra > 0")
+        filled = filled.unionByName(rows.select("_row", F.col("_extra").cast("int").alias("_extra")))
+        used = {r["_pattern"]: r["n"] for r in rows.groupBy("_pattern").agg(F.sum("_size").alias("n")).collect()}
+        state = [(p, k, room - used.get(p, 0)) for p, k, room in at if room > used.get(p, 0)]
+    passed = spark.createDataFrame(ranges, "_of string, _from long, _to long, _most long").withColumn("_all", F.lit(1))
+    within = (F.col("_pattern") == F.col("_of")) & (F.col("_bucket") > F.col("_from")) & (F.col("_bucket") < F.col("_to")) & (F.col("_size") <= F.col("_most"))
     return (
-        dealt.join(whole, ["_pattern", "_bucket"], "left")
+        dealt.join(F.broadcast(passed), within, "left")  # a range at most for each document; MAX_PATTERNS short rows a round
         .join(filled, "_row", "left")
         .withColumn("taken", F.col("_size") * (F.col("_copies") + F.coalesce("_all", "_extra", F.lit(0))))
-        .drop("_pattern", "_copies", "_rest", "_buckets", "_order", "_bucket", "_all", "_extra")
+        .drop("_pattern", "_copies", "_rest", "_buckets", "_order", "_bucket", "_of", "_from", "_to", "_most", "_all", "_extra")
     )
 
 

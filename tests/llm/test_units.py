@@ -226,3 +226,14 @@ def test_mix_of_overlapping_sources(spark):
     assert abs(sum(r.taken for r in out) - sum(want.values())) <= 0.01 * total
     # Nothing repeats, as one copy of everything is enough.
     assert all(r.taken <= r._size for r in out)
+
+
+def test_mix_goes_on_after_a_document_that_does_not_fit(spark):
+    sizes = [250] * 5000 + [1_000_000]
+    got = []
+    for seed in range(3):
+        rows = [(i, s, [0]) for i, s in enumerate(sizes)]
+        out = mixing.mix(spark.createDataFrame(rows, "_row long, _size long, m array<int>"), "m", {0: sum(sizes) / 2}, seed=seed).collect()
+        assert len(out) == len(rows) and all(r.taken in (0, r._size) for r in out)
+        got.append(sum(r.taken for r in out) / (sum(sizes) / 2))
+    assert all(1 - 250 / (sum(sizes) / 2) < x <= 1 for x in got), got
