@@ -237,3 +237,23 @@ def test_mix_goes_on_after_a_document_that_does_not_fit(spark):
         assert len(out) == len(rows) and all(r.taken in (0, r._size) for r in out)
         got.append(sum(r.taken for r in out) / (sum(sizes) / 2))
     assert all(1 - 250 / (sum(sizes) / 2) < x <= 1 for x in got), got
+
+
+def test_licence_headers_over_lines_inside_lines_and_whole_texts(spark):
+    mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0"]
+    prose = " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (1, "a/x", "This work is licensed under the GNU\nGeneral Public License, version 3.\n\ncode"), (2, "b/x", f"Copyright 2020 Foo. {mit}"), (3, "c/x", f"{prose} {gpl} {prose}"),
+        (4, "d/x", f"{prose}\n# This work is licensed\n# under the GNU General\n# Public License,\n# version 3.\n{prose}"), (5, "e/LICENSE", licenses.full_texts()["MIT"].replace("<year> <copyright holders>", "2020 Foo")),
+        (6, "e/y", "x"), (7, "f/COPYING", licenses.full_texts()["LGPL-3.0"]), (8, "g/x", licenses.full_texts()["MIT"].split("\n", 1)[1]), (9, "h/x", f"{prose} the public version of the general work {prose}"),
+    ]
+    got = {r.id: (r.licence, r.origin) for r in licenses.scan(spark.createDataFrame(rows, "id long, path string, text string"), "id", "path", "text").collect()}
+    assert got == {
+        1: ("GPL-3.0", "own"), 2: ("MIT", "own"), 3: ("GPL-3.0", "own"), 4: ("GPL-3.0", "own"), 5: ("MIT", "own"), 6: ("MIT", "inherited"), 7: ("LGPL-3.0", "own"), 8: (None, "none"), 9: (None, "none"),
+    }
+
+
+def test_licence_hints_lose_nothing():
+    vectors, _ = licenses.template_weights(licenses.TEMPLATES)
+    hints = licenses.hint_terms(licenses.TEMPLATES, licenses.LEAST)
+    assert all(sum(v * v for t, v in w.items() if t not in hints) < licenses.LEAST**2 for w in vectors.values())
