@@ -58,8 +58,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document, with its place in a sequence."""
-    return packing.pack_documents(docs, keep_ids=False)
+    """One row for each piece of a document, with its ids and its place in a sequence."""
+    return packing.pack_documents(docs)
 
 
 STAGES = [

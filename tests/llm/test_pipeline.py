@@ -107,3 +107,11 @@ def test_language_stage_keeps_documents_of_close_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and n_chars > 100").orderBy("doc_id").limit(200)
     close = docs.withColumn("lang", F.concat(F.lit("en-"), (F.crc32(F.col("doc_id").cast("string")) % 5).cast("string"))).persist()
     assert {i for i, _ in texts(P.identify_language(spark, close, ""))} == {i for i, _ in texts(close)}
+
+
+def test_packing_stage_returns_the_ids(spark):
+    from brute import crc
+
+    table = spark.createDataFrame([(1, "one two three", "en", "s", 13), (2, "word " * 3000, "en", "s", 15000)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = P.pack(spark, table, "").collect()
+    assert all(len(r.ids) == r.length and crc(r.ids) == r.ids_crc32 for r in rows) and len(rows) > 2
