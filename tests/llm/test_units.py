@@ -257,3 +257,25 @@ def test_licence_hints_lose_nothing():
     vectors, _ = licenses.template_weights(licenses.TEMPLATES)
     hints = licenses.hint_terms(licenses.TEMPLATES, licenses.LEAST)
     assert all(sum(v * v for t, v in w.items() if t not in hints) < licenses.LEAST**2 for w in vectors.values())
+
+
+def test_secret_threshold_keeps_the_recall():
+    rng = np.random.default_rng(1)
+    net = secrets.CharNet()
+    x, y = rng.integers(0, 24, (400, secrets.WIDTH)), (np.arange(400) % 2).astype(float)
+    net.calibrate(x, y)  # an untrained network: its secrets' probabilities are low
+    p = net.probability(net.logits(x))
+    assert net.threshold < 0.9 and (p[y > 0] >= net.threshold).mean() >= secrets.RECALL
+
+
+def test_secrets_inside_long_runs_are_seen():
+    class Sees:
+        threshold = 0.5
+        probability = staticmethod(lambda z: z)
+        logits = staticmethod(lambda x: (np.lib.stride_tricks.sliding_window_view(x[:, secrets.BEFORE :], 20, axis=1) == 11).all(2).any(1).astype(float))
+
+    for at in range(0, 400, 7):
+        run = "ab/c" * 100
+        run = run[:at] + "7" * 20 + run[at:]
+        assert secrets.spans_of(f"see {run} end", Sees) == [(4, 4 + len(run), "model")]
+    assert secrets.spans_of("see " + "ab/1" * 100, Sees) == []
