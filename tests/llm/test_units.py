@@ -203,16 +203,64 @@ def test_licences(spark):
     mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0"]
     rows = [
         (1, "a/LICENSE", gpl), (2, "a/x.py", "code\n" + mit + "\nmore"), (3, "a/b/c/y.py", "nothing"), (4, "z/q.py", "released into the wild"), (5, "a/b/z.py", None), (6, None, mit.lower()),
-        (7, "a/COPYING.txt", mit), (8, "p/k.py", mit), (9, "p/l.py", ""), (10, "a/w.py", "Licensed under CC BY-NC 4.0."),
+        (7, "a/COPYING.txt", mit), (8, "p/k.py", mit), (9, "p/l.py", ""), (10, "a/w.py", "Licensed under CC BY-NC 4.0."), (11, "a/b/LICENCE.md", gpl), (None, "n/k.py", mit), (None, "n/l.py", "x"), (12, "r/s", mit), (12, "r/s", "x"),
     ]
     table = spark.createDataFrame([(*r, 0) for r in rows], "id long, path string, text string, score int")
-    got = {r.id: (r.licence, r.origin) for r in licenses.scan(table, "id", "path", "text").collect()}
-    assert got == {
-        1: ("GPL-3.0", "own"), 2: ("MIT", "own"), 3: ("GPL-3.0", "inherited"), 4: ("MIT", "inherited"), 5: ("GPL-3.0", "inherited"), 6: ("MIT", "own"), 7: ("MIT", "own"), 8: ("MIT", "own"), 9: ("MIT", "inherited"), 10: ("CC-BY-NC-4.0", "own"),
-    }
+    got = sorted(((r.id, r.path, r.licence, r.origin) for r in licenses.scan(table, "id", "path", "text").collect()), key=repr)
+    # Of a directory's licence files the least path declares; files without the name declare nothing.
+    assert got == sorted([
+        (1, "a/LICENSE", "GPL-3.0", "own"), (2, "a/x.py", "MIT", "own"), (3, "a/b/c/y.py", "GPL-3.0", "inherited"), (4, "z/q.py", None, "none"), (5, "a/b/z.py", "GPL-3.0", "inherited"), (6, "", "MIT", "own"),
+        (7, "a/COPYING.txt", "MIT", "own"), (8, "p/k.py", "MIT", "own"), (9, "p/l.py", None, "none"), (10, "a/w.py", "CC-BY-NC-4.0", "own"), (11, "a/b/LICENCE.md", "GPL-3.0", "own"), (None, "n/k.py", "MIT", "own"), (None, "n/l.py", None, "none"),
+        (12, "r/s", "MIT", "own"), (12, "r/s", "MIT", "own"),
+    ], key=repr)
     assert licenses.scan(table.limit(0), "id", "path", "text").count() == 0
     vectors, _ = licenses.template_weights(licenses.TEMPLATES)
     assert all(sum(v * v for v in w.values()) == pytest.approx(1) for w in vectors.values())
+    few = table.where("id in (2, 3)")
+    assert {r.id: r.licence for r in licenses.scan(few, "id", "path", "text", templates={"Own": "code"}, texts={}).collect()} == {2: "Own", 3: None}
+
+
+def brute_licence(text, templates, least=0.8, span=4):
+    """The best (licence, score) over all runs of lines and windows, by plain TF-IDF cosines."""
+    vectors, idf = licenses.template_weights(templates)
+    outside = np.log(1 + len(templates)) + 1
+    terms = lambda t: re.findall("[a-z0-9]+", t.lower())
+    lines, flat = (text or "").split("\n"), terms(text or "")
+    headers = {tuple(terms("\n".join(lines[i : i + k]))) for i in range(len(lines)) for k in range(1, span + 1)}
+    headers |= {tuple(flat[i : i + n]) for n in {len(terms(t)) for t in templates.values()} for i in range(len(flat) - n + 1)}
+    best = (0, None)
+    for h in headers:
+        w = {t: h.count(t) * idf.get(t, outside) for t in set(h)}
+        norm = np.sqrt(sum(x * x for x in w.values()))
+        for name, v in vectors.items():
+            score = round(float(sum(w[t] * x for t, x in v.items() if t in w) / norm), 6) if norm else 0
+            if score >= least and (score > best[0] or score == best[0] and name < best[1]):
+                best = (score, name)
+    return best[::-1] if best[1] else (None, None)
+
+
+def test_licences_equal_brute_force(spark):
+    rng = random.Random(8)
+    words = "the mit with a license copyright released under work version public der mit source of and x y z".split()
+    texts = []
+    for _ in range(250):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            t = rng.choice(list(licenses.TEMPLATES.values())).split()
+            if rng.random() < 0.6:
+                t = [w for w in t if rng.random() < 0.9]
+            for _ in range(rng.randrange(3)):
+                t.insert(rng.randrange(len(t) + 1), rng.choice(words))
+            if rng.random() < 0.4:
+                t = [rng.choice(words) for _ in range(rng.randrange(1, 60))]
+            parts.append("".join(w + rng.choice([" ", " ", " ", "\n", "\n# "]) for w in t))
+        texts.append(rng.choice(["", "\n", " "]).join(parts))
+    texts += [None, "", "\n\n", " ".join(words[i % len(words)] for i in range(5000)) + " " + licenses.TEMPLATES["LGPL-3.0"]]
+    table = spark.createDataFrame([(i, f"d{i}/f", t) for i, t in enumerate(texts)], "id long, path string, text string")
+    got = {r.id: (r.licence, r.score) for r in licenses.scan(table, "id", "path", "text").collect()}
+    want = {i: brute_licence(t, licenses.TEMPLATES) for i, t in enumerate(texts)}
+    assert {i: g[0] for i, g in got.items()} == {i: w[0] for i, w in want.items()}
+    assert all(got[i][1] == (pytest.approx(w[1], abs=2e-6) if w[0] else None) for i, w in want.items()) and sum(w[0] is not None for w in want.values()) > 50
 
 
 def test_mix_of_overlapping_sources(spark):
