@@ -7,9 +7,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -24,11 +25,21 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); own one only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); own one only where it is unset and all is local."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="coppice-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            path = tempfile.mkdtemp(prefix="coppice-")
+        sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
 
@@ -51,17 +62,26 @@ def cleaned(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files stay until the Python process ends, as the frames returned to callers read them.
+    ``by``: a column whose values get a folder of files each. The files stay until ``forget`` or until the Python
+    process ends, as the frames returned to callers read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with cleaned(spark):  # the table stands on its own, so the shuffle files behind it can go
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove the files of tables made by ``written`` that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._written_to)
 
 
 #: Words of 64 bits of the filter below.

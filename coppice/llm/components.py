@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import written
+from coppice.llm.common import forget, written
 
 ROUNDS = 40
 
@@ -44,7 +44,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         # Small star: a node's smaller neighbours, and itself, go to the least of them.
         low = _least(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        forest = written(small.where("u != v").distinct(), "edges")
+        old, forest = forest, written(small.where("u != v").distinct(), "edges")
+        forget(old)
     else:
         raise RuntimeError("connected components did not settle")
     return forest.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(forest.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

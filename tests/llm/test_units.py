@@ -26,6 +26,16 @@ def test_extendible_directory():
     assert exact_dedup.double_directory({}, 100) == (0, [(0, 0, 0)])
 
 
+def test_exact_dedup_follows_its_directory(spark, monkeypatch):
+    """Pointers that lead elsewhere lose the duplicates: rows find their entries through the directory alone."""
+    table = spark.createDataFrame([(i, f"t{i % 5}") for i in range(20)], "doc_id long, text string")
+    assert all(r.group_size == 4 for r in exact_dedup.exact_duplicates(table, capacity=1).collect())
+    depths = []
+    real = exact_dedup.double_directory
+    monkeypatch.setattr(exact_dedup, "double_directory", lambda *a: depths.append(real(*a)) or (depths[-1][0], depths[-1][1][:1]))
+    assert exact_dedup.exact_duplicates(table, capacity=1).count() < 20 and depths[0][0] > 1
+
+
 def test_exact_dedup(spark):
     rows = [(1, "a"), (2, "a"), (3, ""), (4, None), (5, "A"), (6, "b " * 50_000), (7, "b " * 50_000), (7, "z"), (None, "a"), (8, "é"), (9, "é")]
     table = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, _key string")
@@ -38,6 +48,12 @@ def test_exact_dedup(spark):
     assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want]
     assert all(g[3] == w[3] or g[0] is None for g, w in zip(got, want, strict=True))
     assert exact_dedup.exact_duplicates(table.limit(0)).count() == 0
+    # Keys of 2 bits: chains of several texts, in buckets that no directory can split.
+    for bits in (0, 2):
+        chained = exact_dedup.exact_duplicates(table, capacity=1, key_bits=bits).collect()
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in chained), key=repr) == got
+    odd = table.withColumnRenamed("text", "the.text").withColumnRenamed("doc_id", "my id")
+    assert exact_dedup.exact_duplicates(odd, "my id", "the.text").count() == len(rows)
     assert {r.doc_id: r.group_size for r in exact_dedup.exact_duplicates(table, normalise="case").collect()}[5] == 4
 
 
