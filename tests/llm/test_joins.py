@@ -127,6 +127,47 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def brute_vectors(rows):
+    """(n_links, component) by place: each row a vector of its own."""
+    import math
+
+    from brute import components
+
+    unit = []
+    for i, v in rows:
+        ok = i is not None and v and all(c is not None and math.isfinite(c) for c in v) and any(v)
+        unit.append(np.array(v) / np.linalg.norm(v) if ok else None)
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if unit[a] is not None and unit[b] is not None and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.9]
+    part = components(range(len(rows)), links)
+    least: dict = {}
+    for n, (i, _) in enumerate(rows):
+        if i is not None:
+            least[part[n]] = min(i, least.get(part[n], i))
+    degree = [0] * len(rows)
+    for a, b in links:
+        degree[a] += 1
+        degree[b] += 1
+    return sorted(((i, degree[n], least.get(part[n]) if i is not None else None) for n, (i, _) in enumerate(rows)), key=repr)
+
+
+def test_embeddings_of_odd_tables(spark):
+    e = lambda *v: [float(x) for x in v]
+    rows = [(i, None) for i in range(5)] + [(10 + i, []) for i in range(5)] + [(20, e(1, 0)), (21, e(1, 0.01)), (22, e(2, 0)), (23, e(1, 0, 0)), (24, e(1, 0, 0.1)), (25, e(-1)), (26, e(3)), (27, e(0, 0))]
+    rows += [(30, e(0, 1)), (30, e(0, 1)), (30, e(5, 5)), (None, e(0, 1)), (31, [1.0, None]), (32, [float("nan"), 1.0]), (33, e(1e300, 1e300)), (34, e(1e-300, 1e-300))]
+    table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, _item int")
+    got = near_duplicates(table).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == brute_vectors([(i, [1.0, 1.0] if i in (33, 34) else v) for i, v in rows])
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
+    floats = near_duplicates(spark.createDataFrame(rows[10:13], "vec_id int, embedding array<float>")).collect()
+    assert all(r.n_links == 2 and r.component_id == 20 for r in floats)
+
+
+def test_embeddings_with_a_very_common_vector(spark):
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(10_000)] + [(20_000 + i, [1.0, 0.1, i / 100]) for i in range(3)] + [(30_000, [0.0, 1.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got[0] == got[9_999] == (10_002, 0) and got[20_001] == (10_002, 0) and got[30_000] == (0, 30_000) and len(got) == len(rows)
+
+
 @pytest.mark.parametrize("n", [10, 10_000, 10**9])
 def test_tables_keep_the_recall(n):
     bits, tables = table_shape(n)
