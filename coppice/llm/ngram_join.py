@@ -17,19 +17,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coppice.llm import setjoin as S
-from coppice.llm.common import flagged, list_array, tune, written
+from coppice.llm.common import column, flagged, forget, list_array, tune, written
 from coppice.llm.components import connected_components
 
 #: Bits of the table of word counts, and of a shingle's hash.
 BITS, HASH_BITS = 18, 48
-LONGS = ("_d1", "_d2", "_x", "_y0", "_y1", "_y2", "_y3")
+LONGS = ("_d1", "_d2", *S.BITMAPS)
 DIGEST = ["_d1", "_d2"]
 #: Stands for a null id, and sorts before all others.
 NO_ID = -(1 << 63)
 
 
 def id_or_least(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    return F.coalesce(column(id_col).cast("long"), F.lit(NO_ID))
 
 
 def shingles(texts: list[bytes | None], k: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
@@ -53,8 +53,8 @@ def shingles(texts: list[bytes | None], k: int, classes: np.ndarray | None = Non
     return h, rarest, counts
 
 
-def shingle_sets(texts: list[bytes | None], k: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's set of shingles, the rarest first, and its size."""
+def shingle_sets(texts: list[bytes | None], k: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's set of shingles, the rarest first, as codes and as hashes, and its size."""
     h, rarest, counts = shingles(texts, k, classes)
     return S.ordered_sets(counts, h, rarest, HASH_BITS)
 
@@ -69,15 +69,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     tune(spark)
-    rows = docs.select(id_or_least(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    rows = docs.select(id_or_least(id_col).alias("_doc"), column(text_col).alias("_text"))
     table = spark.sparkContext.broadcast(S.rarity(S.word_counts(rows, "_text", BITS)))  # of fixed size
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, sizes = shingle_sets(S.binary(batch.column(1)), k, table.value)
+            codes, whole, sizes = shingle_sets(S.binary(batch.column(1)), k, table.value)
             prefix, lengths = S.prefixes(codes, sizes, num, den)
-            words = [*S.digests(codes, sizes, HASH_BITS), *S.parities(codes, sizes, 1), *S.parities(codes, sizes, 4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *(pa.array(w) for w in words), list_array(prefix.view(np.int64), lengths, pa.int64())], names=["_doc", "_n", *LONGS, "_prefix"])
+            words = [*(pa.array(d) for d in S.digests(whole, sizes)), *S.bitmaps(whole, sizes, num, den)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *words, list_array(prefix.view(np.int64), lengths, pa.int64())], names=["_doc", "_n", *LONGS, "_prefix"])
 
     signed = written(rows.mapInArrow(sign, f"_doc long, _n long, {', '.join(f'{c} long' for c in LONGS)}, _prefix array<long>"), "shingle-prefixes")
     hashed = signed.withColumn("_g1", F.xxhash64("_prefix")).withColumn("_g2", F.xxhash64(F.lit(1), "_prefix"))
@@ -92,22 +92,24 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # are compared by prefix and size alone.
     items = signed.select(*DIGEST, "_doc", *LONGS[2:], "_prefix").join(groups.select(*DIGEST, "_doc", "_n", F.col("_group").alias("_item"), "_c"), [*DIGEST, "_doc"])
     free = (F.col("_c") > 1).cast("int").alias("_free")
-    comps = S.candidate_components(written(items.select("_item", "_n", "_prefix", *LONGS[2:], free), "group-prefixes"), num, den)
+    items = written(items.select("_item", "_n", "_prefix", *LONGS[2:], free), "group-prefixes")
+    comps = S.candidate_components(items, num, den)
     placed = groups.join(comps, groups["_group"] == comps["_item"], "left").where("_comp is not null or _c > 1").select(*group, F.coalesce("_comp", "_group").alias("_comp"))
     members = written(classes.select("_item", "_doc", *DIGEST, *group).join(placed, group).select("_item", "_doc", *DIGEST, "_n", "_comp"), "members")
     wanted = written(members.join(S.block_plan(members), "_comp").select("_item", *DIGEST, "_comp", "_k", F.col("_doc").alias("_at")), "wanted")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, sizes = shingle_sets(S.binary(batch.column(3)), k)
-            d1, d2 = S.digests(codes, sizes, HASH_BITS)
+            _, whole, sizes = shingle_sets(S.binary(batch.column(3)), k)
+            d1, d2 = S.digests(whole, sizes)
             same = (batch.column(4).to_numpy() == d1) & (batch.column(5).to_numpy() == d2)  # rows may share an id
             take = pa.array(np.flatnonzero(same))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), list_array(codes[np.repeat(same, sizes)].view(np.int64), sizes[same], pa.int64())], names=["_item", "_comp", "_k", "_set"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), list_array(whole[np.repeat(same, sizes)].view(np.int64), sizes[same], pa.int64())], names=["_item", "_comp", "_k", "_set"])
 
     few = flagged(rows, "_doc", wanted, "_at", "_maybe").where("_maybe")
     sets = few.join(wanted, F.col("_doc") == F.col("_at")).select("_item", "_comp", "_k", "_text", *DIGEST).mapInArrow(expand, "_item long, _comp long, _k int, _set array<long>")
     links = written(S.verified(sets, S.spanning_links(num, den), []), "links")
+    forget(items, groups, members, wanted)
     tune(spark)
     parts = connected_components(links, "_left", "_right")
     labelled = classes.select("_item", "_doc", *DIGEST).join(parts, F.col("_item") == F.col("node"))

@@ -2,12 +2,14 @@
 
 Elements are 64-bit hashes in one global order, rarest first, by counts of hashed buckets (a table of fixed
 size that all data have been counted into). Two sets whose Jaccard similarity is ``num / den`` or more
-share an element of their prefixes, of n - ceil(n * num / den) + 1 elements.
-
-1. ``candidate_edges``: prefixes are dealt by element. In a task, elements' holders are compared in order of
-   size under the length, positional and bitmap filters. What leaves the task is a spanning forest of the
-   pairs that pass, not the pairs. An element that very many prefixes hold is dealt over tasks by pairs of
-   blocks, so that no pair is lost and no task gets all of it.
+share an element of their prefixes, of n - ceil(n * num / den) + 1 elements, and a second one if the
+prefixes are longer by one.
+
+1. ``candidate_edges``: prefixes are dealt by element; small sets by a pair of elements where the first is
+   common. In a task, the holders are compared in order of size under the length, positional and bitmap
+   filters. What leaves the task is a spanning forest of the pairs that pass, not the pairs. A key that more
+   than ``HOLDERS`` prefixes hold is dealt over tasks by pairs of blocks of that size, so that no pair is lost
+   and no task gets all of it.
 2. Connected components of the candidates; no link crosses two of them.
 3. ``verified``: the whole sets of a component meet, in blocks if there are many, and are compared exactly.
 """
@@ -19,22 +21,28 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import cleaned, tune, written
+from coppice.llm.common import cleaned, forget, tune, written
 from coppice.llm.components import connected_components
 
-#: An element's holders to a block, at least; elements that more hold are split.
+#: Holders of a key to a block; keys that more hold are split.
 HOLDERS = 4000
-#: Beyond ``HOLDERS`` the limit is this share of all prefix entries; elements are counted by so many cells.
-SPLIT, CELLS = 10_000, 1 << 16
+#: Small sets are dealt by pairs of elements where more prefixes than this may hold the first one.
+COMMON = 1000
+#: Cells that keys are counted by before those of full cells are counted exactly.
+CELLS = 1 << 16
+#: Keys to split of which a table may be broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 100_000
 #: Set elements, and sets, to a block of a component.
 ELEMENTS, MEMBERS = 1 << 19, 1024
 #: Pairs compared at once.
 PAIRS = 1 << 21
 #: Sizes up to which a 64-bit bitmap tells sets apart, and one of 256 bits; larger sets have none.
 SHORT, MIDDLE = 80, 700
+#: Columns of the bitmaps.
+BITMAPS = ("_x", "_y0", "_y1", "_y2", "_y3")
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -46,8 +54,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-#: Bytes hashed at once; a word as long as that is hashed on its own.
-PIECE = 1 << 19
+#: Bytes hashed at once, and to a word that is not hashed on its own.
+PIECE, LONG = 1 << 19, 64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _M1)
@@ -59,7 +67,8 @@ _POWER, _INVERSE = (np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.u
 def words_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and starts of the words ``[^\\x20\\x09-\\x0D]+`` of bytes that end with white space; A-Z count as a-z.
 
-    A word's hash is a polynomial of its bytes modulo 2**64, from running sums over the whole piece.
+    A word's hash is a polynomial of its bytes modulo 2**64, from running sums over the whole piece; one of
+    more than ``LONG`` bytes, for which such polynomials may coincide by construction, is hashed on its own.
     """
     hashes, starts, lo = [], [], 0
     while lo < len(data):
@@ -81,7 +90,10 @@ def words_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             edge = np.concatenate([[0], edge])
         first, after = edge[::2], edge[1::2]  # each word ends within the piece, as white space ends it
         before = np.where(first > 0, total[first - 1], np.uint64(0))
-        hashes.append(mixed((total[after - 1] - before) * _INVERSE[first] + (after - first).astype(np.uint64) * _M1))
+        h = mixed((total[after - 1] - before) * _INVERSE[first] + (after - first).astype(np.uint64) * _M1)
+        for w in np.flatnonzero(after - first > LONG):
+            h[w] = xxhash.xxh3_64_intdigest(data[lo + first[w] : lo + after[w]].tobytes().lower())
+        hashes.append(h)
         starts.append(first + lo)
         lo = hi
     if not hashes:
@@ -109,14 +121,19 @@ def binary(column: pa.Array) -> list[bytes | None]:
 
 def rarity(counts: np.ndarray) -> np.ndarray:
     """Classes 0 to 255 that grow with the counts."""
-    return np.minimum(255, 8 * np.log2(1 + counts.astype(np.float64))).astype(np.uint8)
+    return np.minimum(255, 6 * np.log2(1 + counts.astype(np.float64))).astype(np.uint8)
+
+
+#: Elements from which an owner is sorted on its own, by all bits.
+LARGE = 1 << 13
 
 
-def ordered_sets(owner_sizes: np.ndarray, h: np.ndarray, rank: np.ndarray | None, hash_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each owner's different elements, the rarest first, as rank << hash_bits | hash; and how many each has.
+def ordered_sets(owner_sizes: np.ndarray, h: np.ndarray, rank: np.ndarray | None, hash_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each owner's different elements, the rarest first: as rank << hash_bits | hash, whole hashes, and how many each has.
 
-    h: elements, owner after owner (``owner_sizes`` of each); hashes keep their first ``hash_bits`` bits. One
-    sort of plain integers orders the sets of as many owners as the bits left can number.
+    h: elements, owner after owner (``owner_sizes`` of each); codes keep the first ``hash_bits`` bits. One sort
+    of plain integers orders the sets of as many small owners as the bits left can number; in them, two
+    elements are one if those first bits are equal.
     """
     bits = np.uint64(hash_bits)
     code = h >> np.uint64(64 - hash_bits)
@@ -125,18 +142,36 @@ def ordered_sets(owner_sizes: np.ndarray, h: np.ndarray, rank: np.ndarray | None
     chunk = 1 << (56 - hash_bits)
     own = bits + np.uint64(8)
     edges = np.concatenate([[0], np.cumsum(owner_sizes)])
-    codes, sizes = [], []
-    for lo in range(0, len(owner_sizes), chunk):
+    places, sizes = [], []
+    large = np.flatnonzero(owner_sizes > LARGE)
+    lo = 0
+    while lo < len(owner_sizes):
+        if owner_sizes[lo] > LARGE:
+            some = np.arange(edges[lo], edges[lo + 1])
+            some = some[np.lexsort((h[some], code[some] >> bits))]
+            some = some[np.concatenate([[True], h[some[1:]] != h[some[:-1]]])]
+            places.append(some)
+            sizes.append(np.array([len(some)]))
+            lo += 1
+            continue
         hi = min(lo + chunk, len(owner_sizes))
+        nxt = np.searchsorted(large, lo)
+        if nxt < len(large):
+            hi = min(hi, int(large[nxt]))
         owner = np.repeat(np.arange(hi - lo, dtype=np.uint64), owner_sizes[lo:hi])
-        key = np.sort(owner << own | code[edges[lo] : edges[hi]])
+        key = owner << own | code[edges[lo] : edges[hi]]
+        at = np.argsort(key)
+        key = key[at]
         if len(key):
-            key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            key, at = key[first], at[first]
         sizes.append(np.bincount((key >> own).astype(np.int64), minlength=hi - lo))
-        codes.append(key & np.uint64((1 << (hash_bits + 8)) - 1))
-    if not codes:
-        return code, np.zeros(0, dtype=np.int64)
-    return np.concatenate(codes), np.concatenate(sizes)
+        places.append(at + edges[lo])
+        lo = hi
+    if not places:
+        return code, h, np.zeros(0, dtype=np.int64)
+    at = np.concatenate(places)
+    return code[at], h[at], np.concatenate(sizes)
 
 
 def starts_of(sizes: np.ndarray) -> np.ndarray:
@@ -144,8 +179,9 @@ def starts_of(sizes: np.ndarray) -> np.ndarray:
 
 
 def prefixes(codes: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """The prefixes of ordered sets, set after set, and their lengths."""
+    """The prefixes of ordered sets, set after set, and their lengths; small sets' are longer by one if that can be shared."""
     p = np.where(sizes > 0, prefix_length(sizes, num, den), 0)
+    p += (sizes <= SHORT) & (overlap_needed(sizes, num, den) >= 2)
     inside = np.arange(len(codes)) - np.repeat(starts_of(sizes), sizes) < np.repeat(p, sizes)
     return codes[inside], p
 
@@ -159,19 +195,28 @@ def per_set(values: np.ndarray, sizes: np.ndarray, ufunc: np.ufunc) -> np.ndarra
     return out
 
 
-def digests(codes: np.ndarray, sizes: np.ndarray, hash_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums over each set's hashes."""
-    h = codes & np.uint64((1 << hash_bits) - 1)
+def digests(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each set's whole hashes."""
     return tuple(per_set(mixed(h * _M1 ^ np.uint64(salt)), sizes, np.add).view(np.int64) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
 
 
-def parities(codes: np.ndarray, sizes: np.ndarray, words: int) -> list[np.ndarray]:
+def parities(h: np.ndarray, sizes: np.ndarray, words: int) -> list[np.ndarray]:
     """Bitmaps of 64 * ``words`` bits: an element flips a bit, so two differ in no more bits than their sets in elements."""
-    at = mixed(codes * _M1) & np.uint64(64 * words - 1)
+    at = mixed(h * _M1) & np.uint64(64 * words - 1)
     bit = np.uint64(1) << (at & np.uint64(63))
     return [per_set(np.where(at >> np.uint64(6) == w, bit, np.uint64(0)), sizes, np.bitwise_xor).view(np.int64) for w in range(words)]
 
 
+def bitmaps(h: np.ndarray, sizes: np.ndarray, num: int, den: int) -> list[pa.Array]:
+    """``BITMAPS`` of each set, null where sets of its size are not compared by them."""
+    out = []
+    for words, has in ((1, sizes <= SHORT), (4, (sizes > SHORT * num // den) & (sizes <= MIDDLE))):
+        part = parities(h[np.repeat(has, sizes)], sizes[has], words)
+        at = np.cumsum(has) - 1
+        out += [pa.array(np.where(has, w[at], 0) if len(w) else np.zeros(len(sizes), dtype=np.int64), mask=~has) for w in part]
+    return out
+
+
 def overlap_needed(n: np.ndarray | int, num: int, den: int):
     """Least intersection with any set that can be similar to one of n elements."""
     return -(-n * num // den)
@@ -249,10 +294,10 @@ def group_labels(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         i, j = i[differ], j[differ]
 
 
-def similar_runs(start: np.ndarray, n: np.ndarray, pos: np.ndarray, x: list[np.ndarray], free: np.ndarray, block: np.ndarray, cross: np.ndarray, above: int, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def similar_runs(start: np.ndarray, n: np.ndarray, pos: np.ndarray, x: list[np.ndarray], free: np.ndarray, side: np.ndarray, cross: np.ndarray, above: int, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows in the same run, sorted by size, that pass the filters and are not both of ``above`` elements or fewer.
 
-    x: the words of the bitmaps, none if there are no bitmaps; ``free`` rows have none either. cross: only rows of different blocks.
+    x: the words of the bitmaps, none if there are no bitmaps; ``free`` rows have none either. cross: only rows of different sides.
     """
     total = len(n)
     run = np.repeat(np.arange(len(start) - 1), np.diff(start))
@@ -270,7 +315,7 @@ def similar_runs(start: np.ndarray, n: np.ndarray, pos: np.ndarray, x: list[np.n
             both = n[i] + n[j]
             need = -(-num * both // (num + den))
             ok = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (n[j] > above)
-            ok &= ~cross[i] | (block[i] != block[j])
+            ok &= ~cross[i] | (side[i] != side[j])
             i, j, both, need = i[ok], j[ok], both[ok], need[ok]
             ok = sum((np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in x), np.zeros(len(i), dtype=np.int64)) <= both - 2 * need
             ok |= free[i] | free[j]
@@ -278,6 +323,54 @@ def similar_runs(start: np.ndarray, n: np.ndarray, pos: np.ndarray, x: list[np.n
         lo = hi
 
 
+def _cell(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(CELLS)).cast("int")
+
+
+def full_cells(entries: DataFrame, more_than: int) -> tuple[DataFrame, int]:
+    """``_c``: the cells that more entries than that fall into, and how many: CELLS at most."""
+    rows = entries.groupBy(_cell(F.col("_e")).alias("_c")).count().where(F.col("count") > more_than).select("_c").collect()
+    return F.broadcast(entries.sparkSession.createDataFrame(rows, "_c int")), len(rows)
+
+
+def keys_of(items: DataFrame, columns: list[str], num: int, den: int, pairs: bool) -> DataFrame:
+    """``_e, _pos`` and ``columns``: an item's keys, and where in its set the key's (first) element lies.
+
+    A key is an element of the prefix, or if ``pairs`` and its cell is common, the element with each later one
+    of the prefix longer by one: the two first elements that similar sets share lie in both prefixes.
+    """
+    n = F.col("_n")
+    p = (n - F.floor((n * num + den - 1) / den) + 1).cast("int")
+    single = items.select(*columns, "_prefix", p.alias("_p"), F.posexplode(F.slice("_prefix", F.lit(1), F.greatest(p, F.lit(1)))).alias("_pos", "_e"))
+    if not pairs:
+        return single.drop("_prefix", "_p")
+    common, some = full_cells(single, COMMON)
+    if not some:
+        return single.drop("_prefix", "_p")
+    marked = single.withColumn("_c", _cell(F.col("_e"))).join(common.withColumn("_common", F.lit(True)), "_c", "left").drop("_c")
+    # A prefix that is not longer by one belongs to a set that is similar to none but equal ones.
+    second = F.slice("_prefix", F.col("_pos") + 2, F.greatest(F.col("_p") - F.col("_pos"), F.lit(0)))
+    spread = marked.withColumn("_e2", F.explode(F.when(F.col("_common"), second).otherwise(F.array(F.lit(None).cast("long")))))
+    return spread.withColumn("_e", F.when(F.col("_e2").isNull(), F.col("_e")).otherwise(F.xxhash64("_e", "_e2"))).select(*columns, "_pos", "_e")
+
+
+def in_blocks(entries: DataFrame) -> DataFrame:
+    """Adds ``_at`` (the pair of blocks, lo << 32 | hi) and ``_side`` (1 if in block hi of two) to entries with ``_e`` and ``_item``.
+
+    Keys of more than HOLDERS entries are split into blocks of about as many; each block meets all others.
+    """
+    cells, some = full_cells(entries, HOLDERS)
+    if not some:
+        return entries.withColumn("_at", F.lit(0).cast("long")).withColumn("_side", F.lit(0))
+    heavy = entries.withColumn("_c", _cell(F.col("_e"))).join(cells, "_c").groupBy("_e").count().where(F.col("count") > HOLDERS)
+    heavy = written(heavy.select("_e", F.ceil(F.col("count") / HOLDERS).cast("int").alias("_k")), "common-keys")
+    few = heavy.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    dealt = entries.join(F.broadcast(heavy) if few else heavy, "_e", "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+    dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("_item"), F.col("_k")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    at = F.shiftleft(F.least("_b", "_o").cast("long"), 32).bitwiseOR(F.greatest("_b", "_o").cast("long"))
+    return dealt.withColumn("_at", at).withColumn("_side", (F.col("_b") > F.col("_o")).cast("int")).drop("_k", "_b", "_o")
+
+
 def candidate_edges(items: DataFrame, num: int, den: int, above: int, upto: int | None, bitmap: list[str]) -> DataFrame:
     """``src, dst``: a spanning forest, task by task, of the pairs of items that pass the filters.
 
@@ -289,26 +382,20 @@ def candidate_edges(items: DataFrame, num: int, den: int, above: int, upto: int
     items = items.where(F.col("_n") > above * num // den)
     if upto is not None:
         items = items.where(F.col("_n") <= upto)
-    entries = items.select("_item", "_n", "_free", *bitmap, F.posexplode("_prefix").alias("_pos", "_e"))
     with cleaned(spark):
-        size = items.agg(F.sum(F.size("_prefix"))).first()[0] or 0
-        limit = max(HOLDERS, size // SPLIT)
-        # Holders are counted by fixed cells of elements; all elements of a cell beyond the limit are split.
-        cell = F.pmod(F.xxhash64("_e"), F.lit(CELLS)).cast("int")
-        hot = entries.groupBy(cell.alias("_c")).count().where(F.col("count") > limit).select("_c", F.ceil(F.col("count") / limit).cast("int").alias("_k")).collect()
-    hot = spark.createDataFrame(hot, "_c int, _k int")  # CELLS rows at most
-    dealt = entries.withColumn("_c", cell).join(F.broadcast(hot), "_c", "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
-    dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("_item"), F.col("_k")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    dealt = dealt.select("_e", F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi"), "_b", "_free", F.col("_n").cast("int").alias("_n"), F.col("_pos").cast("int").alias("_pos"), *bitmap, "_item")
+        dealt = in_blocks(keys_of(items, ["_item", "_n", "_free", *bitmap], num, den, pairs=upto is not None and upto <= SHORT))
+    # Size, place, side and freedom in one long, which also sorts by size.
+    packed = F.shiftleft(F.col("_n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("_pos").cast("long"), 2)).bitwiseOR((F.col("_side") * 2 + F.col("_free")).cast("long"))
+    dealt = dealt.select("_e", "_at", packed.alias("_w"), *bitmap, "_item")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, start in runs(batches, ["_e", "_lo", "_hi"]):
-            c = {k: t.column(k).to_numpy() for k in ("_item", "_n", "_pos", "_b", "_lo", "_hi", "_free")}
+        for t, start in runs(batches, ["_e", "_at"]):
+            item, at, w = (t.column(k).to_numpy() for k in ("_item", "_at", "_w"))
             x = [t.column(k).to_numpy().view(np.uint64) for k in bitmap]
-            ids, at = np.unique(c["_item"], return_inverse=True)
+            ids, of = np.unique(item, return_inverse=True)
             label = np.arange(len(ids))
-            for i, j in similar_runs(start, c["_n"].astype(np.int64), c["_pos"].astype(np.int64), x, c["_free"] == 1, c["_b"], c["_lo"] != c["_hi"], above, num, den):
-                a, b = label[at[i]], label[at[j]]
+            for i, j in similar_runs(start, w >> 32, (w & 0xFFFFFFFF) >> 2, x, w & 1 == 1, w >> 1 & 1, at >> 32 != at & 0xFFFFFFFF, above, num, den):
+                a, b = label[of[i]], label[of[j]]
                 a, b = a[a != b], b[a != b]
                 if len(a):
                     label = group_labels(a, b, len(ids))[label]
@@ -317,7 +404,7 @@ def candidate_edges(items: DataFrame, num: int, den: int, above: int, upto: int
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     try:
-        return written(dealt.repartition("_e", "_lo", "_hi").sortWithinPartitions("_e", "_lo", "_hi", "_n").mapInArrow(compare, "src long, dst long").distinct(), "candidates")
+        return written(dealt.repartition("_e", "_at").sortWithinPartitions("_e", "_at", "_w").mapInArrow(compare, "src long, dst long").distinct(), "candidates")
     finally:
         tune(spark)
 
@@ -329,11 +416,9 @@ def candidate_components(items: DataFrame, num: int, den: int) -> DataFrame:
     bitmaps that suit them, so that hardly any pair passes by chance.
     """
     bands = ((0, SHORT, ["_x"]), (SHORT, MIDDLE, ["_y0", "_y1", "_y2", "_y3"]), (MIDDLE, None, []))
-    edges = None
-    for above, upto, bitmap in bands:
-        found = candidate_edges(items, num, den, above, upto, bitmap)
-        edges = found if edges is None else edges.unionByName(found)
-    parts = connected_components(edges)
+    found = [candidate_edges(items, num, den, above, upto, bitmap) for above, upto, bitmap in bands]
+    parts = connected_components(found[0].unionByName(found[1]).unionByName(found[2]))
+    forget(*found)
     return parts.select(F.col("node").alias("_item"), F.col("component").alias("_comp"))
 
 

@@ -31,7 +31,7 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_documents(spark.createDataFrame(docs, SCHEMA)).collect()}
     assert got == ngram_components(docs)
     # Small blocks: hot shingles and large components are split, with the same result.
-    for name, value in (("HOLDERS", 5), ("SPLIT", 10**6), ("ELEMENTS", 500), ("MEMBERS", 7)):
+    for name, value in (("HOLDERS", 5), ("COMMON", 2), ("CELLS", 64), ("BROADCAST_KEYS", 3), ("LARGE", 100), ("ELEMENTS", 500), ("MEMBERS", 7)):
         monkeypatch.setattr(S, name, value)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_documents(spark.createDataFrame(docs, SCHEMA)).collect()}
     assert got == ngram_components(docs)
@@ -53,7 +53,7 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch):
     got = spark_lines(table).collect()
     assert {r.doc_id: r.text for r in got} == want
     assert {r.doc_id: r.n_lines for r in got} == {i: 0 if t is None else t.count("\n") + 1 for i, t in docs}
-    for name, value in (("HOLDERS", 5), ("SPLIT", 10**6), ("ELEMENTS", 60), ("MEMBERS", 7), ("PAIRS", 50)):
+    for name, value in (("HOLDERS", 5), ("COMMON", 2), ("CELLS", 64), ("BROADCAST_KEYS", 3), ("LARGE", 8), ("ELEMENTS", 60), ("MEMBERS", 7), ("PAIRS", 50)):
         monkeypatch.setattr(S, name, value)
     assert {r.doc_id: r.text for r in spark_lines(table).collect()} == want
 
@@ -92,6 +92,22 @@ def test_prefix_filters_lose_nothing():
                 assert len(np.intersect1d(pa, pb))
 
 
+def test_two_elements_of_longer_prefixes_are_shared():
+    rng = np.random.default_rng(1)
+    seen = 0
+    for num in (80, 85):
+        for _ in range(400):
+            n = int(rng.integers(2, 40))
+            a = np.sort(rng.choice(300, size=n, replace=False))
+            b = np.sort(np.unique(np.concatenate([rng.permutation(a)[: n - rng.integers(0, 1 + n // 8)], rng.choice(300, size=rng.integers(0, 3))])))
+            shared = np.intersect1d(a, b)
+            if 100 * len(shared) >= num * (len(a) + len(b) - len(shared)) and len(a) != len(shared):
+                prefix = [S.prefixes(x.astype(np.uint64), np.array([len(x)]), num, 100)[0] for x in (a, b)]
+                assert len(np.intersect1d(*prefix)) >= 2 and set(shared[:2]) <= set(np.intersect1d(*prefix).tolist())
+                seen += 1
+    assert seen > 100
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(70)] + [(i, i + 1) for i in range(100, 160)] + [(200, x) for x in range(201, 240)] + [(5, 5), (None, 3)]
