@@ -59,8 +59,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     lines = written(rows.mapInArrow(split, f"_doc long, _line long, _n long, {', '.join(f'{c} long' for c in LONGS)}, _prefix array<long>"), "lines")
     digest = ["_d1", "_d2"]
-    classes = lines.groupBy(*digest).agg(F.min(F.struct("_doc", "_line", "_n", *LONGS[2:], "_prefix")).alias("_m"), F.count("*").alias("_c")).select(*digest, "_c", "_m.*")
-    classes = written(classes.withColumn("_item", F.monotonically_increasing_id()), "line-classes")
+    # A class is found by digests alone; of lines that do not repeat, nothing else is shuffled.
+    repeated = lines.groupBy(*digest).agg(F.min(F.struct("_doc", "_line")).alias("_m"), F.count("*").alias("_c")).where("_c > 1").select(*digest, F.col("_m")["_doc"].alias("_doc0"), F.col("_m")["_line"].alias("_line0"), "_c")
+    repeated = written(repeated, "repeated-lines")
+    marked = flagged(lines, "_d1", repeated, "_d1", "_maybe")
+    once = marked.where("not _maybe").withColumn("_c", F.lit(1).cast("long")).drop("_maybe")
+    again = marked.where("_maybe").join(repeated, digest, "left").where("_c is null or _doc = _doc0 and _line = _line0")
+    again = again.withColumn("_c", F.coalesce("_c", F.lit(1).cast("long"))).select(*once.columns).dropDuplicates(digest)  # rows may share an id
+    classes = written(once.unionByName(again).withColumn("_item", F.monotonically_increasing_id()), "line-classes")
+    forget(repeated)
 
     comps = S.candidate_components(classes.select("_item", "_n", "_prefix", *LONGS[2:], F.lit(0).alias("_free")), num, den)
     comps = written(comps.withColumnRenamed("_item", "_member"), "components")
@@ -119,7 +126,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Texts that lose no line stay where they are.
     marked = flagged(packed, "_doc", gone, "_doc", "_maybe")
     whole = marked.where("not _maybe").withColumn("_gone", F.lit(None).cast("array<bigint>"))
-    joined = marked.where("_maybe").join(gone, "_doc", "left").select(*whole.columns).unionByName(whole)
+    # Lines gone grow with the input: the join is the same at every size.
+    joined = marked.where("_maybe").join(gone.hint("merge"), "_doc", "left").select(*whole.columns).unionByName(whole)
     lines = F.split(F.col("_in")[text_col], "\n", -1)
     removed = F.coalesce("_gone", F.array().cast("array<bigint>"))
     left = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~F.array_contains(removed, i.cast("long"))))

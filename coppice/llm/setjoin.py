@@ -16,6 +16,7 @@ prefixes are longer by one.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,10 +40,11 @@ BROADCAST_KEYS = 100_000
 ELEMENTS, MEMBERS = 1 << 19, 1024
 #: Pairs compared at once.
 PAIRS = 1 << 21
-#: Sizes up to which a 64-bit bitmap tells sets apart, and one of 256 bits; larger sets have none.
-SHORT, MIDDLE = 80, 700
-#: Columns of the bitmaps.
-BITMAPS = ("_x", "_y0", "_y1", "_y2", "_y3")
+#: Sizes up to which a bitmap of 64, 128 and 256 bits tells sets apart; larger sets have none.
+SHORT, MIDDLE, WIDE = 80, 200, 700
+#: Bands of sizes of a pair's larger set, and the columns of their bitmaps.
+BANDS = ((0, SHORT, ["_x"]), (SHORT, MIDDLE, ["_y0", "_y1"]), (MIDDLE, WIDE, ["_z0", "_z1", "_z2", "_z3"]), (WIDE, None, []))
+BITMAPS = tuple(c for _, _, columns in BANDS for c in columns)
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -210,7 +212,10 @@ def parities(h: np.ndarray, sizes: np.ndarray, words: int) -> list[np.ndarray]:
 def bitmaps(h: np.ndarray, sizes: np.ndarray, num: int, den: int) -> list[pa.Array]:
     """``BITMAPS`` of each set, null where sets of its size are not compared by them."""
     out = []
-    for words, has in ((1, sizes <= SHORT), (4, (sizes > SHORT * num // den) & (sizes <= MIDDLE))):
+    for above, upto, columns in BANDS:
+        if not columns:
+            continue
+        words, has = len(columns), (sizes > above * num // den) & (sizes <= upto)
         part = parities(h[np.repeat(has, sizes)], sizes[has], words)
         at = np.cumsum(has) - 1
         out += [pa.array(np.where(has, w[at], 0) if len(w) else np.zeros(len(sizes), dtype=np.int64), mask=~has) for w in part]
@@ -412,12 +417,11 @@ def candidate_edges(items: DataFrame, num: int, den: int, above: int, upto: int
 def candidate_components(items: DataFrame, num: int, den: int) -> DataFrame:
     """``_item, _comp`` of the items that some other one may be similar to.
 
-    items: as in ``candidate_edges`` with ``_x`` (64 bits), ``_y0`` to ``_y3`` (256 bits). Bands of sizes have
-    bitmaps that suit them, so that hardly any pair passes by chance.
+    items: as in ``candidate_edges`` with ``BITMAPS``. Bands of sizes have bitmaps that suit them, so that hardly
+    any pair passes by chance.
     """
-    bands = ((0, SHORT, ["_x"]), (SHORT, MIDDLE, ["_y0", "_y1", "_y2", "_y3"]), (MIDDLE, None, []))
-    found = [candidate_edges(items, num, den, above, upto, bitmap) for above, upto, bitmap in bands]
-    parts = connected_components(found[0].unionByName(found[1]).unionByName(found[2]))
+    found = [candidate_edges(items, num, den, above, upto, bitmap) for above, upto, bitmap in BANDS]
+    parts = connected_components(functools.reduce(DataFrame.unionByName, found))
     forget(*found)
     return parts.select(F.col("node").alias("_item"), F.col("component").alias("_comp"))
 
