@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from coppice.llm.common import sampled_ids, tune
+from coppice.llm.common import column, sampled_ids, tune
 
 ORDER = 3
 #: Labelled texts that the trees are counted on, for each language; those with the least hash of the id.
@@ -145,7 +146,7 @@ class ContextTrees:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, least: int = LEAST_TEXTS) -> ContextTrees:
     """Trees of ``sample`` texts of each label at most, chosen by a hash of the id over all labelled rows."""
-    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    rows = docs.where(column(lang_col).isNotNull()).select(column(id_col).alias("_id"), column(lang_col).alias("_lang"), column(text_col).alias("_text"))
     fits = rows.where(F.octet_length("_text") <= SAMPLE_BYTES)
     chosen = sampled_ids(fits.select("_id", "_lang"), "_id", "_lang", sample, SAMPLE_TOTAL)
     rows = fits.join(chosen, ["_id", "_lang"], "left_semi").select("_id", "_lang", F.encode("_text", "UTF-8").alias("_text")).orderBy("_lang", "_id", "_text").collect()
@@ -156,12 +157,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def predict(docs: DataFrame, trees: ContextTrees, text_col: str = "text") -> DataFrame:
-    """Adds ``lang_pred``, ``score`` and ``bits_per_byte`` to the rows of ``docs`` (its columns must not have these names).
+    """Adds ``lang_pred``, ``score`` and ``bits_per_byte`` to the rows of ``docs``; columns of these names are replaced.
 
     A null text, or one without letters, is ``und`` with score 0 and null bits. The score is the share of the
     best language if code lengths a byte are taken as log-likelihoods of ``SHARP`` bytes; a tie goes to the
     language that sorts first. With nothing learned every text is ``und``.
     """
+    docs = docs.select(*(column(c) for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")))
     names = np.array([*trees.languages, UNDECIDED], dtype=object)
     frozen = docs.sparkSession.sparkContext.broadcast(trees)  # its size is bounded by the sample's
 
@@ -184,9 +186,9 @@ def predict(docs: DataFrame, trees: ContextTrees, text_col: str = "text") -> Dat
             added = [pa.array(names[pick], type=pa.string()), pa.array(share), pa.array(rate, mask=np.isnan(rate))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "lang_pred", "score", "bits_per_byte"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double, bits_per_byte double"])
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
     tune(docs.sparkSession)
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, *added]))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -196,9 +198,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     source and the id are no input of a prediction. A null id counts as not held out. Rows may repeat; other
     columns are not looked at. An empty table gives an empty result.
     """
-    held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
+    held = F.coalesce(F.crc32(column(id_col).cast("string")) % 4 == 2, F.lit(False))
     trees = train(docs.where(~held), id_col, text_col, lang_col)
-    rows = docs.select(F.col(id_col), held.alias("held_out"), F.col(text_col).alias("_text"))
+    rows = docs.select(column(id_col), held.alias("held_out"), column(text_col).alias("_text"))
     return predict(rows, trees, "_text").drop("_text")
 
 
