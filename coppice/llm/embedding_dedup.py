@@ -32,7 +32,7 @@ THRESHOLD = 0.9
 #: Share of the pairs at the threshold itself that some table must bring together.
 RECALL = 0.995
 #: Vectors to a bucket that the number of bits aims at, and to a block of a larger bucket.
-BUCKET, BLOCK = 4096, 1024
+BUCKET, BLOCK = 1024, 2048
 #: Signs of a sketch, and standard deviations beyond the expected difference at the threshold that may pass.
 SKETCH, SIGMAS = 256, 5
 SEED = 11
