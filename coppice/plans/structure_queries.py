@@ -116,14 +116,6 @@ def short_titles(spark, d):
     return _nodes(spark, d).where(~F.col("title").contains(" ")).select("id", H.shorten_title(F.col("title"), 9).alias("short"))
 
 
-def supporting_depths(spark, d):
-    """Depths of supporting documents below each nation: instance, tenet, scenario and variation."""
-    tails = F.explode(F.array(*(F.lit(x) for x in (".0.3.1", ".0.4.2", ".0.4.2.1.1", ".0.4.2.1.1.var1", ".0.6.3", ".7"))))
-    rows = _nodes(spark, d).withColumn("_tail", tails).select(F.concat("doc_no", "_tail").alias("doc_no"))
-    return rows.select("doc_no", docno.semantic_depth(F.col("doc_no")).alias("depth"), F.array_join(docno.segment_depths(F.col("doc_no")), ",").alias("segments"))
-
-
-QUERIES["supporting_depths"] = (supporting_depths, None)
 
 # -- graph ------------------------------------------------------------------------------------------------------
 
