@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coppice.functions import docno
 from coppice.operators.extraction import links
+from coppice.sources.scratch import settled
 
 EDGE = "from_id string, from_type string, to_id string, to_type string, edge_type string, sources array<string>, meta string"
 #: Edge types that panels hide.
@@ -45,11 +46,12 @@ def distances(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "
     """``root, id, distance``: nodes within ``depth`` steps of each root; a frontier join with an anti-join on visited."""
     out = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
     into = edges.select(F.col("to_id").alias("a"), F.col("from_id").alias("b"))
-    step = {"out": out, "in": into, "both": out.unionByName(into)}[direction].distinct()
+    step = {"out": out, "in": into, "both": out.unionByName(into)}[direction]
     seen = frontier = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("distance"))
     for d in range(1, depth + 1):
         reached = frontier.join(step, F.col("id") == F.col("a")).select("root", F.col("b").alias("id")).distinct()
-        frontier = reached.join(seen, ["root", "id"], "left_anti").withColumn("distance", F.lit(d))
+        # Written, so that a round does not run those before it again; only nodes reached are made distinct, not edges.
+        frontier = settled(reached.join(seen, ["root", "id"], "left_anti").withColumn("distance", F.lit(d)))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -8,9 +8,7 @@ from pyspark.sql import Window as W
 
 from coppice.functions import docno
 from coppice.functions.text import natural_key
-
-#: A walk deeper than this is taken to be a cycle.
-MAX_LEVELS = 64
+from coppice.sources.scratch import settled
 
 
 def docno_index(nodes: DataFrame) -> DataFrame:
@@ -68,20 +66,19 @@ def preorder(nodes: DataFrame, parent: str = "parent_id") -> DataFrame:
     """Adds ``level`` (1 at roots), ``path`` and ``semantic_depth``; sorting by ``path`` gives the outline's order.
 
     Pointers double: after round k a row knows its path over 2 ** k levels, so the rounds are few however
-    deep the outline is (``MAX_LEVELS`` at most; rows that only a cycle leads to are left out).
+    deep the outline is. Rows that only a cycle leads to are left out: a round in which no further row reaches
+    its root shows that none will.
     """
     me = F.lpad(F.col("ord").cast("string"), 12, "0")
     steps = nodes.select("id", F.col(parent).alias("_up"), F.lit(1).alias("level"), me.alias("path"))
-    checkpoints = nodes.sparkSession.sparkContext.getCheckpointDir() is not None
-    for _ in range(MAX_LEVELS.bit_length() - 1):
+    steps, left = settled(steps), None
+    while (open_ := steps.where("_up is not null").count()) and open_ != left:
+        left = open_
         above = steps.select(F.col("id").alias("_a"), F.col("_up").alias("_next"), F.col("level").alias("_l"), F.col("path").alias("_p"))
         steps = steps.join(above, F.col("_up") == F.col("_a"), "left").select(
             "id", F.col("_next").alias("_up"), (F.col("level") + F.coalesce("_l", F.lit(0))).alias("level"), F.concat_ws("/", "_p", "path").alias("path")
         )
-        if checkpoints:
-            steps = steps.checkpoint()
-        if steps.where("_up is not null").isEmpty():
-            break
+        steps = settled(steps)
     up = nodes.select(F.col("id").alias("_pid"), F.col("doc_no").alias("_pn"))
     out = nodes.join(steps.where("_up is null").drop("_up"), "id").join(up, F.col(parent) == F.col("_pid"), "left")
     return out.withColumn("semantic_depth", docno.semantic_depth(F.col("doc_no"), F.col("_pn"))).drop("_pid", "_pn")
@@ -118,6 +115,19 @@ def deep_hidden(nodes: DataFrame, expanded: DataFrame, depth: int = 6, parent: s
     return nodes.where(F.col("depth") >= depth).join(expanded.select(F.col("id").alias(parent)), parent, "left_anti")
 
 
+def deep_expanded(nodes: DataFrame, selected: str, expanded: DataFrame, depth: int = 6, parent: str = "parent_id") -> DataFrame:
+    """``expanded`` (column ``id``) and, if the selected node is of ``depth`` or deeper, the parents on its way up to that depth."""
+    at = nodes.where((F.col("id") == selected) & (F.col("depth") >= depth)).select("id", "depth")
+    path = ancestors(nodes).join(at.select("id"), "id", "left_semi").select(F.col("ancestor_id").alias("id")).join(nodes.select("id", "depth"), "id").unionByName(at)
+    deep = path.where(F.col("depth") >= depth).join(nodes.select("id", F.col(parent).alias("_p")), "id").where("_p is not null")
+    return expanded.select("id").unionByName(deep.select(F.col("_p").alias("id"))).distinct()
+
+
+def with_deep_children(nodes: DataFrame, depth: int = 6, parent: str = "parent_id") -> DataFrame:
+    """``id`` of the nodes that have a child of ``depth`` or deeper."""
+    return nodes.where((F.col("depth") >= depth) & F.col(parent).isNotNull()).select(F.col(parent).alias("id")).distinct()
+
+
 def neighbours(nodes: DataFrame, targets: DataFrame, window: int | None = 8, group: str = "parent_id", order: str = "ord", key: str = "id") -> DataFrame:
     """``target, section, pos, id``: parent, siblings up to ``window`` above and below, first ``window`` children.
 

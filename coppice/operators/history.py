@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -68,13 +69,8 @@ def word_tokens(text: str) -> list[str]:
 
 def word_diff(old: str, new: str) -> list[tuple[str, str]]:
     """Edits between two lines, neighbours of the same kind as one segment."""
-    merged: list[list[str]] = []
-    for op, token in edit_script(word_tokens(old), word_tokens(new)):
-        if merged and merged[-1][0] == op:
-            merged[-1][1] += token
-        else:
-            merged.append([op, token])
-    return [(op, text) for op, text in merged]
+    script = edit_script(word_tokens(old), word_tokens(new))
+    return [(op, "".join(token for _, token in run)) for op, run in itertools.groupby(script, key=lambda edit: edit[0])]
 
 
 def _paired(removed: list[str], added: list[str]) -> list[tuple]:
@@ -159,16 +155,21 @@ def match_score(bullet: Column, node: Column, description: Column) -> Column:
 def best_bullets(nodes: DataFrame, found: DataFrame, on: str, node: str = "id", threshold: float = THRESHOLD) -> DataFrame:
     """``on, node, pos, summary, description, score``: each changed node's best bullet of its own change.
 
-    nodes: ``on, node, title``. The first of equal bullets wins. Candidates share a word of the title or the
-    description with the node, so words are joined, never all pairs.
+    nodes: ``on, node, title``. The first of equal bullets wins. Scores are those of ``match_score``, from counts:
+    words are joined, never all pairs, and no text goes through the shuffle. Only words of bullets' titles make
+    candidates, as words of the description alone stay below any threshold of 0.2 and more.
     """
-    n = nodes.select(on, node, F.col("title").alias("_nt"), F.explode(title_tokens(F.col("title"))).alias("_w"))
-    words = F.array_union(title_tokens(F.col("title")), title_tokens(F.coalesce("description", F.lit(""))))
-    b = found.select(on, "pos", "title", "description", F.explode(words).alias("_w"))
-    pairs = n.join(b, [on, "_w"]).select(on, node, "_nt", "pos", "title", "description").distinct()
-    scored = pairs.withColumn("score", match_score(F.col("title"), F.col("_nt"), F.col("description"))).where(F.col("score") >= threshold)
-    best = scored.withColumn("_rn", F.row_number().over(W.partitionBy(on, node).orderBy(F.desc("score"), "pos"))).where("_rn = 1")
-    return best.select(on, node, "pos", F.col("title").alias("summary"), "description", "score")
+    own = title_tokens(F.col("title"))
+    n = nodes.select(on, node, F.explode(F.transform(own, lambda w: F.struct(w.alias("w"), F.size(own).alias("n")))).alias("_t")).select(on, node, F.col("_t.w").alias("_w"), F.col("_t.n").alias("_n"))
+    words = lambda c: F.explode(title_tokens(c)).alias("_w")
+    title = found.select(on, "pos", words(F.col("title")), F.lit(1).alias("_in_title"), F.lit(0).alias("_in_text"))
+    text = found.select(on, "pos", words(F.coalesce("description", F.lit(""))), F.lit(0).alias("_in_title"), F.lit(1).alias("_in_text"))
+    hits = n.join(title.unionByName(text), [on, "_w"]).groupBy(on, node, "pos").agg(F.sum("_in_title").alias("_t"), F.sum("_in_text").alias("_d"), F.first("_n").alias("_n"))
+    if threshold > 0.2:
+        hits = hits.where("_t > 0")
+    scored = hits.withColumn("score", F.col("_t") / F.col("_n") + F.least(F.col("_d") / F.col("_n") * 0.4, F.lit(0.2))).where(F.col("score") >= threshold)
+    best = scored.groupBy(on, node).agg(F.max(F.struct("score", (-F.col("pos")).alias("p"))).alias("_b")).select(on, node, (-F.col("_b.p")).alias("pos"), F.col("_b.score").alias("score"))
+    return best.join(found.select(on, "pos", F.col("title").alias("summary"), "description"), [on, "pos"]).select(on, node, "pos", "summary", "description", "score")
 
 
 def entries(changes: DataFrame, commits: DataFrame, prs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -59,7 +59,8 @@ def parse(text: str) -> Query:
     """Query language: words, ``"phrase"``, ``field:word``, ``in:PREFIX``, ``type:"two words"``, ``word*``, ``~N``, ``^N``, ``+``, ``-``.
 
     Upper-case tickers of 3 to 8 characters are phrases too, unless excluded; a bare hexadecimal prefix is a
-    wildcard; a word that the syntax doesn't cover is taken as a prefix.
+    wildcard. If some word does not follow the syntax (a field that there is none of, a number of edits or a boost
+    that is no number), all words are taken as plain prefixes.
     """
     q = Query()
     trimmed = text.strip()
@@ -76,11 +77,15 @@ def parse(text: str) -> Query:
     text = re.sub(r'(?<!\w)type:"[^"]+"', " ", text, flags=re.IGNORECASE)
     q.phrases = [p.strip() for p in re.findall(r'"([^"]+)"', text) if p.strip()]
     words = re.sub(r'"([^"]+)"', r" \1 ", text).split()
+    wrong = any(re.search(r"[:~^]", m.group(3)) if (m := _TERM.match(w)) else True for w in words)
     for w in words:
         sign, name, body, star, edits, boost = (_TERM.match(w) or re.match(r"^()()(.*)()()()$", w)).groups()
         bare = body if not name else ""
         if sign != "-" and 3 <= len(bare) <= 8 and TICKER.fullmatch(bare) and bare not in q.phrases:
             q.phrases.append(bare)
+        if wrong:
+            q.terms += [Term(token, prefix=True) for token in re.findall(r"[a-z0-9]+", w.lower())]
+            continue
         wild = bool(star) or (len(words) == 1 and HEX_PREFIX.fullmatch(body) is not None)
         for token in re.findall(r"[a-z0-9]+", body.lower()) or []:
             q.terms.append(Term(token, name or None, wild, int(edits or 0), float(boost or 1), {"+": "must", "-": "not"}.get(sign, "may")))
@@ -108,6 +113,12 @@ def dictionary(index: DataFrame) -> DataFrame:
     return index.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
+def vocabulary(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """``dictionary`` straight from the texts: different terms of each, counted once; no postings are made."""
+    held = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.array_distinct(terms(F.coalesce(F.col(f).cast("string"), F.lit("")))).alias("ts")) for f in fields))).alias("f")
+    return docs.select(held).select("f.field", F.explode("f.ts").alias("term")).groupBy("field", "term").agg(F.count("*").alias("df"))
+
+
 def matching_terms(words: DataFrame, query: Query) -> DataFrame:
     """Dictionary entries that some term of the query matches: ``field, term, df, q, boost, presence``.
 

@@ -16,7 +16,7 @@ NO_METHOD, FAILED = -32601, -32603
 
 @dataclass
 class Tools:
-    """nodes: the node table; embeddings: ``id, embedding``; embed: text to a unit vector."""
+    """nodes: the node table; embeddings: ``id, embedding``; embed: text to a vector."""
 
     nodes: DataFrame
     embeddings: DataFrame
@@ -25,7 +25,7 @@ class Tools:
     def search(self, query: str, k: int = 10, type: str | None = None) -> DataFrame:  # noqa: A002
         if not query:
             raise ValueError("query is empty")
-        return vectors.search(self.embeddings, self.nodes, self.embed(query), k, type)
+        return vectors.search(self.embeddings, self.nodes, vectors.unit(self.embed(query)), k, type)
 
     def get(self, id: str) -> DataFrame:  # noqa: A002
         found = hierarchy.project(self.nodes).join(hierarchy.get(self.nodes, id).select("id"), "id", "left_semi")

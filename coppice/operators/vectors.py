@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,15 +45,15 @@ def normalised(v: Column) -> Column:
 
 def top_k(vectors: DataFrame, query: list[float] | Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
     """``key, score``: the ``k`` largest dot products, ties by key; each task keeps ``k`` rows."""
-    if not 1 <= k <= 50:
-        raise ValueError("k must lie between 1 and 50")
     q = query if isinstance(query, Column) else F.array(*(F.lit(float(x)) for x in query))
     rows = vectors if where is None else vectors.where(where)
     return rows.select(*vectors.columns, dot(F.col(vector), q).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def search(vectors: DataFrame, chunks: DataFrame, query: list[float], k: int = 10, type_: str | None = None, chars: int = 400) -> DataFrame:
-    """Hits with score to four places, parent context and a snippet of ``chars`` characters."""
+    """Hits with score to four places, parent context and a snippet of ``chars`` characters; 1 to 50 of them."""
+    if not 1 <= k <= 50:
+        raise ValueError("k must lie between 1 and 50")
     joined = vectors if type_ is None else vectors.join(chunks.where(F.col("type") == type_).select("id"), "id", "left_semi")
     best = top_k(joined, query, k, "id")
     rows = best.select("id", "score").join(chunks, "id")
@@ -60,6 +62,12 @@ def search(vectors: DataFrame, chunks: DataFrame, query: list[float], k: int = 1
     return rows.orderBy(F.desc("score"), "id").select("id", F.round("score", 4).alias("score"), "doc_no", "title", "type", "parent_doc_no", "parent_title", F.substring("content", 1, chars).alias("snippet"))
 
 
+def unit(query: list[float]) -> list[float]:
+    """A query's embedding at unit length; a zero vector stays as it is."""
+    size = math.sqrt(sum(x * x for x in query))
+    return [x / size for x in query] if size else list(query)
+
+
 def check_vectors(vectors: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
     """Rows whose vector is not of ``dim`` components."""
     return vectors.where(F.coalesce(F.size(vector), F.lit(-1)) != dim)

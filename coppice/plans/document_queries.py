@@ -327,6 +327,19 @@ def breadcrumbs(spark, d):
     return n.select("n_nationkey", crumbs(F.col("n_name"), F.lit("x")).alias("two"), crumbs(long, F.lit("b"), F.col("n_name")).alias("three"))
 
 
+@query(f"WITH {views.OUTLINE_SQL} SELECT id FROM outline WHERE id IN ('r0', 'n5') OR id = (SELECT up FROM outline WHERE id = 'n5')")
+def deep_expanded_ids(spark, d):
+    """The way to a node that lies as deep as children stay hidden: its parents from there on."""
+    nodes = _nodes(spark, d)
+    below = nodes.where("id = 'n5'").select(F.lit("x").alias("id"), F.concat("doc_no", F.lit(".9")).alias("doc_no"), F.lit(3).alias("depth"), F.col("id").alias("parent_id"), F.lit(1).cast("long").alias("ord"))
+    return H.deep_expanded(nodes.select("id", "doc_no", "depth", "parent_id", "ord").unionByName(below), "x", spark.createDataFrame([("r0",)], "id string"), 2)
+
+
+@query("SELECT DISTINCT 'n' || c_nationkey AS id FROM customer")
+def deep_parents(spark, d):
+    return H.with_deep_children(_nodes(spark, d), 3)
+
+
 # -- history ----------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
 from coppice.operators import extraction as X
@@ -9,6 +12,7 @@ from coppice.operators import history as D
 from coppice.operators import parsing as P
 from coppice.operators import search as S
 from coppice.operators import vectors as V
+from coppice.operators.tools import Tools
 from coppice.sources import views
 from coppice.sources.tables import load
 
@@ -86,18 +90,18 @@ _TERMS_SQL = "t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower
 
 @query(f"WITH {_TERMS_SQL} SELECT term, count(*) AS df FROM t GROUP BY term HAVING count(*) >= 20")
 def term_dictionary_df(spark, d):
-    return S.dictionary(S.postings(_documents(spark, d), "doc_id", ["text"])).where("df >= 20").select("term", "df")
+    return S.vocabulary(_documents(spark, d), ["text"]).where("df >= 20").select("term", "df")
 
 
 @query(f"WITH {_TERMS_SQL} SELECT term, count(*) AS df FROM t WHERE term LIKE 'licen%' OR term LIKE 'vers%' GROUP BY term")
 def search_wildcard_terms(spark, d):
-    words = S.dictionary(S.postings(_documents(spark, d), "doc_id", ["text"]))
+    words = S.vocabulary(_documents(spark, d), ["text"])
     return S.matching_terms(words, S.parse("licen* vers*")).select("term", "df").distinct()
 
 
 @query(f"WITH {_TERMS_SQL} SELECT term, count(*) AS df FROM t WHERE levenshtein(term, 'licence') <= 2 GROUP BY term")
 def search_fuzzy_terms(spark, d):
-    words = S.dictionary(S.postings(_documents(spark, d), "doc_id", ["text"]))
+    words = S.vocabulary(_documents(spark, d), ["text"])
     return S.matching_terms(words, S.parse("licence~2")).select("term", "df")
 
 
@@ -264,3 +268,91 @@ def line_diff_near_copies(spark, d):
 
 
 QUERIES["line_diff_near_copies"] = (line_diff_near_copies, None)
+
+
+# -- the assembled search ---------------------------------------------------------------------------------------
+
+_PART = """'P.' || p_partkey AS doc_no, p_name AS title, p_type || ' Part' AS type,
+ 'Brand ' || p_brand || ' & size ' || p_size || CASE p_partkey % 3 WHEN 0 THEN ' in USDS' WHEN 1 THEN ' in stUSDS' ELSE '' END || ' at 0x' || md5('p' || p_partkey) AS content"""
+_PART_ID = "substr(md5(P), 1, 8) || '-' || substr(md5(P), 9, 4) || '-' || substr(md5(P), 13, 4) || '-' || substr(md5(P), 17, 4) || '-' || substr(md5(P), 21, 12)".replace("P", "'p' || p_partkey")
+_PART_SQL = f"parts AS (SELECT {_PART_ID} AS doc_id, {_PART}, p_partkey FROM part)"
+_FIELDS = {"title": 10.0, "doc_no": 5.0, "type": 2.0, "content": 1.0}
+
+
+def _hits(spark, d, text, addresses=None):
+    nodes = load(spark, d, "part").selectExpr(f"{_PART_ID} AS id", *_split_columns(_PART), "p_partkey AS ord", "array('a' || p_partkey % 7) AS address_refs")
+    return S.hits(nodes, S.postings(nodes, "id", list(_FIELDS)), S.field_stats(nodes, list(_FIELDS)), text, addresses)
+
+
+def _split_columns(sql):
+    """The columns of ``_PART``: each ends in `` AS name``."""
+    return [c.strip(" ,\n") for c in re.findall(r".+? AS \w+,?", sql, re.DOTALL)]
+
+
+def _hits_sql(rules, where="true", reason=True):
+    """SQL of hits without a registry: id, score, reason."""
+    why = "concat_ws(' + ', CASE WHEN bool_or(field = 'title') THEN 'title' END, CASE WHEN bool_or(field = 'doc_no') THEN 'doc number' END, CASE WHEN bool_or(field = 'type') THEN 'type' END, CASE WHEN bool_or(field = 'content') THEN 'content' END)"
+    return f"WITH {_PART_SQL}, {_bm25_sql('parts', _FIELDS, rules)} SELECT doc_id AS id, 3 AS tier, round(sum(s), 6) AS score, {why} AS match_reason FROM part JOIN parts USING (doc_id) WHERE {where} GROUP BY doc_id"
+
+
+def _scored(hits):
+    return hits.select("id", "tier", F.round("score", 6).alias("score"), "match_reason")
+
+
+@query(f"WITH {_PART_SQL} SELECT doc_id AS id, 3 AS tier, 1.0::DOUBLE AS score, doc_no, title, type, title AS title_html, content AS snippet, '' AS match_reason FROM parts WHERE p_partkey = 5")
+def search_by_id(spark, d):
+    """An identifier as the query (in capitals) finds its node alone."""
+    m = hashlib.md5(b"p5").hexdigest().upper()
+    return _hits(spark, d, f" {m[:8]}-{m[8:12]}-{m[12:16]}-{m[16:20]}-{m[20:]} ")
+
+
+@query(_hits_sql([("widget", None, 1)], "lower(type) = 'economy part'"))
+def search_by_type(spark, d):
+    return _scored(_hits(spark, d, 'type:"ECONOMY Part" widget'))
+
+
+@query(_hits_sql([("usds", None, 1)]).replace("'content' END) AS match_reason", "'content' END, 'exact phrase') AS match_reason"))
+def search_ticker(spark, d):
+    """A ticker must occur as it is spelt, whatever its case."""
+    return _scored(_hits(spark, d, "USDS"))
+
+
+@query(f"WITH {_PART_SQL} SELECT doc_id AS id, 'content' AS match_reason FROM parts WHERE content LIKE '% 0x1%'")
+def search_hex_prefix(spark, d):
+    return _hits(spark, d, "0x1").select("id", "match_reason")
+
+
+@query(f"WITH {_PART_SQL} SELECT doc_id AS id, CASE WHEN p_partkey % 7 = 3 THEN 2 END AS tier, 2.0::DOUBLE AS score, 'registry' AS match_reason FROM parts WHERE p_partkey % 7 = 3")
+def search_registry_name(spark, d):
+    """A registered name finds the nodes that refer to its address."""
+    addresses = spark.createDataFrame([("a3", "QQQ_ONE"), ("a4", "QQQ_TWO")], "address string, registry_name string")
+    return _scored(_hits(spark, d, "QQQ_ONE", addresses))
+
+
+@query(f"WITH {_PART_SQL} SELECT doc_id AS id FROM parts WHERE title LIKE '%widget%' OR title LIKE '%gizmo%'")
+def search_prefix_retry(spark, d):
+    """A field that there is none of: all words are taken as prefixes."""
+    return _hits(spark, d, "nofield:widg giz").select("id")
+
+
+@query(f"WITH {_PART_SQL}, {_bm25_sql('parts', _FIELDS, [('widget', 'title', 1)])}, r AS (SELECT doc_id, sum(s) AS s FROM part GROUP BY doc_id) SELECT doc_id AS id, title, replace(title, 'widget', '<mark>widget</mark>') AS title_html, replace(content, '&', '&amp;') || '…' AS snippet FROM r JOIN parts USING (doc_id) ORDER BY s DESC, p_partkey LIMIT 5 OFFSET 5")
+def search_page(spark, d):
+    """The second page of five hits, with marked titles and snippets."""
+    return S.page(_hits(spark, d, "title:widget"), 1, 5).select("id", "title", "title_html", "snippet")
+
+
+_NODE_SQL = "n AS (SELECT vec_id::VARCHAR AS id, 'V.' || vec_id AS doc_no, 'vector ' || vec_id AS title, 'label ' || label AS type, CASE WHEN vec_id > 0 THEN (vec_id // 2)::VARCHAR END AS parent_id, repeat('text ', 100) || vec_id AS content, list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) / (SELECT sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) FROM embeddings WHERE vec_id = 0) AS s FROM embeddings)"
+
+
+@query(f"WITH {_NODE_SQL} SELECT n.id, round(n.s, 4) AS score, n.doc_no, n.title, n.type, p.doc_no AS parent_doc_no, p.title AS parent_title, substr(n.content, 1, 400) AS snippet FROM n LEFT JOIN n p ON p.id = n.parent_id WHERE n.type = 'label 3' ORDER BY n.s DESC, n.id LIMIT 10")
+def search_tool(spark, d):
+    """The search tool: the query's embedding is brought to unit length, hits of one type come with their parent."""
+    rows = load(spark, d, "embeddings")
+    nodes = rows.selectExpr("string(vec_id) AS id", "'V.' || vec_id AS doc_no", "'vector ' || vec_id AS title", "'label ' || label AS type", "case when vec_id > 0 then string(vec_id div 2) end AS parent_id", "repeat('text ', 100) || vec_id AS content", "vec_id AS ord")
+    _, q = _probe(spark, d)
+    return Tools(nodes, rows.selectExpr("string(vec_id) AS id", "embedding"), lambda _: [3 * x for x in q]).search("what", 10, "label 3")
+
+
+@query("SELECT count(*) FILTER (WHERE length(text) >= 5000) AS n FROM documents")
+def chunks_cut(spark, d):
+    return V.truncated(_documents(spark, d).select(F.substring("text", 1, V.MOST_CHARS).alias("embed_text")))
