@@ -112,4 +112,4 @@ def test_vectors(spark):
     assert V.check_vectors(table, 3).count() == 4
     for k in (0, 51):
         with pytest.raises(ValueError):
-            V.top_k(table, [1.0, 0.0], k)
+            V.search(table, table, [1.0, 0.0], k)
