@@ -59,15 +59,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     lines = written(rows.mapInArrow(split, f"_doc long, _line long, _n long, {', '.join(f'{c} long' for c in LONGS)}, _prefix array<long>"), "lines")
     digest = ["_d1", "_d2"]
-    # A class is found by digests alone; of lines that do not repeat, nothing else is shuffled.
-    repeated = lines.groupBy(*digest).agg(F.min(F.struct("_doc", "_line")).alias("_m"), F.count("*").alias("_c")).where("_c > 1").select(*digest, F.col("_m")["_doc"].alias("_doc0"), F.col("_m")["_line"].alias("_line0"), "_c")
-    repeated = written(repeated, "repeated-lines")
+    # A class is found by digests alone; of lines that do not repeat, nothing else is shuffled. Those that may
+    # repeat are joined by their place, so that a very common line is no hot key.
+    found = written(lines.groupBy(*digest).agg(F.min(F.struct("_doc", "_line")).alias("_m"), F.count("*").alias("_c")).select(*digest, "_c", "_m.*"), "line-digests")
+    repeated = found.where("_c > 1")
     marked = flagged(lines, "_d1", repeated, "_d1", "_maybe")
     once = marked.where("not _maybe").withColumn("_c", F.lit(1).cast("long")).drop("_maybe")
-    again = marked.where("_maybe").join(repeated, digest, "left").where("_c is null or _doc = _doc0 and _line = _line0")
-    again = again.withColumn("_c", F.coalesce("_c", F.lit(1).cast("long"))).select(*once.columns).dropDuplicates(digest)  # rows may share an id
+    place = ["_doc", "_line", *digest]
+    again = marked.where("_maybe").join(flagged(found, "_d1", repeated, "_d1", "_hit").where("_hit").drop("_hit"), place).select(*once.columns).dropDuplicates(place)  # rows may share an id
     classes = written(once.unionByName(again).withColumn("_item", F.monotonically_increasing_id()), "line-classes")
-    forget(repeated)
+    forget(found)
 
     comps = S.candidate_components(classes.select("_item", "_n", "_prefix", *LONGS[2:], F.lit(0).alias("_free")), num, den)
     comps = written(comps.withColumnRenamed("_item", "_member"), "components")

@@ -338,8 +338,8 @@ def full_cells(entries: DataFrame, more_than: int) -> tuple[DataFrame, int]:
     return F.broadcast(entries.sparkSession.createDataFrame(rows, "_c int")), len(rows)
 
 
-def keys_of(items: DataFrame, columns: list[str], num: int, den: int, pairs: bool) -> DataFrame:
-    """``_e, _pos`` and ``columns``: an item's keys, and where in its set the key's (first) element lies.
+def keys_of(items: DataFrame, columns: list[str], num: int, den: int, pairs: bool) -> tuple[DataFrame, bool]:
+    """``_e, _pos`` and ``columns``: an item's keys, and where in its set the key's (first) element lies; whether some may be hot.
 
     A key is an element of the prefix, or if ``pairs`` and its cell is common, the element with each later one
     of the prefix longer by one: the two first elements that similar sets share lie in both prefixes.
@@ -348,23 +348,23 @@ def keys_of(items: DataFrame, columns: list[str], num: int, den: int, pairs: boo
     p = (n - F.floor((n * num + den - 1) / den) + 1).cast("int")
     single = items.select(*columns, "_prefix", p.alias("_p"), F.posexplode(F.slice("_prefix", F.lit(1), F.greatest(p, F.lit(1)))).alias("_pos", "_e"))
     if not pairs:
-        return single.drop("_prefix", "_p")
+        return single.drop("_prefix", "_p"), True
     common, some = full_cells(single, COMMON)
     if not some:
-        return single.drop("_prefix", "_p")
+        return single.drop("_prefix", "_p"), HOLDERS < COMMON
     marked = single.withColumn("_c", _cell(F.col("_e"))).join(common.withColumn("_common", F.lit(True)), "_c", "left").drop("_c")
     # A prefix that is not longer by one belongs to a set that is similar to none but equal ones.
     second = F.slice("_prefix", F.col("_pos") + 2, F.greatest(F.col("_p") - F.col("_pos"), F.lit(0)))
     spread = marked.withColumn("_e2", F.explode(F.when(F.col("_common"), second).otherwise(F.array(F.lit(None).cast("long")))))
-    return spread.withColumn("_e", F.when(F.col("_e2").isNull(), F.col("_e")).otherwise(F.xxhash64("_e", "_e2"))).select(*columns, "_pos", "_e")
+    return spread.withColumn("_e", F.when(F.col("_e2").isNull(), F.col("_e")).otherwise(F.xxhash64("_e", "_e2"))).select(*columns, "_pos", "_e"), True
 
 
-def in_blocks(entries: DataFrame) -> DataFrame:
+def in_blocks(entries: DataFrame, hot: bool) -> DataFrame:
     """Adds ``_at`` (the pair of blocks, lo << 32 | hi) and ``_side`` (1 if in block hi of two) to entries with ``_e`` and ``_item``.
 
     Keys of more than HOLDERS entries are split into blocks of about as many; each block meets all others.
     """
-    cells, some = full_cells(entries, HOLDERS)
+    cells, some = full_cells(entries, HOLDERS) if hot else (None, 0)
     if not some:
         return entries.withColumn("_at", F.lit(0).cast("long")).withColumn("_side", F.lit(0))
     heavy = entries.withColumn("_c", _cell(F.col("_e"))).join(cells, "_c").groupBy("_e").count().where(F.col("count") > HOLDERS)
@@ -388,7 +388,8 @@ def candidate_edges(items: DataFrame, num: int, den: int, above: int, upto: int
     if upto is not None:
         items = items.where(F.col("_n") <= upto)
     with cleaned(spark):
-        dealt = in_blocks(keys_of(items, ["_item", "_n", "_free", *bitmap], num, den, pairs=upto is not None and upto <= SHORT))
+        keys, hot = keys_of(items, ["_item", "_n", "_free", *bitmap], num, den, pairs=upto is not None and upto <= SHORT)
+        dealt = in_blocks(keys, hot)
     # Size, place, side and freedom in one long, which also sorts by size.
     packed = F.shiftleft(F.col("_n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("_pos").cast("long"), 2)).bitwiseOR((F.col("_side") * 2 + F.col("_free")).cast("long"))
     dealt = dealt.select("_e", "_at", packed.alias("_w"), *bitmap, "_item")
