@@ -6,9 +6,10 @@ c / (n + d); any other byte escapes with d / (n + d) to the next shorter context
 renormalised over the bytes not seen in the longer one (exclusion). Below order 0 all 256 bytes are equally
 likely, so every text has an exact, finite code length. The language with the shortest code wins.
 
-Frozen statistics make a byte's code length a function of its context alone, so the trees are flattened into
-tables: the bytes are folded to the symbols of the sample plus one for all others, which every language
-codes alike, and each context that any language has seen is a row of code lengths, symbol by language.
+Frozen statistics make a byte's code length a function of its context alone. A byte that was not seen costs the
+context's escape (with the renormalisation) plus what the shorter context takes for it, so only what some
+language has seen is stored: for each (context, byte) and for each context's escape one row of bits by
+language, found through a hash table. The model is as large as the sample, whatever the alphabets.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ ORDER = 3
 SAMPLE = 300
 #: Texts of all labels together at most.
 SAMPLE_TOTAL = 6000
-#: Texts of more bytes are not chosen for the sample: one very long text must not be most of it.
+#: Bytes of a text that the trees are counted on at most: one very long text must not be most of the sample.
 SAMPLE_BYTES = 20_000
 #: A context of two bytes or more that a language's sample holds less often is left to the shorter one.
 LEAST_SEEN = 3
@@ -47,50 +48,90 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(any(map(str.isalpha, m.group())) for m in _WORDS.finditer(text))
 
 
+class _Rows:
+    """Rows of bits by a number, in an open hash table; ``find`` gives the row's index, or -1."""
+
+    def __init__(self, numbers: np.ndarray, bits: np.ndarray):
+        self.bits = np.ascontiguousarray(bits, dtype=np.float32)
+        self.power = max(4, int(4 * len(numbers)).bit_length())
+        self.keys = np.full(1 << self.power, -1, dtype=np.int64)
+        self.at = np.zeros(1 << self.power, dtype=np.int32)
+        left, slot = np.arange(len(numbers)), self._slot(numbers)
+        while len(left):  # of those that want a free slot the first takes it; the others go on to the next slot
+            free = self.keys[slot] < 0
+            takers, first = np.unique(slot[free], return_index=True)
+            placed = np.flatnonzero(free)[first]
+            self.keys[takers], self.at[takers] = numbers[left[placed]], left[placed]
+            rest = np.ones(len(left), dtype=bool)
+            rest[placed] = False
+            left, slot = left[rest], (slot[rest] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, numbers: np.ndarray) -> np.ndarray:
+        # Multiplicative hashing by the golden ratio.
+        return (numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.power)).astype(np.int64)
+
+    def find(self, numbers: np.ndarray) -> np.ndarray:
+        slot = self._slot(numbers)
+        held = self.keys[slot]
+        out = np.where(held == numbers, self.at[slot], -1)
+        on = np.flatnonzero((held != numbers) & (held >= 0))
+        while len(on):
+            slot_on = slot[on] = (slot[on] + 1) & (len(self.keys) - 1)
+            held = self.keys[slot_on]
+            hit = held == numbers[on]
+            out[on[hit]] = self.at[slot_on[hit]]
+            on = on[~hit & (held >= 0)]
+        return out
+
+
 class ContextTrees:
-    """Frozen statistics of all languages as tables of code lengths in bits."""
+    """Frozen statistics of all languages: bits of what was seen, and of escapes, for each order."""
 
     def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER):
         self.languages = sorted(texts)
         self.order = order
         joined = {lang: np.frombuffer(b"\n".join([b"\n" * order, *texts[lang]]), dtype=np.uint8) for lang in self.languages}
-        seen = np.unique(np.concatenate(list(joined.values()))) if joined else np.array([10], dtype=np.uint8)
+        seen = np.unique(np.concatenate([np.array([10], dtype=np.uint8), *joined.values()]))
         self.symbols = len(seen) + 1  # the last stands for every byte that the sample lacks
         self.fold = np.full(256, len(seen), dtype=np.int32)
         self.fold[seen] = np.arange(len(seen))
         self.newline = int(self.fold[10])
-        folded = {lang: self.fold[a].astype(np.int64) for lang, a in joined.items()}
-        s, n_lang = self.symbols, len(self.languages)
-        base = np.zeros((1, s, n_lang))
-        base[:, :-1, :] = 1 / 256
-        base[:, -1, :] = (256 - len(seen)) / 256
-        probs, where = base, np.zeros(1, dtype=np.int32)  # where: context number -> row of probs
+        self.pairs: list[_Rows] = []
+        self.escapes: list[_Rows] = []
+        s, folded = self.symbols, [self.fold[joined[lang]].astype(np.int64) for lang in self.languages]
         for k in range(order + 1):
-            grams = {lang: np.unique(self._numbers(a, k + 1), return_counts=True) for lang, a in folded.items()}
-            if k >= 2:
-                grams = {lang: self._frequent(g, c) for lang, (g, c) in grams.items()}
-            contexts = np.unique(np.concatenate([g // s for g, _ in grams.values()])) if grams else np.zeros(1, dtype=np.int64)
-            shorter = probs[where[contexts % max(1, s ** (k - 1)) if k else np.zeros(len(contexts), dtype=np.int64)]]
-            longer = np.empty_like(shorter)
-            for j, lang in enumerate(self.languages):
-                g, c = grams[lang]
-                counts = np.zeros((len(contexts), s))
-                counts[np.searchsorted(contexts, g // s), g % s] = c
-                total, distinct, old = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True), shorter[:, :, j]
-                rest = np.where(counts > 0, 0, old).sum(1, keepdims=True)
-                escape = np.divide(distinct, total + distinct, out=np.ones_like(total), where=total > 0)
-                escaped = np.where(counts > 0, 0, old) * np.divide(escape, rest, out=np.zeros_like(rest), where=rest > 0)
-                longer[:, :, j] = np.where(counts > 0, counts / np.maximum(total + distinct, 1), escaped)
-            # A context that no language has seen codes as its shorter one does.
-            every = np.arange(s**k, dtype=np.int64)
-            where_k = np.asarray(where[every % max(1, s ** (k - 1)) if k else every], dtype=np.int32)
-            where_k[contexts] = len(probs) + np.arange(len(contexts), dtype=np.int32)
-            probs, where = np.concatenate([probs, longer]), where_k
-        rows, where = np.unique(where, return_inverse=True)
-        self.where = where.astype(np.int32)
-        bits = -np.log2(np.maximum(probs[rows], 1e-30))
-        bits[:, -1, :] += np.log2(max(1, 256 - len(seen)))  # one of the bytes folded together
-        self.bits = np.ascontiguousarray(bits.astype(np.float32)).reshape(len(rows) * s, n_lang)
+            counted = [np.unique(self._numbers(a, k + 1), return_counts=True) for a in folded]
+            counted = [self._frequent(g, c) for g, c in counted] if k >= 2 else counted
+            pairs = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *(g for g, _ in counted)]))
+            contexts, of = np.unique(pairs // s, return_inverse=True)
+            bits = self._bits_at(pairs % s**k, k - 1).astype(np.float64)  # of the shorter context, for now
+            escapes = np.zeros((len(contexts), len(self.languages)))
+            for j, (g, c) in enumerate(counted):
+                count = np.zeros(len(pairs))
+                count[np.searchsorted(pairs, g)] = c
+                sums = lambda w, of=of, n=len(contexts): np.bincount(of, weights=w, minlength=n)
+                total, distinct = sums(count), sums(count > 0)
+                rest = np.maximum(1 - sums(np.where(count > 0, np.exp2(-bits[:, j]), 0)), 1e-12)  # of the bytes not seen
+                known = total > 0  # a context that this language has not seen codes as its shorter one does
+                escapes[known, j] = np.log2(rest[known] * (total + distinct)[known] / distinct[known])
+                bits[:, j] = np.where(count > 0, np.log2(np.maximum(total + distinct, 1)[of] / np.maximum(count, 1)), escapes[of, j] + bits[:, j])
+            self.pairs.append(_Rows(pairs, bits))
+            self.escapes.append(_Rows(contexts, escapes))
+
+    def _bits_at(self, grams: np.ndarray, k: int) -> np.ndarray:
+        """Bits by language of each gram's last symbol after the k symbols before it; below order 0 all bytes are alike."""
+        if k < 0:
+            return np.full((len(grams), len(self.languages)), 8, dtype=np.float32)
+        row = self.pairs[k].find(grams)
+        out = self.pairs[k].bits[row] if len(self.pairs[k].bits) else np.zeros((len(grams), len(self.languages)), dtype=np.float32)
+        miss = np.flatnonzero(row < 0)
+        if len(miss):
+            bits = self._bits_at(grams[miss] % self.symbols**k, k - 1)
+            context = self.escapes[k].find(grams[miss] // self.symbols)
+            known = context >= 0
+            bits[known] += self.escapes[k].bits[context[known]]
+            out[miss] = bits
+        return out
 
     def _numbers(self, a: np.ndarray, length: int) -> np.ndarray:
         out = np.zeros(max(0, len(a) - length + 1), dtype=np.int64)
@@ -125,16 +166,10 @@ class ContextTrees:
         """Sums by text over data[lo:hi]; the bytes of the padding count nothing."""
         first = max(0, lo - self.order)
         a = self.fold[data[first:hi]]
-        n, skip, s = hi - lo, lo - first, self.symbols
-        a = np.concatenate([np.full(self.order - skip, self.newline, dtype=np.int32), a])
-        context = a[:n].copy()
-        for i in range(1, self.order):
-            context *= s
-            context += a[i : i + n]
-        row = self.where[context] * np.int32(s) + a[self.order :]
+        a = np.concatenate([np.full(self.order - (lo - first), self.newline, dtype=np.int32), a])
+        bits = self._bits_at(self._numbers(a, self.order + 1), self.order)
         pads = (starts[:-1, None] + np.arange(self.order)).ravel()
         pads = pads[(pads >= lo) & (pads < hi)] - lo
-        bits = self.bits[row]
         bits[pads] = 0
         out = np.zeros((len(starts) - 1, bits.shape[1]))
         inside = np.clip(starts, lo, hi) - lo
@@ -145,11 +180,15 @@ class ContextTrees:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, least: int = LEAST_TEXTS) -> ContextTrees:
-    """Trees of ``sample`` texts of each label at most, chosen by a hash of the id over all labelled rows."""
-    rows = docs.where(column(lang_col).isNotNull()).select(column(id_col).alias("_id"), column(lang_col).alias("_lang"), column(text_col).alias("_text"))
-    fits = rows.where(F.octet_length("_text") <= SAMPLE_BYTES)
-    chosen = sampled_ids(fits.select("_id", "_lang"), "_id", "_lang", sample, SAMPLE_TOTAL)
-    rows = fits.join(chosen, ["_id", "_lang"], "left_semi").select("_id", "_lang", F.encode("_text", "UTF-8").alias("_text")).orderBy("_lang", "_id", "_text").collect()
+    """Trees of ``sample`` texts of each label at most, chosen by a hash of the id over all labelled rows.
+
+    Of a longer text ``SAMPLE_BYTES`` bytes are counted, so that a label of long texts alone is learned as well.
+    """
+    given = docs.where(column(lang_col).isNotNull() & column(text_col).isNotNull())
+    rows = given.select(column(id_col).alias("_id"), column(lang_col).alias("_lang"), column(text_col).alias("_text"))
+    chosen = sampled_ids(rows.select("_id", "_lang"), "_id", "_lang", sample, SAMPLE_TOTAL)
+    part = F.substring(F.encode("_text", "UTF-8"), 1, SAMPLE_BYTES).alias("_text")
+    rows = rows.join(chosen, ["_id", "_lang"], "left_semi").select("_id", "_lang", part).orderBy("_lang", "_id", "_text").collect()
     texts: dict[str, list[bytes]] = {}
     for r in rows:
         texts.setdefault(r["_lang"], []).append(bytes(r["_text"]))
@@ -164,14 +203,14 @@ def predict(docs: DataFrame, trees: ContextTrees, text_col: str = "text") -> Dat
     language that sorts first. With nothing learned every text is ``und``.
     """
     docs = docs.select(*(column(c) for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")))
+    given, at_text = docs.columns, docs.columns.index(text_col)
     names = np.array([*trees.languages, UNDECIDED], dtype=object)
     frozen = docs.sparkSession.sparkContext.broadcast(trees)  # its size is bounded by the sample's
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = frozen.value
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text_col))
-            texts = column.to_pylist()
+            texts = batch.column(at_text).to_pylist()
             data = [t.encode("utf-8", "replace") if t is not None else b"" for t in texts]
             known = np.array([has_letter(t) for t in texts], dtype=bool) & bool(model.languages)
             pick, share, rate = np.full(len(texts), len(names) - 1), np.zeros(len(texts)), np.full(len(texts), np.nan)
@@ -188,7 +227,8 @@ def predict(docs: DataFrame, trees: ContextTrees, text_col: str = "text") -> Dat
 
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
     tune(docs.sparkSession)
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, *added]))
+    plain = docs.toDF(*(f"_{i}" for i in range(len(given))))  # names may hold dots, which columns by name do not bear
+    return plain.mapInArrow(score, T.StructType([*plain.schema.fields, *added])).toDF(*given, *(f.name for f in added))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

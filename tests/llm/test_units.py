@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import time
 
+import brute
 import numpy as np
 import pytest
 from brute import crc, words
@@ -76,7 +78,7 @@ def test_mixing(spark):
     for _, t, s in rows:
         sizes[s] = sizes.get(s, 0) + len(words(t))
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    want = dict(zip(names, mixing.share_targets([sizes[s] for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(sizes.values()), 2), strict=True))
+    want = dict(zip(names, brute.targets([sizes[s] for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(sizes.values()), 2), strict=True))
     taken: dict = {}
     for i, s, size, source_size, target, t in once:
         assert source_size == sizes[s] and target == pytest.approx(want[s]) and 0 <= t <= 2 * size and t % max(1, size) == 0
@@ -92,6 +94,85 @@ def test_mixing_reruns_agree(spark):
     assert runs[0] == runs[1]
 
 
+def test_mixing_takes_ids_of_any_type(spark):
+    rows = [(f"id{i}", "w " * (i % 37 + 1), f"s{i % 3}") for i in range(900)] + [(None, "w " * 20_000, "s1")]
+    table = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    got = mixing.mix_sources(table).collect()
+    assert len(got) == len(rows) and all(r.taken % max(1, r["size"]) == 0 for r in got)
+    runs = [{r.doc_id: r.taken for r in mixing.mix_sources(t).collect()} for t in (table.limit(900), table.limit(900).repartition(9))]
+    assert runs[0] == runs[1] and sum(runs[0].values()) > 0
+
+
+def test_mixing_looks_for_the_edge_in_spans(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
+    rows = [(i, i % 91 + 1, [i % 2]) for i in range(2000)]
+    table = spark.createDataFrame(rows, "_row long, _size long, m array<int>")
+    runs = []
+    for spans in (7, 4096):
+        monkeypatch.setattr(mixing, "SPANS", spans)
+        runs.append({r._row: r.taken for r in mixing.mix(table, "m", {0: 20_000, 1: 60_000}).collect()})
+    assert runs[0] == runs[1]
+    taken = [sum(t for i, t in runs[0].items() if i % 2 == k) for k in (0, 1)]
+    assert 0 <= 20_000 - taken[0] < 91 and 0 <= 60_000 - taken[1] < 91
+
+
+def test_flow_equals_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randrange(1, 5)
+        patterns = [(tuple(sorted(rng.sample(range(n), rng.randrange(0, n + 1)))), rng.randrange(0, 20)) for _ in range(rng.randrange(1, 9))]
+        quotas, repeats = [rng.randrange(0, 40) for _ in range(n)], rng.randrange(1, 4)
+        taken = mixing.min_cost_flow(patterns, quotas, repeats)
+        assert all(0 <= t <= repeats * size for t, (_, size) in zip(taken, patterns, strict=True))
+        # It can be routed, is as much as can be, and with every bound on the copies as little is repeated as can be.
+        assert brute.most_flow([(m, t) for (m, _), t in zip(patterns, taken, strict=True)], quotas) == sum(taken)
+        for k in range(1, repeats + 1):
+            assert sum(min(t, k * size) for t, (_, size) in zip(taken, patterns, strict=True)) == brute.most_flow([(m, k * size) for m, size in patterns], quotas)
+
+
+def test_flow_of_many_patterns_ends():
+    rng = random.Random(6)
+    patterns = [(tuple(sorted(rng.sample(range(40), rng.randrange(1, 6)))), rng.randrange(1, 10**6)) for _ in range(10_000)]
+    quotas = [rng.randrange(10**8) for _ in range(40)]
+    began = time.monotonic()
+    taken = mixing.min_cost_flow(patterns, quotas, 2)
+    assert sum(taken) <= sum(quotas) and time.monotonic() - began < 30
+
+
+def test_code_lengths_equal_brute_force():
+    rng = random.Random(8)
+    alphabets = {"a": "abc ", "b": "bcdé\n", "c": "xyzabcdefgh ", "d": "q"}
+    texts = {k: ["".join(rng.choice(v) for _ in range(rng.randrange(1, 60))).encode() for _ in range(5)] for k, v in alphabets.items()}
+    for order in (0, 1, 2, 3):
+        trees = language_id.ContextTrees(texts, order=order)
+        probes = [b"", b"a", "abc bcdé\nxyz qq".encode(), bytes(range(256)), *(rng.choice(texts[k]) for k in texts)]
+        got = trees.code_lengths(probes)
+        for j, lang in enumerate(trees.languages):
+            assert got[:, j] == pytest.approx([brute.ppm_bits(t, texts[lang], order, language_id.LEAST_SEEN) for t in probes], rel=1e-4, abs=1e-3)
+
+
+def test_model_is_as_large_as_its_sample():
+    rng = np.random.default_rng(3)
+    texts = {f"l{i:02}": [rng.integers(0, 256, 20_000, dtype=np.uint8).tobytes() for _ in range(3)] for i in range(24)}
+    trees = language_id.ContextTrees(texts)
+    held = sum(r.bits.nbytes + r.keys.nbytes + r.at.nbytes for r in (*trees.pairs, *trees.escapes))
+    assert held < 400 << 20
+    assert [trees.languages[i] for i in trees.code_lengths([texts["l07"][0], texts["l20"][1]]).argmin(1)] == ["l07", "l20"]
+
+
+def test_labels_of_long_texts_alone_are_learned(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("der die das und nicht " * 2000, "de"), ("the and of not with " * 2000, "en")] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(len(t) > language_id.SAMPLE_BYTES for _, t, _ in rows)
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(docs, language_id.train(docs)).collect()} == {i: lang for i, _, lang in rows}
+
+
+def test_predictions_replace_columns_of_their_names(spark):
+    docs = spark.createDataFrame([(1, "the and of not", "en", 5, "x", "y", 7), (2, "the and of not", "en", 6, "x", "z", 8)], "doc_id long, text string, lang string, score int, lang_pred string, `a.b` string, `my col` int")
+    got = sorted(language_id.predict(docs, language_id.train(docs)).collect())
+    assert [(r.doc_id, r.lang_pred, r.score, r["a.b"], r["my col"]) for r in got] == [(1, "en", 1.0, "y", 7), (2, "en", 1.0, "z", 8)]
+
+
 def test_context_trees_are_distributions():
     trees = language_id.ContextTrees({"x": [b"abab abba", b"abc"], "y": [b"zzz yzz", b"zyx"]}, order=2)
     every = [bytes([b]) for b in range(256)]
