@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coppice.llm import chat, embedding_dedup, exact_dedup, language_id, licenses, line_dedup, mixing, ngram_join, packing, secrets
+from coppice.llm import chat, embedding_dedup, exact_dedup, hard_negatives, language_id, licenses, line_dedup, mixing, ngram_join, packing, secrets, suffix_dedup, yinyang
 
 QUERIES = {
     "op1_language_id": (language_id.op1_language_id, None),
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_packing": (packing.op8_packing, None),
     "op9_secret_scan": (secrets.op9_secret_scan, None),
     "op10_ngram_join": (ngram_join.op10_ngram_join, None),
+    "op11_centroid_clustering": (yinyang.op11_centroid_clustering, yinyang.SQL),
+    "op12_suffix_dedup": (suffix_dedup.op12_suffix_dedup, None),
+    "op13_hard_negatives": (hard_negatives.op13_hard_negatives, hard_negatives.SQL),
 }
 
 
