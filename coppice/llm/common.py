@@ -62,16 +62,16 @@ def cleaned(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    ``by``: a column whose values get a folder of files each. The files stay until ``forget`` or until the Python
+    ``by``: a column whose values get a folder of files each. ``codec``: of the files, if not the usual one. The files stay until ``forget`` or until the Python
     process ends, as the frames returned to callers read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with cleaned(spark):  # the table stands on its own, so the shuffle files behind it can go
-        df.write.parquet(path, partitionBy=by)
+        df.write.parquet(path, partitionBy=by, compression=codec)
     atexit.register(_remove, spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_to = path

@@ -20,7 +20,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,36 +28,31 @@ from coppice.llm.common import column, flagged, forget, tune, written
 
 LENGTH = 50
 #: Bytes to a hashed string; windows to a piece at most.
-GRAM, WINDOWS = 24, 64
+GRAM, WINDOWS = 20, 64
 #: Bytes of text hashed at once, and of pieces to a task's transform; pieces of a key beyond which windows are dealt.
-CHUNK, BUCKET, PIECES = 4 << 20, 1 << 20, 4096
+CHUNK, BUCKET, PIECES = 1 << 19, 1 << 17, 1 << 14
+#: Pieces that a task returns at once.
+FLUSH = 1 << 16
 NULL_ID = (1 << 63) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    h = a * _MIX + b
-    return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """64-bit hashes of all strings of ``gram`` bytes, by doubling."""
-    power = (data.astype(np.uint64) + np.uint64(1)) * _MIX
-    out, size, left = None, 1, gram
-    while True:
-        if left & 1:
-            if out is None:
-                out, held = power, size
-            else:
-                n = len(power) - held
-                out, held = _joined(out[:n], power[held:]), held + size
-        left >>= 1
-        if not left:
-            break
-        power = _joined(power[:-size], power[size:])
-        size *= 2
-    out = out[: len(data) - gram + 1]
-    return out ^ (out >> np.uint64(29))
+    """64-bit hashes of all strings of ``gram`` bytes, from the words of 8 bytes that lie in them."""
+    n = len(data) - gram + 1
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    words = np.ndarray(len(data), dtype="<u8", buffer=padded, strides=(1,))  # one that begins at each byte
+    if gram < 8:
+        h = words[:n] & np.uint64((1 << 8 * gram) - 1)
+    else:
+        h = words[:n]
+        for at in (*range(8, gram - 7, 8), *[gram - 8] * (gram % 8 > 0)):
+            h = (h * _MIX) ^ words[at : at + n]
+            h ^= h >> np.uint64(29)
+    h = (h + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    return h ^ (h >> np.uint64(29))
 
 
 def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
@@ -118,7 +112,7 @@ def sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
     for j in range(size):
         key = key << 9 | padded[j : j + n]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.ones(n, dtype=np.int64)
         new[1:] = np.diff(key[order]) != 0
         ranks = np.cumsum(new)
@@ -126,10 +120,13 @@ def sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
             return order
         rank = np.empty(n, dtype=np.int64)
         rank[order] = ranks
-        after = np.zeros(n, dtype=np.int64)
-        after[: n - size] = rank[size:]
-        key = rank * (n + 1) + after
-        size *= 2
+        # Two ranks further on as well, if three fit in 63 bits.
+        key = rank
+        steps = 2 if (n + 1) ** 3 < 1 << 63 else 1
+        for step in range(1, steps + 1):
+            key = key * (n + 1)
+            key[: max(0, n - step * size)] += rank[step * size :]
+        size *= steps + 1
 
 
 def run_ends(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -179,15 +176,17 @@ def run_ends(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     return ends
 
 
-def least_by_window(pieces: list[bytes], least: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Piece, id and windows (bits): for each window of a piece the least id of all pieces that hold its string."""
-    data = np.frombuffer(b"\0".join(pieces) + b"\0", dtype=np.uint8).astype(np.uint16) + np.uint16(1)
-    sizes = np.array([len(p) for p in pieces])
+def least_by_window(pieces: np.ndarray, sizes: np.ndarray, least: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece, id and windows (bits): for each window of a piece the least id of all pieces that hold its string.
+
+    pieces: the bytes of all pieces in a row, of the given sizes.
+    """
     begin = np.cumsum(sizes + 1) - sizes - 1
-    data[begin + sizes] = 0
+    data = np.zeros(len(pieces) + len(sizes), dtype=np.uint16)
+    data[np.arange(len(pieces)) + np.repeat(np.arange(len(sizes)), sizes)] = pieces.astype(np.uint16) + np.uint16(1)
     order = sorted_suffixes(data, length)
     ends = run_ends(data, order, length)
-    own = np.repeat(np.arange(len(pieces)), sizes + 1)
+    own = np.repeat(np.arange(len(sizes)), sizes + 1)
     offset = np.arange(len(data)) - begin[own]
     row = np.flatnonzero((offset + length <= sizes[own])[order])
     at = order[row]
@@ -203,23 +202,20 @@ def least_by_window(pieces: list[bytes], least: np.ndarray, length: int = LENGTH
 
 def cover(text: bytes, starts: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> tuple[list[tuple[int, int]], bytes]:
     """Maximal runs of bytes that the windows cover (bit i of a row: the window at its start + i), and the bytes left."""
-    delta = np.zeros(len(text) + 1, dtype=np.int64)
-    bits = windows.view(np.uint64)
-    for i in range(WINDOWS):
-        s = starts[(bits >> np.uint64(i)) & np.uint64(1) == 1] + i
-        np.add.at(delta, s, 1)
-        np.add.at(delta, s + length, -1)
+    row, bit = np.nonzero(np.unpackbits(windows.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    at = starts[row] + bit
+    delta = np.bincount(at, minlength=len(text) + 1) - np.bincount(at + length, minlength=len(text) + 1)
     gone = np.cumsum(delta[:-1]) > 0
     edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)), np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET, pieces: int = PIECES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET, pieces: int = PIECES, keep_bytes: bool = True) -> DataFrame:
     """``id, n_bytes, n_removed, spans, kept, kept_sha256``: one row for each row.
 
     A text's bytes (UTF-8) go where a string of ``length`` bytes covers them that also starts in a document with a
     smaller id; strings are judged on the input, overlaps count, and matches do not cross documents. ``spans`` are
-    the removed runs (start, end exclusive, in bytes), ``kept`` the bytes left. A null text counts as empty. Ids are
+    the removed runs (start, end exclusive, in bytes), ``kept`` the bytes left (only with ``keep_bytes``). A null text counts as empty. Ids are
     longs; a null id is larger than all others. Rows that share an id do not take bytes from each other. Other
     columns are not looked at; an empty table gives an empty result. A text and its windows must fit in a task.
     """
@@ -229,7 +225,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(column(id_col).cast("long").alias("_id"), text.alias("_text"))
     rows = rows.withColumn("_digest", F.unhex(F.sha2("_text", 256))).withColumn("_rank", F.coalesce("_id", F.lit(NULL_ID)))
     texts = rows.groupBy("_digest").agg(F.min("_rank").alias("_least"), F.first("_text").alias("_text"))
-    texts = written(texts.withColumn("_class", F.monotonically_increasing_id()), "texts")
+    texts = written(texts.withColumn("_class", F.monotonically_increasing_id()), "texts", codec="zstd")
 
     def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,22 +237,43 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = written(shared, "keys")
     maybe = flagged(found.drop("_least"), "_key", shared, "_wanted", "_maybe").where("_maybe")
     places = maybe.join(shared, F.col("_key") == F.col("_wanted"), "left_semi").groupBy("_class").agg(F.collect_list(F.struct("_key", "_place")).alias("_at"))
+    places = written(places, "places", codec="zstd")
+    forget(shared)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c, least, data, at in zip(*(b.column(i) for i in range(3)), b.column(3), strict=True):
+            held, keys, counts, starts = [], [], [], []
+
+            def flush(upto: int) -> pa.RecordBatch:
+                of = pa.array(np.repeat(np.arange(upto - len(counts), upto), counts))
+                out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(held, type=pa.binary()), b.column(0).take(of), b.column(1).take(of), pa.array(np.concatenate(starts))], names=["_key", "_piece", "_class", "_least", "_start"])  # noqa: B023
+                for part in (held, keys, counts, starts):  # noqa: B023
+                    part.clear()
+                return out
+
+            for i, (data, at) in enumerate(zip(b.column(2), b.column(3), strict=True)):
                 data, at = data.as_py(), at.values
                 place = at.field("_place").to_numpy()
-                start, n = place // WINDOWS, place % WINDOWS + 1
-                held = [data[s : s + w + length - 1] for s, w in zip(start.tolist(), n.tolist(), strict=True)]
-                full = lambda v, k=len(held): pa.array(np.full(k, v.as_py(), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([at.field("_key"), pa.array(held, type=pa.binary()), full(c), full(least), pa.array(start)], names=["_key", "_piece", "_class", "_least", "_start"])
-
-    placed = texts.select("_class", "_least", "_text").join(places, "_class").select("_class", "_least", "_text", "_at")
-    where = written(placed.mapInArrow(cut, "_key long, _piece binary, _class long, _least long, _start long"), "pieces")
-    forget(shared)
+                start = place // WINDOWS
+                held += [data[s:e] for s, e in zip(start.tolist(), (start + place % WINDOWS + length).tolist(), strict=True)]
+                keys.append(at.field("_key").to_numpy())
+                starts.append(start)
+                counts.append(len(start))
+                if len(held) > FLUSH:
+                    yield flush(i + 1)
+            if held:
+                yield flush(b.num_rows)
+
+    def of(wanted: DataFrame) -> DataFrame:
+        """The texts of the wanted classes, and most others kept out of the shuffle."""
+        return flagged(texts, "_class", wanted, "_class", "_maybe").where("_maybe").drop("_maybe").join(wanted, "_class")
+
+    placed = of(places).select("_class", "_least", "_text", "_at")
+    where = written(placed.mapInArrow(cut, "_key long, _piece binary, _class long, _least long, _start long"), "pieces", codec="zstd")
+    forget(places)
     least = F.min("_least").alias("_least")
-    distinct = written(where.groupBy("_key", "_piece").agg(least), "distinct")
+    pieces_table = where
+    distinct = written(where.groupBy("_key", "_piece").agg(least), "distinct", codec="zstd")
     hot = written(distinct.groupBy("_key").count().where(F.col("count") > pieces).select("_key"), "hot")
     dealt = distinct.withColumn("_by", F.col("_key"))
     if not hot.isEmpty():
@@ -267,42 +284,49 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         where = where.join(hot, "_key", "left_anti").unionByName(windows(where).withColumn("_start", F.col("_start") + F.col("_i")).drop("_i"))
     total = distinct.agg(F.sum(F.length("_piece") + 1)).first()[0] or 0
 
-    def expand(pdf: pd.DataFrame) -> pd.DataFrame:
-        piece, lowest, bits = least_by_window(pdf["_piece"].tolist(), pdf["_least"].to_numpy(), length)
-        return pd.DataFrame({"_key": pdf["_key"].to_numpy()[piece], "_piece": pdf["_piece"].to_numpy()[piece], "_lowest": lowest, "_bits": bits})
+    def expand(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        held = table.column("_piece").combine_chunks() if table.column("_piece").num_chunks != 1 else table.column("_piece").chunk(0)
+        ends = np.frombuffer(held.buffers()[1], dtype=np.int32)[held.offset : held.offset + len(held) + 1]
+        data = np.frombuffer(held.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
+        piece, lowest, bits = least_by_window(data, np.diff(ends).astype(np.int64), table.column("_least").to_numpy(), length)
+        of = pa.array(piece)
+        return pa.table([table.column("_key").take(of), held.take(of), pa.array(lowest), pa.array(bits)], names=["_key", "_piece", "_lowest", "_bits"])
 
     n_buckets = max(1, -(-total // bucket))
-    runs = dealt.groupBy(F.pmod(F.xxhash64("_by"), F.lit(n_buckets)).alias("_bucket")).applyInPandas(expand, "_key long, _piece binary, _lowest long, _bits long")
+    runs = dealt.groupBy(F.pmod(F.xxhash64("_by"), F.lit(n_buckets)).alias("_bucket")).applyInArrow(expand, "_key long, _piece binary, _lowest long, _bits long")
+    runs = written(runs, "runs", codec="zstd")
+    forget(distinct)
     hits = where.join(runs, ["_key", "_piece"]).where("_lowest < _least").groupBy("_class").agg(F.collect_list(F.struct("_start", "_bits")).alias("_hits"))
+    hits = written(hits, "hits", codec="zstd")
+    forget(runs, hot, pieces_table)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans, kept = [], []
-            for data, hit in zip(b.column(3).to_pylist(), b.column(4), strict=True):
-                if hit.is_valid:
-                    s, k = cover(data, hit.values.field("_start").to_numpy(), hit.values.field("_bits").to_numpy(), length)
-                else:
-                    s, k = [], data
-                spans.append(s)
-                kept.append(k)
-            flat = np.array([x for s in spans for x in s], dtype=np.int64).reshape(-1, 2)
+            cut_out = [cover(data, hit.values.field("_start").to_numpy(), hit.values.field("_bits").to_numpy(), length) for data, hit in zip(b.column(1).to_pylist(), b.column(2), strict=True)]
+            flat = np.array([x for s, _ in cut_out for x in s], dtype=np.int64).reshape(-1, 2)
             pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["start", "end"])
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int32)
-            digests = pa.array([hashlib.sha256(k).hexdigest() for k in kept])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(pa.array(ends), pairs), pa.array(kept, type=pa.binary()), digests], names=["_digest", "_least", "spans", "kept", "kept_sha256"])
-
-    left = texts.select("_digest", "_class", "_least", "_text").join(hits, "_class", "left").select("_digest", "_class", "_least", "_text", "_hits")
-    done = left.mapInArrow(remove, "_digest binary, _least long, spans array<struct<start: long, end: long>>, kept binary, kept_sha256 string")
+            ends = np.concatenate([[0], np.cumsum([len(s) for s, _ in cut_out])]).astype(np.int32)
+            digests = pa.array([hashlib.sha256(k).hexdigest() for _, k in cut_out], type=pa.string())
+            kept = pa.array([k if keep_bytes else None for _, k in cut_out], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pairs), digests, kept], names=["_digest", "spans", "kept_sha256", "_kept"])
+
+    done = of(hits).select("_digest", "_text", "_hits").mapInArrow(remove, "_digest binary, spans array<struct<start: long, end: long>>, kept_sha256 string, _kept binary")
+    done = written(texts.select("_digest", "_least").join(done, "_digest", "left"), "removed")
+    forget(texts, hits)
     n = F.length("_text").cast("long")
-    out = rows.select("_id", "_rank", "_digest", n.alias("n_bytes")).join(done, "_digest")
-    # A copy of a smaller document's text goes whole, if it holds a window at all.
+    out = rows.select("_id", "_rank", "_digest", n.alias("n_bytes"), *["_text"] * keep_bytes).join(done, "_digest")
+    # A copy of a smaller document's text goes whole, if it holds a window at all; a text without hits stays whole.
     copy = (F.col("_rank") > F.col("_least")) & (F.col("n_bytes") >= length)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
-    out = out.select(F.col("_id").alias(id_col), "n_bytes", F.when(copy, whole).otherwise(F.col("spans")).alias("spans"), F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept"), F.when(copy, hashlib.sha256(b"").hexdigest()).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
+    spans = F.when(copy, whole).otherwise(F.coalesce("spans", F.array().cast("array<struct<start: bigint, end: bigint>>")))
+    digest = F.when(copy, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("_digest"))))
+    kept = [F.when(copy, F.lit(b"")).otherwise(F.coalesce("_kept", "_text")).alias("kept")] if keep_bytes else []
+    out = out.select(F.col("_id").alias(id_col), "n_bytes", spans.alias("spans"), *kept, digest.alias("kept_sha256"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return out.select(column(id_col), "n_bytes", removed.alias("n_removed"), "spans", "kept", "kept_sha256")
+    return out.select(column(id_col), "n_bytes", removed.alias("n_removed"), "spans", *["kept"] * keep_bytes, "kept_sha256")
 
 
 def op12_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_bytes=False)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
