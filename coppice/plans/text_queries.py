@@ -12,8 +12,9 @@ from coppice.operators import history as D
 from coppice.operators import parsing as P
 from coppice.operators import search as S
 from coppice.operators import vectors as V
+from coppice.operators import search_index as I
 from coppice.operators.tools import Tools
-from coppice.sources import views
+from coppice.sources import scratch, views
 from coppice.sources.tables import load
 
 K = 20
@@ -23,9 +24,31 @@ def _documents(spark, d):
     return load(spark, d, "documents")
 
 
-def _rank(spark, d, docs, fields, query, boosts):
-    index, stats = S.postings(docs, "doc_id", fields), S.field_stats(docs, fields)
-    hits = S.score(index, stats, S.parse(query), "doc_id", boosts)
+#: Folders of the indexes that this application has made, by table folder and name.
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def _index(spark, d, name, batches, fields, key="doc_id"):
+    """A stored index of the given batches, made at its first use and kept while the application runs."""
+    at = (spark.sparkContext.applicationId, d, name)
+    if at not in _INDEXES:
+        path = scratch.folder(spark, f"index-{name}")
+        for docs in batches():
+            I.add(docs, key, fields, path)
+        _INDEXES[at] = path
+    return I.open_index(spark, _INDEXES[at], key)
+
+
+def _texts(spark, d):
+    return _index(spark, d, "texts", lambda: [_documents(spark, d)], ["text"])
+
+
+def _corpus(spark, d):
+    return _index(spark, d, "corpus", lambda: [views.corpus(spark, d)], ["title", "type", "content"])
+
+
+def _rank(index, query, boosts):
+    hits = S.score(index, None, S.parse(query), "doc_id", boosts)
     return hits.select("doc_id", F.round("score", 6).alias("score"), "fields")
 
 
@@ -60,17 +83,17 @@ def query(sql):
 
 @query(f"WITH {_bm25_sql('documents', {'text': 1.0}, [(t, None, 1) for t in ('license', 'public', 'token', 'version')])} SELECT doc_id, round(sum(s), 6) AS score FROM part GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT {K}")
 def bm25_search(spark, d):
-    return _rank(spark, d, _documents(spark, d), ["text"], "license public token version", {"text": 1.0}).select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(K)
+    return _rank(_texts(spark, d), "license public token version", {"text": 1.0}).select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(K)
 
 
 @query(f"WITH {views.CORPUS_SQL}, {_bm25_sql('corpus', {'title': 10.0, 'type': 2.0, 'content': 1.0}, [('the', 'title', 2), ('license', None, 1), ('de', 'type', 1)])} SELECT doc_id, round(sum(s), 6) AS score FROM part GROUP BY doc_id")
 def bm25_fielded_boost(spark, d):
-    return _rank(spark, d, views.corpus(spark, d), ["title", "type", "content"], "title:the^2 license type:de", S.BOOSTS).select("doc_id", "score")
+    return _rank(_corpus(spark, d), "title:the^2 license type:de", S.BOOSTS).select("doc_id", "score")
 
 
 @query(f"WITH {views.CORPUS_SQL}, {_bm25_sql('corpus', {'title': 10.0, 'type': 2.0, 'content': 1.0}, [('the', None, 1), ('fr', None, 1)])} SELECT doc_id, concat_ws(' + ', CASE WHEN bool_or(field = 'title') THEN 'title' END, CASE WHEN bool_or(field = 'type') THEN 'type' END, CASE WHEN bool_or(field = 'content') THEN 'content' END) AS reason FROM part GROUP BY doc_id")
 def match_reason(spark, d):
-    hits = _rank(spark, d, views.corpus(spark, d), ["title", "type", "content"], "the fr", S.BOOSTS)
+    hits = _rank(_corpus(spark, d), "the fr", S.BOOSTS)
     return hits.select("doc_id", S.match_reason(F.col("fields")).alias("reason"))
 
 
@@ -107,8 +130,33 @@ def search_fuzzy_terms(spark, d):
 
 @query(f"WITH {_TERMS_SQL} SELECT DISTINCT doc_id FROM t a WHERE term = 'license' AND NOT EXISTS (SELECT 1 FROM t b WHERE b.doc_id = a.doc_id AND b.term = 'mit')")
 def search_exclude_terms(spark, d):
+    return S.score(_texts(spark, d), None, S.parse("+license -mit"), "doc_id", {"text": 1.0}).select("doc_id")
+
+
+_FOUR = [(t, None, 1) for t in ("license", "public", "token", "version")]
+
+
+@query(f"WITH {_bm25_sql('documents', {'text': 1.0}, _FOUR)} SELECT doc_id, round(sum(s), 6) AS score FROM part GROUP BY doc_id")
+def bm25_segments(spark, d):
+    """An index made of a batch of documents for each language (and one without), searched as one."""
     docs = _documents(spark, d)
-    return S.score(S.postings(docs, "doc_id", ["text"]), S.field_stats(docs, ["text"]), S.parse("+license -mit"), "doc_id", {"text": 1.0}).select("doc_id")
+    languages = [r[0] for r in docs.select("lang").distinct().orderBy("lang").collect()]
+    index = _index(spark, d, "segments", lambda: [docs.where(F.col("lang").eqNullSafe(F.lit(x))) for x in languages], ["text"])
+    return _rank(index, "license public token version", {"text": 1.0}).select("doc_id", "score")
+
+
+@query(f"WITH {_TERMS_SQL}, f AS (SELECT 'fuzzy' AS kind, term, count(*) AS df FROM t WHERE levenshtein(term, 'licence') <= 2 GROUP BY term UNION ALL SELECT 'wildcard', term, count(*) FROM t WHERE starts_with(term, 'licen') GROUP BY term UNION ALL SELECT 'exact', term, count(*) FROM t WHERE term = 'token' GROUP BY term) SELECT * FROM f")
+def index_dictionary_entries(spark, d):
+    """What a query's words stand for, looked up in the stored dictionary and its deletion variants."""
+    kinds = F.element_at(F.array(F.lit("fuzzy"), F.lit("wildcard"), F.lit("exact")), F.col("q") + 1)
+    return _texts(spark, d).entries(S.parse("licence~2 licen* token")).select(kinds.alias("kind"), "term", "df")
+
+
+@query(f"WITH {_TERMS_SQL}, h AS (SELECT term FROM t WHERE levenshtein(term, 'licence') <= 2 OR starts_with(term, 'vers')) SELECT doc_id, count(*) AS n_terms FROM t JOIN (SELECT DISTINCT term FROM h) USING (term) GROUP BY doc_id")
+def search_stored_terms(spark, d):
+    """Documents by a fuzzy word and a wildcard, each with the number of different terms that it matched."""
+    hits = S.score(_texts(spark, d), None, S.parse("licence~2 vers*"), "doc_id", {"text": 1.0})
+    return hits.select("doc_id", F.size("matched").cast("long").alias("n_terms"))
 
 
 @query("""WITH r AS (SELECT doc_id, 1.0::DOUBLE AS s FROM documents WHERE lower(text) LIKE '%license%'), c AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1)
@@ -281,7 +329,7 @@ _FIELDS = {"title": 10.0, "doc_no": 5.0, "type": 2.0, "content": 1.0}
 
 def _hits(spark, d, text, addresses=None):
     nodes = load(spark, d, "part").selectExpr(f"{_PART_ID} AS id", *_split_columns(_PART), "p_partkey AS ord", "array('a' || p_partkey % 7) AS address_refs")
-    return S.hits(nodes, S.postings(nodes, "id", list(_FIELDS)), S.field_stats(nodes, list(_FIELDS)), text, addresses)
+    return S.hits(nodes, _index(spark, d, "parts", lambda: [nodes], list(_FIELDS), "id"), None, text, addresses)
 
 
 def _split_columns(sql):
@@ -329,10 +377,19 @@ def search_registry_name(spark, d):
     return _scored(_hits(spark, d, "QQQ_ONE", addresses))
 
 
-@query(f"WITH {_PART_SQL} SELECT doc_id AS id FROM parts WHERE title LIKE '%widget%' OR title LIKE '%gizmo%'")
+@query(f"WITH {_PART_SQL} SELECT 'title: giz' AS q, doc_id AS id FROM parts UNION ALL SELECT '+ giz', doc_id FROM parts WHERE title LIKE '%giz%' UNION ALL SELECT '-', doc_id FROM parts WHERE false")
 def search_prefix_retry(spark, d):
-    """A field that there is none of: all words are taken as prefixes."""
-    return _hits(spark, d, "nofield:widg giz").select("id")
+    """Words that do not follow the syntax are tried with a wildcard behind them; an unknown field then finds nothing."""
+    tried = {"title: giz": "title: giz", "+ giz": "+title:giz* +", "nofield:widg giz": "nofield:widg giz", "giz~": "giz~"}
+    rows = [_hits(spark, d, text).select(F.lit(q).alias("q"), "id") for q, text in tried.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+@query(f"""WITH {_PART_SQL} SELECT doc_id AS id, regexp_replace(title, '((?:sise|bran)\\w*)', '<mark>\\1</mark>', 'gi') AS title_html,
+ regexp_replace(replace(CASE WHEN length(content) > 160 THEN substr(content, 1, 160) || '…' ELSE content END, '&', '&amp;'), '((?:brand|size|sise|bran)\\w*)', '<mark>\\1</mark>', 'gi') AS snippet FROM parts""")
+def search_marked_terms(spark, d):
+    """Marks are on the terms that a wildcard and a fuzzy word matched."""
+    return _hits(spark, d, "sise~1 bran*").select("id", "title_html", "snippet")
 
 
 @query(f"WITH {_PART_SQL}, {_bm25_sql('parts', _FIELDS, [('widget', 'title', 1)])}, r AS (SELECT doc_id, sum(s) AS s FROM part GROUP BY doc_id) SELECT doc_id AS id, title, replace(title, 'widget', '<mark>widget</mark>') AS title_html, replace(content, '&', '&amp;') || '…' AS snippet FROM r JOIN parts USING (doc_id) ORDER BY s DESC, p_partkey LIMIT 5 OFFSET 5")

@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from coppice.operators import extraction as X
 from coppice.operators import search as S
+from coppice.operators import search_index as I
 from coppice.operators import vectors as V
 
 A = "0x" + "Ab" * 20
@@ -85,6 +88,70 @@ def test_query_language():
     assert S.parse("0x35d1").terms == [S.Term("0x35d1", prefix=True)]
     assert S.parse("18AC7DD3-c646-4352-9b0d-d01a2932d7d1").id == "18ac7dd3-c646-4352-9b0d-d01a2932d7d1"
     assert S.parse("MCD_VAT").registry_id == "MCD_VAT" and S.parse("").terms == []
+    # Tried again with a wildcard behind each word; a field that there is none of, or no number, then finds nothing.
+    for text in ("nofield:licence", "licence~", "a^x b", "a~b"):
+        assert S.parse(text).nothing, text
+    assert not S.parse("title: b").nothing and S.parse("title: b").terms == [S.Term("", "title", prefix=True), S.Term("b", prefix=True)]
+    assert S.parse("+ a~1").terms == [S.Term("", prefix=True, presence="must"), S.Term("a", edits=1), S.Term("", prefix=True)]
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_deletion_variants_meet(spark, edits):
+    rng = random.Random(edits)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(300)})
+    table = spark.createDataFrame([(w,) for w in words], "term string")
+    got = {}
+    for r in S.variants_of(table, edits).collect():
+        got.setdefault(r.term, set()).add(r.variant)
+    assert got == {w: set(S.deletion_variants(w, edits)) for w in words}
+    near = table.alias("a").join(table.alias("b"), F.levenshtein("a.term", "b.term") <= edits).selectExpr("a.term x", "b.term y").collect()
+    assert all(got[r.x] & got[r.y] for r in near)
+
+
+def test_stored_index(spark, tmp_path):
+    rng = random.Random(8)
+    docs = [(i, " ".join(f"w{min(rng.randrange(400), rng.randrange(400))}" for _ in range(60)), f"t{i % 5} common") for i in range(300)] + [(300, None, ""), (301, "", None)]
+    table = spark.createDataFrame(docs, "id long, content string, title string")
+    fields, path = ["content", "title"], str(tmp_path / "index")
+    I.add(table.where("id < 200"), "id", fields, path, parts=12)
+    I.add(table.where("id >= 200"), "id", fields, path, parts=12)
+    spark.range(3).write.parquet(f"{path}/postings/segment=7")  # a segment that was not finished counts for nothing
+    plain, stats = S.postings(table, "id", fields), S.field_stats(table, fields)
+    queries = ["w1 w7", "+w1 -w2 common", "w39*", "title:t3 w11~1^2", "w12~2", "absent", "title:*", "w1~3", "nofield:w1"]
+    rows = lambda df: {r.id: (round(r.score, 9), sorted(r.fields), sorted(r.matched)) for r in df.collect()}
+    for text in queries:
+        q = S.parse(text)
+        want = rows(S.score(plain, stats, q, "id"))
+        assert rows(S.score(I.open_index(spark, path, "id"), None, q, "id")) == want, text
+        assert bool(want) != (text in ("absent", "nofield:w1"))
+    # A search of one term reads the files that hold it, not the index.
+    index = I.open_index(spark, path, "id")
+    files = lambda df: _scan_metric(df, "numFiles")
+    assert files(index.postings) == 24 and 1 <= files(index.held(S.parse("content:w77"))) <= 4
+    assert _scan_metric(index.held(S.parse("content:w77")), "filesSize") * 5 < _scan_metric(index.postings, "filesSize")
+    I.merge(spark, path, "id", parts=6)
+    merged = I.open_index(spark, path, "id")
+    assert len(merged.segments) == 1 and rows(S.score(merged, None, S.parse("w1 w39*"), "id")) == rows(S.score(plain, stats, S.parse("w1 w39*"), "id"))
+
+
+def _scan_metric(df, name):
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply(name).value() for i in range(leaves.size()))
+
+
+def test_marks_of_matched_terms(spark):
+    rows = [("a", "A.1", "On <licence>", "Core", "x " * 80 + "about govern and governance, a license & more " + "y " * 90, 0, []), ("b", "A.2", "B", "Core", "", 1, ["0x1"])]
+    table = spark.createDataFrame(rows, "id string, doc_no string, title string, type string, content string, ord int, address_refs array<string>")
+    fields = ["title", "doc_no", "type", "content"]
+    index, stats = S.postings(table, "id", fields), S.field_stats(table, fields)
+    one = lambda q: S.hits(table, index, stats, q).first()
+    assert "about <mark>govern</mark> and <mark>governance</mark>, a license &amp; more" in one("govern*").snippet
+    fuzzy = one("content:licence~2")
+    assert "a <mark>license</mark> &amp; more" in fuzzy.snippet and fuzzy.snippet.startswith("…") and fuzzy.title_html == "On &lt;<mark>licence</mark>&gt;"
+    named = S.hits(table, index, stats, "QQQ_ZED", spark.createDataFrame([("0x1", "QQQ_ZED")], "address string, registry_name string")).collect()
+    assert [(r.id, r.tier, r.score, r.snippet, r.match_reason) for r in named] == [("b", 2, 2.0, "", "registry")]
 
 
 def test_hits(spark):
