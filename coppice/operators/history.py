@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 STOP_WORDS = ("the", "a", "an", "and", "or", "for", "in", "on", "to", "at", "by", "with", "from", "of", "is", "as")
 THRESHOLD = 0.35
 CONTEXT, HEAD_LINES, BODY_CHARS = 2, 20, 500
+#: Rows of an edit table that are kept at each level.
+KEPT_ROWS = 64
 
 SEGMENT = T.StructType([T.StructField("op", T.StringType()), T.StructField("text", T.StringType())])
 DIFF = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("text", T.StringType()), T.StructField("segs", T.ArrayType(SEGMENT))]))
@@ -40,26 +42,59 @@ def snapshot_diff(snapshots: DataFrame, key: str = "id", seq: str = "seq", colum
 def edit_script(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     """Longest-common-subsequence edits; where both are as good, deletions come before insertions.
 
-    Rows of the table are numpy vectors: along a row, the best of the left cell is a running maximum.
+    Rows of the table are numpy vectors: along a row, the best of the left cell is a running maximum. Only some rows
+    are kept, and those between two of them are made again while the path is followed back through them, so that
+    memory is in proportion to the shorter way along the table and to the logarithm of the other.
     """
+    end = 0
+    while end < min(len(a), len(b)) and a[-1 - end] == b[-1 - end]:
+        end += 1  # the path takes every match at the end, so these need no table
+    out = [("=", t) for t in a[len(a) - end :][::-1]]
+    a, b = a[: len(a) - end], b[: len(b) - end]
     codes: dict[str, int] = {}
     x = [codes.setdefault(t, len(codes)) for t in a]
     y = np.array([codes.setdefault(t, len(codes)) for t in b], dtype=np.int64)
-    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i, c in enumerate(x, 1):
-        up = table[i - 1]
-        table[i, 1:] = np.maximum.accumulate(np.maximum(up[1:], np.where(y == c, up[:-1] + 1, 0)))
-    out, i, j = [], len(a), len(b)
-    while i or j:
-        if i and j and a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-            out.append(("=", a[i]))
-        elif not i or (j and table[i, j - 1] >= table[i - 1, j]):
-            j -= 1
-            out.append(("+", b[j]))
-        else:
-            i -= 1
-            out.append(("-", a[i]))
+    by = np.argsort(y, kind="stable")
+    first = np.searchsorted(y[by], np.arange(len(codes) + 1))
+
+    def below(up: np.ndarray, i: int) -> np.ndarray:
+        """Row i of the table, as far as the row above goes."""
+        at = by[first[x[i - 1]] : first[x[i - 1] + 1]]
+        at = at[at < len(up) - 1]
+        row = up.copy()
+        row[at + 1] = np.maximum(row[at + 1], up[at] + 1)
+        return np.maximum.accumulate(row)
+
+    def follow(top: int, row: np.ndarray, i: int, j: int) -> int:
+        """The path from cell (i, j) back to row ``top``, which is given; where it gets there."""
+        row = row[: j + 1]
+        if i - top > KEPT_ROWS:
+            step = -(-(i - top) // KEPT_ROWS)
+            kept = [(top, row)]
+            for k in range(top + 1, i):
+                row = below(row, k)
+                if (k - top) % step == 0:
+                    kept.append((k, row))
+            for k, row in reversed(kept):
+                j, i = follow(k, row, i, j), k
+            return j
+        table = [row]
+        for k in range(top + 1, i + 1):
+            table.append(below(table[-1], k))
+        while i > top:
+            if j and a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+                out.append(("=", a[i]))
+            elif j and table[i - top][j - 1] >= table[i - top - 1][j]:
+                j -= 1
+                out.append(("+", b[j]))
+            else:
+                i -= 1
+                out.append(("-", a[i]))
+        return j
+
+    left = follow(0, np.zeros(len(b) + 1, dtype=np.int32), len(a), len(b))
+    out += [("+", t) for t in b[:left][::-1]]
     return out[::-1]
 
 

@@ -125,3 +125,37 @@ def batches_of(rows: DataFrame, order: str, size: int) -> DataFrame:
 def iterate(df: DataFrame) -> Iterator:
     """Rows at the driver one partition at a time, for result pages and exports."""
     return df.toLocalIterator()
+
+
+def parse_lines(rows: DataFrame, key: str, block: str = "block") -> DataFrame:
+    """``parse`` of texts that are given as lines, so that one very large text is parsed by as many tasks as it has blocks.
+
+    rows: ``key, block, n, line``; ``n`` orders a text's lines, and so do its blocks (numbers, or arrays and structs of
+    such), each of which is one task. First each block is summed up as its number of headings and, for each depth, its
+    last heading of that depth or less; these are combined over the blocks before; then lines are numbered and headings
+    get parents within their block. A segment's content is one row, as everywhere.
+    """
+    h = headings(rows)
+    head = F.struct("n", "depth", "id")
+    last = [f"_last{d}" for d in range(1, MAX_DEPTH)]
+    sums = h.groupBy(key, block).agg(F.count_if("is_heading").alias("_heads"), *(F.max(F.when(F.col("is_heading") & (F.col("depth") <= d), head)).alias(c) for d, c in enumerate(last, 1)))
+    w = W.partitionBy(key).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select(key, block, F.coalesce(F.sum("_heads").over(w), F.lit(0)).alias("_before"), *(F.max(c).over(w).alias(c) for c in last))
+
+    own = W.partitionBy(key, block).orderBy("n")
+    so_far, earlier = own.rowsBetween(W.unboundedPreceding, W.currentRow), own.rowsBetween(W.unboundedPreceding, -1)
+    marked = h.join(before.select(key, block, "_before"), [key, block])
+    marked = marked.withColumn("seg", F.col("_before") + F.sum(F.col("is_heading").cast("int")).over(so_far)).where("seg > 0")
+    text = F.when(~F.col("is_heading"), F.struct(F.col("n").alias("o"), F.col("line").alias("t")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(text)), lambda x: x["t"]), "\n")
+    bodies = marked.groupBy(key, "seg").agg(body.alias("content"))
+
+    heads = h.where("is_heading").select(key, block, "n", "id", "doc_no", "title", "type", "depth").join(before, [key, block])
+    heads = heads.withColumn("seg", F.col("_before") + F.row_number().over(own))
+    parents = []
+    for d, c in enumerate(last, 1):
+        near = F.coalesce(F.max(F.when(F.col("depth") <= d, head)).over(earlier), F.col(c))
+        parents.append(F.when((F.col("depth") == d + 1) & (near["depth"] == d), near["id"]))
+    heads = heads.withColumn("parent_id", F.coalesce(*parents))
+    nodes = heads.join(bodies, [key, "seg"]).withColumn("ord", (F.col("seg") - 1).cast("int"))
+    return clean_content(nodes).select(key, "id", "doc_no", "title", "type", "depth", "parent_id", "content", "ord")

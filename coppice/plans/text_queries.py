@@ -14,7 +14,7 @@ from coppice.operators import search as S
 from coppice.operators import vectors as V
 from coppice.operators import search_index as I
 from coppice.operators.tools import Tools
-from coppice.sources import scratch, views
+from coppice.sources import readers, scratch, sinks, views
 from coppice.sources.tables import load
 
 K = 20
@@ -191,6 +191,29 @@ def doc_segments(spark, d):
     return P.segments(lines, "doc_id").select("doc_id", "seg", "first", "last", F.md5("body").alias("body"))
 
 
+def _uuid_sql(text):
+    return f"substr(md5({text}), 1, 8) || '-' || substr(md5({text}), 9, 4) || '-' || substr(md5({text}), 13, 4) || '-' || substr(md5({text}), 17, 4) || '-' || substr(md5({text}), 21, 12)"
+
+
+@query(f"WITH {views.OUTLINE_SQL} SELECT {_uuid_sql('id')} AS id, doc_no, title, type, depth, CASE WHEN up IS NOT NULL THEN {_uuid_sql('up')} END AS parent_id, content, (row_number() OVER (ORDER BY ord) - 1)::INT AS ord FROM outline")
+def parse_large_text(spark, d):
+    """The whole outline as the lines of one text, parsed in blocks of lines: headings, parents, contents, order."""
+    nodes = views.outline(spark, d)
+    heading = F.concat(F.repeat(F.lit("#"), F.col("depth")), F.lit(" "), "doc_no", F.lit(" - "), "title", F.lit(" ["), "type", F.lit("]  <!-- UUID: "), F.expr(_uuid_sql("id")), F.lit(" -->"))
+    rows = nodes.select(F.lit("all").alias("text"), F.floor(F.col("ord") / 1000).alias("block"), F.posexplode(F.array(heading, "content")).alias("at", "line"), "ord")
+    parsed = P.parse_lines(rows.withColumn("n", F.col("ord") * 2 + F.col("at")), "text")
+    return parsed.select("id", "doc_no", "title", "type", "depth", "parent_id", "content", "ord")
+
+
+@query("SELECT 'c,' || c_custkey AS key, '{\"' || c_name || '\", }' AS label, c_mktsegment AS chain, [c_name, 'a\"b,]'] AS roles FROM customer")
+def json_map_round_trip(spark, d):
+    """Customers written as JSON objects of 500 members, with brackets, quotes and commas in their strings, and read again in blocks."""
+    rows = load(spark, d, "customer").selectExpr("concat('c,', c_custkey) AS key", "concat('{\"', c_name, '\", }') AS label", "c_mktsegment AS chain", "array(c_name, 'a\"b,]') AS roles", "c_custkey div 500 AS file")
+    path = scratch.folder(spark, "maps")
+    sinks.json_objects(rows, "key", "file", path)
+    return readers.json_map(spark, path, "struct<label: string, chain: string, roles: array<string>>").select("key", "value.*")
+
+
 @query("SELECT md5(text) AS hash, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def dup_content_hash(spark, d):
     hashed = D.with_hash(views.corpus(spark, d).where("content is not null"))

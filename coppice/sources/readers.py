@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 NODE_VALUE = "struct<id: string, doc_no: string, title: string, type: string, depth: int, parentId: string, content: string, order: int, addressRefs: array<string>>"
 ADDRESS_VALUE = "struct<chain: string, explorerUrl: string, label: string, chainlogId: string, etherscanName: string, isContract: boolean, isProxy: boolean, implementation: string, roles: array<string>, aliases: array<string>, expectedTokens: array<string>>"
@@ -23,10 +24,72 @@ def whole_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """``key, value``: entries of files that hold one JSON object each."""
-    rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.explode(F.from_json("value", f"map<string, {value}>")).alias("key", "value"))
+def split_file(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
+    """``path, block, n, piece``: files cut at a separator, a task to each block of a file, whatever the file's size.
+
+    ``n`` numbers a file's pieces from 0: blocks are counted first, then a piece's place in its block is added. A
+    separator at the end of a file begins no further piece. Row numbers and blocks come from the scan itself.
+    """
+    rows = spark.read.text(path, lineSep=separator)
+    m = F.col("_metadata")
+    rows = rows.select(m["file_path"].alias("path"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("_i"), F.col("value").alias("piece"))
+    # Rows of a block follow each other in one task.
+    counts = rows.groupBy("path", "block").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    w = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    shift = counts.select("path", "block", (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(shift, ["path", "block"]).select("path", "block", (F.col("_i") + F.col("_shift")).alias("n"), "piece")
+
+
+def _brackets(text: Column) -> Column:
+    """Opening less closing brackets of a text without strings."""
+    without = lambda chars: F.length(F.translate(text, chars, ""))
+    return without("}]") - without("{[")
+
+
+def json_entries(spark: SparkSession, path: str) -> DataFrame:
+    """``path, ord, entry``: the members (``"key": value``) of files that hold one JSON object each, as text.
+
+    Files are cut at all commas, by many tasks to a file. For each piece two things are known without the ones before
+    it: whether it changes from outside to inside a string, and its brackets under either start. Both are combined
+    over blocks, then within a block; a member ends at a comma outside strings at depth 1.
+    """
+    rows = split_file(spark, path, ",")
+    plain = F.regexp_replace("piece", r"\\.", "")  # escaped characters are in strings
+    parts = F.split(plain, '"', -1)
+    side = lambda odd: F.array_join(F.filter(parts, lambda _, i: i % 2 == (1 if odd else 0)), "")
+    rows = rows.withColumn("_flip", (F.size(parts) - 1) % 2).withColumn("_out", _brackets(side(False))).withColumn("_in", _brackets(side(True)))
+    own = W.partitionBy("path", "block").orderBy("n")
+    upto, before = own.rowsBetween(W.unboundedPreceding, W.currentRow), own.rowsBetween(W.unboundedPreceding, -1)
+    # Whether a piece begins in a string, if its block begins outside; the depth behind it under either start.
+    rows = rows.withColumn("_odd", F.coalesce(F.sum("_flip").over(before), F.lit(0)) % 2)
+    d0, d1 = F.when(F.col("_odd") == 0, F.col("_out")).otherwise(F.col("_in")), F.when(F.col("_odd") == 0, F.col("_in")).otherwise(F.col("_out"))
+    rows = rows.withColumn("_d0", F.sum(d0).over(upto)).withColumn("_d1", F.sum(d1).over(upto))
+    last = F.max_by(F.struct((F.col("_odd") + F.col("_flip")).alias("f"), F.col("_d0").alias("a"), F.col("_d1").alias("b")), "n")
+    sums = rows.groupBy("path", "block").agg(last.alias("_s"))
+    whole = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    state = sums.select("path", "block", "_s", (F.coalesce(F.sum("_s.f").over(whole), F.lit(0)) % 2).alias("_start"))
+    depth = F.when(F.col("_start") == 0, F.col("_s.a")).otherwise(F.col("_s.b"))
+    state = state.select("path", "block", "_start", F.coalesce(F.sum(depth).over(whole), F.lit(0)).alias("_base"))
+    rows = rows.join(state, ["path", "block"])
+    inside = (F.col("_odd") + F.col("_flip") + F.col("_start")) % 2 == 1
+    behind = F.col("_base") + F.when(F.col("_start") == 0, F.col("_d0")).otherwise(F.col("_d1"))
+    rows = rows.withColumn("_end", ((behind == 1) & ~inside).cast("long"))
+    # A member's number: ends before its pieces, over blocks and within the block.
+    ends = rows.groupBy("path", "block").agg(F.sum("_end").alias("_e"))
+    ends = ends.select("path", "block", F.coalesce(F.sum("_e").over(whole), F.lit(0)).alias("_ends"))
+    rows = rows.join(ends, ["path", "block"]).withColumn("ord", F.col("_ends") + F.coalesce(F.sum("_end").over(before), F.lit(0)))
+    pieces = F.array_sort(F.collect_list(F.struct("n", "piece")))
+    joined = rows.groupBy("path", "ord").agg(F.array_join(F.transform(pieces, lambda p: p["piece"]), ",").alias("entry"), F.max(behind == 0).alias("_last"))
+    # The object's own braces are on its first and last member.
+    entry = F.when(F.col("ord") == 0, F.regexp_replace("entry", r"^\s*\{", "")).otherwise(F.col("entry"))
+    entry = F.when(F.col("_last"), F.regexp_replace(entry, r"\}\s*$", "")).otherwise(entry)
+    return joined.select("path", "ord", F.regexp_replace(entry, r"^\s+|\s+$", "").alias("entry")).where("entry <> ''")
+
+
+def json_map(spark: SparkSession, path: str, value: str, lines: bool = False) -> DataFrame:
+    """``key, value``: members of files that hold one JSON object each, read in blocks; ``lines``: one object to a line."""
+    text = spark.read.text(path).select("value") if lines else json_entries(spark, path).select(F.concat(F.lit("{"), F.col("entry"), F.lit("}")).alias("value"))
+    return text.select(F.explode(F.from_json("value", f"map<string, {value}>")).alias("key", "value"))
 
 
 def nodes(spark: SparkSession, path: str) -> DataFrame:
@@ -120,20 +183,28 @@ def embed(chunks: DataFrame, service, dim: int, batch: int = 64, retries: int =
 
 
 def flat_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """``pos, embedding``: a row-major file of 32-bit little-endian floats; raises if its size is no multiple."""
-    rows = spark.read.format("binaryFile").load(path).select("content")
+    """``pos, embedding``: row-major files of 32-bit little-endian floats, read in blocks of whole vectors.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``pos`` goes on from one file to the next, in the order of their names. Raises if a file's size is no multiple.
+    """
+    sizes = spark.read.format("binaryFile").load(path).select("path", "length").collect()  # a row to a file; contents are not read
+    odd = [r["length"] for r in sizes if r["length"] % (4 * dim)]
+    if odd:
+        raise ValueError(f"{odd[0]} bytes are no multiple of {dim} floats")
+    names = sorted(r["path"] for r in sizes if r["length"])
+    schema = "pos long, raw binary"
+    if not names:
+        return spark.createDataFrame([], "pos long, embedding array<float>")
+    records = spark.sparkContext.binaryRecords(",".join(names), 4 * dim)
+    rows = spark.createDataFrame(records.zipWithIndex().map(lambda r: (r[1], bytearray(r[0]))), schema)
+
+    def floats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0).to_pylist():
-                v = np.frombuffer(data, dtype="<f4")
-                if len(v) % dim:
-                    raise ValueError(f"{len(v)} floats are no multiple of {dim}")
-                for lo in range(0, len(v) // dim, 1000):
-                    part = v[lo * dim : (lo + 1000) * dim].reshape(-1, dim)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part))), pa.array(part.tolist(), type=pa.list_(pa.float32()))], names=["pos", "embedding"])
-
-    return rows.mapInArrow(cut, "pos long, embedding array<float>")
+            flat = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype="<f4")
+            ends = np.arange(0, len(flat) + 1, dim, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["pos", "embedding"])
+
+    return rows.mapInArrow(floats, "pos long, embedding array<float>")
 
 
 def histories(spark: SparkSession, path: str) -> DataFrame:

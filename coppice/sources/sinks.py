@@ -19,6 +19,17 @@ def json_map(df: DataFrame, key: str, path: str) -> None:
     df.select(F.to_json(F.map_from_arrays(F.array(key), F.array(rest))).alias("value")).write.mode("overwrite").text(path)
 
 
+def json_objects(df: DataFrame, key: str, file: str, path: str) -> None:
+    """A file that holds one JSON object for each value of ``file``: its rows by key, in the keys' order.
+
+    A value's rows are one text, so choose ``file`` to have some thousands of them.
+    """
+    rest = [c for c in df.columns if c not in (key, file)]
+    members = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.struct(*rest).alias("v")))), lambda m: F.concat(F.to_json(F.array(m["k"])).substr(F.lit(2), F.length(F.to_json(F.array(m["k"]))) - 2), F.lit(": "), F.to_json(m["v"])))
+    whole = F.concat(F.lit("{"), F.array_join(members, ",\n"), F.lit("}"))
+    df.groupBy(file).agg(whole.alias("value")).write.mode("overwrite").partitionBy(file).text(path)
+
+
 def vectors(chunks: DataFrame, path: str, model: str, dim: int) -> None:
     """Chunks with their vectors, and one row of metadata beside them."""
     table(chunks, f"{path}/chunks")

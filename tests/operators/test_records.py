@@ -1,5 +1,8 @@
 import json
+import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +134,79 @@ def test_tools(spark):
     assert len(tools.handle({"id": 1, "method": "tools/list"})["result"]["tools"]) == 3
     assert tools.handle({"id": 1, "method": "nope"})["error"]["code"] == -32601 and tools.handle({"id": 1, "method": "ping"})["result"] == {}
     assert "protocolVersion" in tools.handle({"id": 1, "method": "initialize"})["result"]
+
+
+def test_files_are_read_in_blocks(spark, tmp_path):
+    rng = random.Random(3)
+    odd = ['a, "b" {c} [d] \\ ', "tail\\\\", "é,\n}", "", '","', "]]]}}}{{{"]
+    value = lambda i: {"id": f"k{i}", "title": rng.choice(odd), "depth": i, "content": "".join(rng.choice(odd) for _ in range(rng.randrange(9))), "addressRefs": [rng.choice(odd) for _ in range(i % 4)]}
+    maps = [{f"k, {i}" if i % 5 else f"{{{i}": value(i) for i in range(400)}, {}, {"one": value(1)}]
+    for n, m in enumerate(maps):
+        (tmp_path / f"m{n}.json").write_text(json.dumps(m, ensure_ascii=bool(n), indent=2 if n else None))
+    (tmp_path / "text.md").write_text("\n".join(f"line {i} é" for i in range(3000)))
+    want = {k: v for m in maps for k, v in m.items()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = readers.json_map(spark, str(tmp_path / "m*.json"), "struct<id: string, title: string, depth: int, content: string, addressRefs: array<string>>")
+        rows = got.collect()
+        assert len(rows) == len(want) and {r.key: r.value.asDict() for r in rows} == want
+        lines = readers.split_file(spark, str(tmp_path / "text.md"))
+        assert lines.select("block").distinct().count() > 20
+        assert [(r.n, r.piece) for r in lines.orderBy("n").collect()] == [(i, f"line {i} é") for i in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_vectors_have_one_numbering(spark, tmp_path):
+    np.arange(40, dtype="<f4").tofile(tmp_path / "b.bin")
+    np.arange(100, 112, dtype="<f4").tofile(tmp_path / "c.bin")
+    rows = readers.flat_vectors(spark, str(tmp_path / "*.bin"), 4).orderBy("pos").collect()
+    assert [r.pos for r in rows] == list(range(13)) and rows[9].embedding == [36.0, 37.0, 38.0, 39.0] and rows[12].embedding[0] == 108.0
+    np.zeros(3, dtype="<f4").tofile(tmp_path / "d.bin")
+    with pytest.raises(ValueError, match="no multiple"):
+        readers.flat_vectors(spark, str(tmp_path / "*.bin"), 4)
+
+
+def whole_table(a, b):
+    """The edit script by the whole table, with the same rule for ties."""
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
+    out, i, j = [], len(a), len(b)
+    while i or j:
+        if i and j and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append(("=", a[i]))
+        elif not i or (j and t[i][j - 1] >= t[i - 1][j]):
+            j -= 1
+            out.append(("+", b[j]))
+        else:
+            i -= 1
+            out.append(("-", a[i]))
+    return out[::-1]
+
+
+@pytest.mark.parametrize("kept", [1, 2, 5, 64])
+def test_edit_scripts_equal_the_whole_table(monkeypatch, kept):
+    rng = random.Random(kept)
+    monkeypatch.setattr(D, "KEPT_ROWS", max(2, kept))
+    for _ in range(150):
+        letters = "ab" if rng.random() < 0.5 else "abcdefgh"
+        a, b = ([rng.choice(letters) for _ in range(rng.randrange(40))] for _ in range(2))
+        assert D.edit_script(a, b) == whole_table(a, b)
+
+
+def test_edit_script_of_long_texts_needs_little_memory():
+    rng = random.Random(1)
+    a = [f"line {i}" for i in range(20_000)]
+    b = [f"other {i}" if rng.random() < 0.1 else t for i, t in enumerate(a) if rng.random() > 0.05] + ["end"]
+    tracemalloc.start()
+    script = D.edit_script(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [t for op, t in script if op != "+"] == a and [t for op, t in script if op != "-"] == b
+    assert most < 60 << 20  # the whole table takes 1.5 GB

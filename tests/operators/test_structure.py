@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +138,22 @@ def test_derived_edges(spark):
     got = {(r.from_id, r.to_id, r.edge_type) for r in G.derive_edges(nodes, mentions).collect()}
     assert got == {(u, "c", "parent_of"), ("b", u, "cites"), ("b", u, "annotates"), ("c", u, "active_data_for"), (u, "operational_facilitator:Ann", "defines_entity"), ("b", "0xa:base", "mentions")}
     assert [(r.pos, r.name) for r in G.listed_entities(nodes).collect()] == [(0, "one"), (1, "two")]
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_lines_in_blocks_parse_like_texts(spark, size):
+    rng = random.Random(size)
+    texts = []
+    for t in range(4):
+        lines = []
+        for i in range(120):
+            if rng.random() < 0.4:
+                lines.append(f"{'#' * rng.randrange(1, 7)} A.{i} - Title {i} [Core]  <!-- UUID: {t:08x}-0000-0000-0000-{i:012x} -->")
+            else:
+                lines.append(rng.choice(["", "text", "`code", "end`", "# no heading", " x "]))
+        texts.append((t, "\n".join(lines)))
+    texts.append((9, ""))
+    table = spark.createDataFrame(texts, "doc int, text string")
+    rows = P.lines(table, "doc").withColumn("block", F.floor(F.col("n") / size))
+    want = sorted(map(tuple, P.parse(table, "doc").collect()))
+    assert len(want) > 100 and sorted(map(tuple, P.parse_lines(rows, "doc").collect())) == want
