@@ -12,6 +12,7 @@ from coppice.operators import history as D
 from coppice.operators import parsing as P
 from coppice.sources import views
 from coppice.sources.tables import load
+from coppice.streaming import snapshots
 
 QUERIES = {}
 
@@ -162,6 +163,12 @@ FROM revisions n FULL JOIN (SELECT * FROM revisions WHERE seq < (SELECT max(seq)
 WHERE o.id IS NULL OR n.id IS NULL OR n.content_hash IS DISTINCT FROM o.content_hash OR n.title IS DISTINCT FROM o.title)"""
 
 
+@query(f"WITH {_CHANGES_SQL} SELECT id, seq::BIGINT AS seq, change FROM changes")
+def snapshot_stream(spark, d):
+    """The same changes from a stream that keeps each node's last snapshot as state, stopped and started again half-way."""
+    return snapshots.replay(views.revisions(spark, d)).select("id", "seq", "change")
+
+
 @query(f"WITH {_CHANGES_SQL} SELECT id, seq, change FROM changes")
 def snapshot_diff(spark, d):
     return D.snapshot_diff(views.revisions(spark, d))

@@ -11,7 +11,7 @@ from coppice.operators import history as D
 from coppice.operators import reports as R
 from coppice.operators.tools import Tools
 from coppice.sources import readers, sinks
-from coppice.streaming import incremental
+from coppice.streaming import incremental, snapshots
 
 
 def test_edit_scripts():
@@ -210,3 +210,19 @@ def test_edit_script_of_long_texts_needs_little_memory():
     tracemalloc.stop()
     assert [t for op, t in script if op != "+"] == a and [t for op, t in script if op != "-"] == b
     assert most < 60 << 20  # the whole table takes 1.5 GB
+
+
+def test_stream_of_snapshots_equals_the_batch_diff(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(f"n{i}", seq, rng.choice(["h1", "h2", None]), rng.choice("tu")) for i in range(40) for seq in range(3, 13) if rng.random() < 0.7 and not (seq == 7)]
+    rows += [("late", 12, "h", "t"), ("early", 3, "h", "t")]
+    table = spark.createDataFrame(rows, "id string, seq int, content_hash string, title string")
+    want = sorted((r.id, r.seq, r.change) for r in D.snapshot_diff(table).collect())
+    for runs in (1, 3):
+        got = snapshots.replay(table, runs).collect()
+        assert sorted((r.id, r.seq, r.change) for r in got) == want
+        by = {}
+        for r in sorted(got, key=lambda r: (r.id, r.seq)):
+            by.setdefault(r.id, []).append(r.n)
+        assert all(n == list(range(1, len(n) + 1)) for n in by.values())
+    assert snapshots.replay(table.limit(0)).count() == 0
