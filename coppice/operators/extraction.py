@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from coppice.functions.text import END, START, UUID, any_of, extract_or_null, trim_all, word
@@ -84,13 +87,19 @@ def normalise(address: Column) -> Column:
     return F.when(address.startswith("0x"), F.lower(address)).otherwise(address)
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _starts(gaps: pd.Series, hits: pd.Series) -> pd.Series:
+    """Where hits begin, from the lengths of the gaps before, between and behind them and of the hits: running sums."""
+    return pd.Series([np.cumsum(g[:-1]) + np.cumsum(h) - h for g, h in zip(gaps, hits, strict=True)])
+
+
 def occurrences(texts: DataFrame, key: str, text: str, pattern: str, kind: str) -> DataFrame:
-    """``key, kind, found, pos``: every match with its position (from 0, in code points), JVM-side.
+    """``key, kind, found, pos``: every match with its position (from 0, in code points).
 
     Positions come from the lengths of the pieces between matches, as the pattern splits the text.
     """
     rows = texts.where(F.col(text).rlike(pattern)).select(key, F.split(text, pattern, -1).alias("_gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("_hits"))
-    ends = F.transform("_hits", lambda h, i: F.aggregate(F.slice("_gaps", F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice("_hits", F.lit(1), i), F.lit(0), lambda a, g: a + F.length(g)))
+    ends = _starts(F.transform("_gaps", F.length), F.transform("_hits", F.length))
     return rows.select(key, F.lit(kind).alias("kind"), F.posexplode(F.arrays_zip(F.col("_hits").alias("found"), ends.alias("pos"))).alias("_n", "_m")).select(key, "kind", F.col("_m.found").alias("found"), F.col("_m.pos").alias("pos"))
 
 
@@ -126,7 +135,7 @@ def explorer_url(chain: Column, address: Column) -> Column:
     return F.concat(F.element_at(table, chain), address)
 
 
-_ROW, _RULE = r"^\|.+\|$", r"^\|[\s\-:|]+\|$"
+ROW, RULE = r"^\|.+\|$", r"^\|[\s\-:|]+\|$"
 
 
 def _cells(line: Column) -> Column:
@@ -138,8 +147,8 @@ def table_context(text: Column, pos: Column) -> Column:
     lines = F.split(text, "\n", -1)
     number = F.size(F.split(F.substring(text, F.lit(1), pos), "\n", -1))  # 1-based
     line = F.element_at(lines, number)
-    is_row = lambda x: x.rlike(_ROW)
-    is_rule = lambda x: x.rlike(_RULE)
+    is_row = lambda x: x.rlike(ROW)
+    is_rule = lambda x: x.rlike(RULE)
     above = F.reverse(F.slice(lines, F.lit(1), F.greatest(number - 1, F.lit(0))))
     # Walk up while rows last; stop at the first rule.
     state = F.struct(F.lit(0).alias("n"), F.lit(False).alias("over"), F.lit(0).alias("at"))
@@ -173,18 +182,22 @@ def roles_of(text: Column) -> Column:
     return F.when(F.arrays_overlap(tags, F.array(*(F.lit(t) for t in ALIGNED))), F.array_remove(tags, OUTSIDE)).otherwise(tags)
 
 
+CLEANING = ((r"^\*\*(.*?)\*\*$", "$1"), (r"^__(.*?)__$", "$1"), (r"^\[([^\]]+)\]\([^)]*\)$", "$1"), ("`", ""), (r"\s+", " "))
+ADDRESS_CELL, NUMBER_CELL = r"^(0x[0-9a-fA-F]{40}|[1-9A-HJ-NP-Za-km-z]{43,44})$", r"^[0-9.,%$]+$"
+
+
 def clean_cell(cell: Column) -> Column:
-    for pattern, to in ((r"^\*\*(.*?)\*\*$", "$1"), (r"^__(.*?)__$", "$1"), (r"^\[([^\]]+)\]\([^)]*\)$", "$1"), ("`", ""), (r"\s+", " ")):
+    for pattern, to in CLEANING:
         cell = F.regexp_replace(cell, pattern, to)
     return trim_all(cell)
 
 
 def looks_like_address(c: Column) -> Column:
-    return c.rlike(r"^(0x[0-9a-fA-F]{40}|[1-9A-HJ-NP-Za-km-z]{43,44})$")
+    return c.rlike(ADDRESS_CELL)
 
 
 def looks_like_number(c: Column) -> Column:
-    return c.rlike(r"^[0-9.,%$]+$")
+    return c.rlike(NUMBER_CELL)
 
 
 def label_of(text: Column, pos: Column, table: Column) -> Column:
@@ -208,17 +221,6 @@ def tokens_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(word("|".join(TOKENS))), F.lit(0)))
 
 
-def extract_addresses(nodes: DataFrame, key: str = "id", text: str = "content", order: str = "ord") -> DataFrame:
-    """``key, order, address, pos, chain, explorer_url, roles, label, tokens``: one row for each address of each text."""
-    found = occurrences(nodes, key, text, EVM, "evm").unionByName(occurrences(nodes, key, text, BASE58, "base58"))
-    rows = first_by_key(found, key).join(nodes.select(key, F.col(text).alias("_t"), order), key)
-    t, pos, size = F.col("_t"), F.col("pos"), F.length("found")
-    rows = rows.withColumn("_table", table_context(t, pos)).withColumn("_note", annotation_text(t, pos, size, F.col("_table")))
-    chain = F.when(F.col("kind") == "base58", "solana").otherwise(chain_of(t, pos))
-    rows = rows.select(key, order, "address", "pos", chain.alias("chain"), roles_of(F.col("_note")).alias("roles"), label_of(t, pos, F.col("_table")).alias("label"), tokens_of(F.col("_note")).alias("tokens"))
-    return rows.withColumn("explorer_url", explorer_url(F.col("chain"), F.col("address")))
-
-
 def best_label(labels: Column) -> Column:
     """The longest label that is not generic (of all if none is); ties go by code point."""
     telling = F.filter(labels, lambda x: ~F.lower(x).isin(*GENERIC_LABELS))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from coppice.functions import docno
 from coppice.operators import chainstate as C
 from coppice.operators import extraction as X
+from coppice.operators import mentions as M
 from coppice.operators import graph as G
 from coppice.operators import hierarchy as H
 from coppice.operators import history as D
@@ -63,7 +64,7 @@ SELECT c_custkey, address, (instr(content, CASE k WHEN 0 THEN {SHOUTED} ELSE add
 def addresses_in_text(spark, d):
     """Both kinds of addresses with chain, roles, label (prose and table) and tokens; the first occurrence counts."""
     nodes = _customers(spark, d, "c_custkey", f"{_TEXT} AS content", "c_custkey AS ord")
-    return X.extract_addresses(nodes, "c_custkey").select("c_custkey", "address", "pos", "chain", "explorer_url", "label", *_joined("roles", "tokens"))
+    return M.extract_addresses(nodes, "c_custkey").select("c_custkey", "address", "pos", "chain", "explorer_url", "label", *_joined("roles", "tokens"))
 
 
 _NATION = ADDRESS("'n' || c_nationkey")
@@ -73,7 +74,7 @@ _MENTIONS_SQL = f"""m AS (SELECT c_custkey, c_nationkey, {_NATION} AS address, C
 
 
 def _shared(spark, d):
-    return X.extract_addresses(_customers(spark, d, "c_custkey", f"{_SHARED} AS content", "c_custkey AS ord"), "c_custkey")
+    return M.extract_addresses(_customers(spark, d, "c_custkey", f"{_SHARED} AS content", "c_custkey AS ord"), "c_custkey")
 
 
 @query(f"""WITH {_MENTIONS_SQL},
@@ -91,7 +92,7 @@ def address_references(spark, d):
     """Texts' own and nations' addresses as sorted references."""
     text = f"CASE WHEN c_custkey % 4 = 0 THEN 'none' WHEN c_custkey % 4 = 1 THEN {OWN} ELSE {OWN} || ' ' || {_NATION} || ' ' || {OWN} END"
     nodes = _customers(spark, d, "c_custkey", f"{text} AS content", "c_custkey AS ord")
-    return X.address_refs(nodes, X.extract_addresses(nodes, "c_custkey"), "c_custkey").select("c_custkey", *_joined("address_refs"))
+    return X.address_refs(nodes, M.extract_addresses(nodes, "c_custkey"), "c_custkey").select("c_custkey", *_joined("address_refs"))
 
 
 _HASH = "('0x' || md5(c_name) || md5(c_name || 'y'))"

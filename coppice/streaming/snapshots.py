@@ -13,6 +13,8 @@ from coppice.sources import scratch
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Added to a snapshot's number for its event time, as rows at the epoch itself would be late.
+EPOCH = 10**9
 ARRIVALS = "id {kind}, seq long, content_hash string, title string"
 CHANGES = "id {kind}, seq long, change string, n long"
 
@@ -24,7 +26,7 @@ def _text(value: object) -> str | None:
 class _Changes(StatefulProcessor):
     """A node's last snapshot, hash and title, and its number of changes; a timer for the snapshot that it may be missing from.
 
-    A snapshot's number is its event time in seconds.
+    A snapshot's number is its event time, in seconds from a fixed one.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -57,7 +59,7 @@ class _Changes(StatefulProcessor):
             self.last.update(now)
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer((now[0] + 1) * 1000 - 1)
+            self.handle.registerTimer((now[0] + 1 + EPOCH) * 1000 - 1)
         yield from self._told(key, changes)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -78,7 +80,7 @@ def changes(arrivals: DataFrame) -> DataFrame:
     row that comes again changes nothing. Numbers follow each other; a node that the following number lacks is removed.
     """
     kind = arrivals.schema["id"].dataType.simpleString()
-    rows = arrivals.select("id", F.col("seq").cast("long").alias("seq"), "content_hash", "title", F.timestamp_seconds("seq").alias("_at")).withWatermark("_at", "0 seconds")
+    rows = arrivals.select("id", F.col("seq").cast("long").alias("seq"), "content_hash", "title", F.timestamp_seconds(F.col("seq") + EPOCH).alias("_at")).withWatermark("_at", "0 seconds")
     return rows.groupBy("id").transformWithStateInPandas(statefulProcessor=_Changes(), outputStructType=CHANGES.format(kind=kind), outputMode="Append", timeMode="EventTime")
 
 

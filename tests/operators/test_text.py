@@ -1,9 +1,11 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from coppice.operators import extraction as X
+from coppice.operators import mentions as M
 from coppice.operators import search as S
 from coppice.operators import search_index as I
 from coppice.operators import vectors as V
@@ -19,13 +21,13 @@ def nodes(spark, *texts):
 
 def test_chains(spark):
     texts = [f"the address on Base is {A}", f"on base and ethereum: {A}", f"plain {A}", "arbitrum " + "x" * 150 + f" polygon {A}", "gnosis " + "x" * 150 + f" {A}", f"ébase {A}"]
-    got = {r.id: r.chain for r in X.extract_addresses(nodes(spark, *texts)).collect()}
+    got = {r.id: r.chain for r in M.extract_addresses(nodes(spark, *texts)).collect()}
     assert got == {"n0": "base", "n1": "ethereum", "n2": "ethereum", "n3": "polygon", "n4": "gnosis", "n5": "base"}
 
 
 def test_matches(spark):
     text = f"{A} {A.lower()} {SOL} 0x{'a' * 64} é{SOL[:43]}"
-    rows = X.extract_addresses(nodes(spark, text)).orderBy("pos").collect()
+    rows = M.extract_addresses(nodes(spark, text)).orderBy("pos").collect()
     assert [(r.address, r.pos, r.chain) for r in rows] == [(A.lower(), 0, "ethereum"), (SOL, 86, "solana"), (SOL[:43], text.rindex(SOL[:43]), "solana")]
     assert rows[0].explorer_url == "https://etherscan.io/address/" + A.lower()
 
@@ -38,7 +40,7 @@ def test_roles_labels_tokens(spark):
         f"| Address | X |\n| - | - |\n| {A} | 12.5 |",
         f"This at address {A}",
     ]
-    got = {r.id: r for r in X.extract_addresses(nodes(spark, *texts)).collect()}
+    got = {r.id: r for r in M.extract_addresses(nodes(spark, *texts)).collect()}
     assert got["n0"].label == "Grove Foundation" and got["n0"].tokens == ["USDS", "sUSDS"]
     assert got["n0"].roles == ["grove", "multisig", "subproxy", "foundation"]
     assert got["n1"].roles == ["external", "proxy"] and got["n1"].label == "Some Party"
@@ -180,3 +182,44 @@ def test_vectors(spark):
     for k in (0, 51):
         with pytest.raises(ValueError):
             V.search(table, table, [1.0, 0.0], k)
+
+
+def by_columns(nodes, key="id", text="content", order="ord"):
+    """Addresses by the column expressions, a text beside each of its addresses."""
+    found = X.occurrences(nodes, key, text, X.EVM, "evm").unionByName(X.occurrences(nodes, key, text, X.BASE58, "base58"))
+    rows = X.first_by_key(found, key).join(nodes.select(key, F.col(text).alias("_t"), order), key)
+    t, pos, size = F.col("_t"), F.col("pos"), F.length("found")
+    rows = rows.withColumn("_table", X.table_context(t, pos)).withColumn("_note", X.annotation_text(t, pos, size, F.col("_table")))
+    chain = F.when(F.col("kind") == "base58", "solana").otherwise(X.chain_of(t, pos))
+    rows = rows.select(key, order, "address", "pos", chain.alias("chain"), X.roles_of(F.col("_note")).alias("roles"), X.label_of(t, pos, F.col("_table")).alias("label"), X.tokens_of(F.col("_note")).alias("tokens"))
+    return rows.withColumn("explorer_url", X.explorer_url(F.col("chain"), F.col("address")))
+
+
+def test_one_pass_finds_what_the_columns_say(spark):
+    rng = random.Random(12)
+    words = ["Sky Foundation", "aligned\u00a0delegate", "sub-proxy", "subproxy", "Proxy", "multi-sig", "Spark", "SparkLend", "uniswap", "Chainlink", "on Base", "arb", "OP Mainnet", "gnosis safe", "USDS", "sUSDS,", "stUSDS", "The Treasury address is", "address of the Grove\r\nOne is", "Owner: Some Name", "**Bold Name**:", "address on the Arbitrum One is", "é", "\U0001f600", "price-feed", "staking  rewards", "reserves", "MATIC", "at address", "It at address", "\n", "\n\n"]
+    cells = ["", "a", "Name", "**The Vault**", "12.5%", "[Link](x)", "`code`", "Purpose", "Recipient one", A]
+    address = lambda: rng.choice([A, B, SOL, "0x" + "".join(rng.choice("0123456789abcdefABCDEF") for _ in range(40)), "0x" + "1" * 41])
+    texts = []
+    for _ in range(250):
+        parts = []
+        for _ in range(rng.randrange(1, 9)):
+            if rng.random() < 0.3:
+                width = rng.randrange(1, 5)
+                row = lambda w=width: "|" + "|".join(rng.choice([f" {rng.choice(cells)} ", f" {address()} "]) for _ in range(w)) + "|" + "\r" * (rng.random() < 0.1)
+                parts.append("\n" + "\n".join([row(), "|" + "---|" * width, *(row() for _ in range(rng.randrange(4)))][rng.randrange(2) :]) + "\n")
+            parts.append(" ".join(rng.choice(words) for _ in range(rng.randrange(8))) + " " + address())
+        texts.append(" ".join(parts))
+    table = nodes(spark, *texts, "", "no address")
+    key = lambda df: sorted((r.id, r.ord, r.address, r.pos, r.chain, r.roles, r.label or "", r.tokens, r.explorer_url) for r in df.collect())
+    got, want = key(M.extract_addresses(table)), key(by_columns(table))
+    assert len(want) > 700 and len({r[4] for r in want}) > 4 and sum(bool(r[6]) for r in want) > 200
+    assert got == want
+
+
+def test_many_addresses_in_one_text(spark):
+    lines = "\n".join(f"| name {i} | 0x{i:040x} |" for i in range(8000))
+    table = nodes(spark, "| Name | Address |\n|---|---|\n" + lines)
+    rows = {r.address: r.label for r in M.extract_addresses(table).select("address", "label").collect()}
+    assert len(rows) == 8000 and rows[f"0x{77:040x}"] == "name 77"
+    assert X.occurrences(table, "id", "content", X.EVM, "evm").select(F.sum("pos")).first()[0] == sum(m.start() for m in re.finditer("0x", "| Name | Address |\n|---|---|\n" + lines))
