@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 ABI = "array<struct<type: string, name: string, stateMutability: string, inputs: array<struct<name: string, type: string>>>>"
@@ -46,19 +50,74 @@ def state_nested(state: DataFrame) -> DataFrame:
     return state.groupBy("address").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("fn", "value")))).alias("values"))
 
 
-def serialise(value: Column) -> Column:
-    """Nested values as JSON; numbers keep all digits as text."""
-    return F.to_json(value)
+def serialise(value: Column, kind: T.DataType | None = None) -> Column:
+    """Nested values as JSON. ``kind``: the column's type; of it, longs and decimals keep all digits as text."""
+    return F.to_json(value if kind is None else _digits_as_text(value, kind))
+
+
+def _digits_as_text(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.LongType | T.DecimalType):
+        return value.cast("string")
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _digits_as_text(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: _digits_as_text(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(_digits_as_text(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    return value
 
 
 def shown(state: DataFrame) -> DataFrame:
     return state.where(F.col("value").isNotNull() & ~F.col("value").isin(ZERO, "") & ~F.col("fn").isin(*SKIPPED))
 
 
-def format_value(json: Column) -> Column:
-    """A result for display: dash for null, bare strings, arrays joined by commas, anything else as it is."""
-    items = F.from_json(json, "array<string>")
-    return F.when(json.isNull() | (json == "null"), "—").when(json.startswith("["), F.array_join(items, ", ", "—")).when(json.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), json, F.lit("}")), "$.v")).otherwise(json)
+class _Number(float):
+    """A number of a JSON text that is written as it was read, whatever its digits."""
+
+    def __new__(cls, text: str) -> _Number:
+        made = super().__new__(cls, text)
+        made.text = text
+        return made
+
+    def __repr__(self) -> str:
+        return self.text
+
+
+def _as_json(value: object) -> str:
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_as_json(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_as_json, value)) + "]"
+    return value.text if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
+
+
+def display(value: object) -> str:
+    """A value of JSON as it is shown: dash for null, bare strings, members of arrays at any depth, objects as JSON."""
+    if value is None:
+        return "—"
+    if isinstance(value, list):
+        return ", ".join(map(display, value))
+    return value if isinstance(value, str) else _as_json(value)
+
+
+@F.pandas_udf(T.StringType())
+def _display(column: pd.Series) -> pd.Series:
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else display(json.loads(text, parse_int=_Number, parse_float=_Number))
+        except ValueError:
+            return text
+
+    return column.map(one)
+
+
+def format_value(value: Column) -> Column:
+    """A result, as JSON text, for display: dash for null, bare strings, arrays by their members, anything else as JSON.
+
+    Numbers keep their digits and objects the order of their keys, which a variant does not; so arrays, objects and
+    strings are read in Arrow batches, and all else stays JVM-side. A text that is no JSON is shown as it is.
+    """
+    return F.when(value.isNull() | (value == "null"), "—").when(value.rlike(r'^\s*["\[{]'), _display(value)).otherwise(value)
 
 
 def short_address(address: Column) -> Column:

@@ -182,6 +182,20 @@ def state_calls(spark, d):
     return C.calls(C.with_abi(C.readable(addresses), cache.withColumn("chain_id", F.lit(1))))
 
 
+_BIG = "115792089237316195423570985008687907853269984665640564039457584007913129639935"
+
+
+@query(f"""SELECT c_custkey, c_name || ', 1, a, —, ' || c_custkey || ', , true, {_BIG}, {{"b":[1,null,"x"],"a":{{"z":1.50}}}}' AS shown,
+ '{{"n":"' || c_custkey || '","a":["' || c_nationkey || '",null],"f":0.5,"s":"x"}}' AS stored FROM customer""")
+def state_nested_values(spark, d):
+    """Arrays in arrays by their members, objects with the order of their keys, numbers of 256 bits; and longs stored as text."""
+    rows = load(spark, d, "customer")
+    value = F.concat(F.lit('["'), "c_name", F.lit('", [1, ["a", null, ['), F.col("c_custkey").cast("string"), F.lit(f']]], [], true, {_BIG}, {{"b": [1, null, "x"], "a": {{"z": 1.50}}}}]'))
+    nested = F.struct(F.col("c_custkey").cast("long").alias("n"), F.array(F.col("c_nationkey").cast("long"), F.lit(None)).alias("a"), F.lit(0.5).alias("f"), F.lit("x").alias("s")).alias("v")
+    table = rows.select("c_custkey", value.alias("json"), nested)
+    return table.select("c_custkey", C.format_value(F.col("json")).alias("shown"), C.serialise(F.col("v"), table.schema["v"].dataType).alias("stored"))
+
+
 @query("""SELECT c_name AS address, CASE c_custkey % 7 WHEN 0 THEN '12' WHEN 1 THEN c_name || ', ' || c_mktsegment WHEN 2 THEN c_mktsegment WHEN 3 THEN '{"a":1}' END AS shown FROM customer WHERE c_custkey % 7 < 4""")
 def state_display(spark, d):
     """Results as shown: null, zero and empty ones and separators are left out; arrays are written with all members."""

@@ -433,6 +433,23 @@ def search_tool(spark, d):
     return Tools(nodes, rows.selectExpr("string(vec_id) AS id", "embedding"), lambda _: [3 * x for x in q]).search("what", 10, "label 3")
 
 
+@query(f"WITH {_NODE_SQL} SELECT n.id, round(n.s, 3) AS score, n.doc_no, n.title, n.type, p.doc_no AS parent_doc_no, p.title AS parent_title, substr(n.content, 1, 280) || '…' AS snippet FROM n LEFT JOIN n p ON p.id = n.parent_id ORDER BY n.s DESC, n.id LIMIT 8")
+def search_command(spark, d):
+    """The command line's search: eight hits, scores to three places, contents cut after 280 characters."""
+    rows = load(spark, d, "embeddings")
+    nodes = rows.selectExpr("string(vec_id) AS id", "'V.' || vec_id AS doc_no", "'vector ' || vec_id AS title", "'label ' || label AS type", "case when vec_id > 0 then string(vec_id div 2) end AS parent_id", "repeat('text ', 100) || vec_id AS content")
+    _, q = _probe(spark, d)
+    return V.command_search(rows.selectExpr("string(vec_id) AS id", "embedding"), nodes, V.unit(q))
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query, v.vec_id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query, vec_id, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
+def vec_topk_of_each(spark, d):
+    """The ten nearest of each vector whose number is divisible by 100, against all vectors, in one job."""
+    vectors = load(spark, d, "embeddings")
+    return V.top_k_of_each(vectors, vectors.where("vec_id % 100 = 0"), 10).select("query", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("SELECT count(*) FILTER (WHERE length(text) >= 5000) AS n FROM documents")
 def chunks_cut(spark, d):
     return V.truncated(_documents(spark, d).select(F.substring("text", 1, V.MOST_CHARS).alias("embed_text")))
