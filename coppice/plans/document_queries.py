@@ -388,22 +388,31 @@ def proposal_bullets(spark, d):
     return D.bullets(_customers(spark, d, "c_custkey AS number", "'Intro' || chr(10) || '- **' || c_name || '** — takes ' || c_mktsegment || chr(10) || '- plain' || chr(10) || '* **Second** - x - y ' AS body"), "number", "body")
 
 
-@query("""SELECT c_custkey AS id, 1 AS seq, '2024-05-06' AS date, substr(md5('h'), 1, 7) AS commit_hash, CASE c_custkey % 3 WHEN 0 THEN 'modified' WHEN 1 THEN 'added' ELSE 'removed' END AS change, 7 AS pr, 'Rise' AS pr_title, CASE c_custkey % 3 WHEN 0 THEN c_name ELSE NULL END AS summary,
- CASE c_custkey % 3 WHEN 0 THEN 'word ' || c_custkey ELSE NULL END AS description, CASE c_custkey % 3 WHEN 0 THEN '~=[limit ]-[1]+[2]' WHEN 1 THEN '+limit 2' ELSE '-limit 1' END AS diff FROM customer WHERE c_custkey BETWEEN 1 AND 30""")
+@query("""SELECT c_custkey AS id, (c_custkey // 100 + 1)::INT AS seq, '2024-05-06' AS date, substr(md5('h' || (c_custkey // 100 + 1)), 1, 7) AS commit_hash, CASE c_custkey % 3 WHEN 0 THEN 'modified' WHEN 1 THEN 'added' ELSE 'removed' END AS change, (c_custkey // 100 + 1)::INT AS pr, 'Rise' AS pr_title,
+ CASE c_custkey % 3 WHEN 0 THEN c_name ELSE NULL END AS summary, CASE c_custkey % 3 WHEN 0 THEN 'word ' || c_custkey ELSE NULL END AS description, CASE c_custkey % 3 WHEN 0 THEN '~=[limit ]-[1]+[2]' WHEN 1 THEN '+limit 2' ELSE '-limit 1' END AS diff FROM customer""")
 def history_entries(spark, d):
-    """Entries of one commit with its proposal: bullets named after the changed documents, others without a match."""
+    """Entries of a commit for each hundred customers, each with its proposal: bullets named after the changed documents, others without a match."""
     k = F.col("c_custkey") % 3
-    c = load(spark, d, "customer").where("c_custkey between 1 and 30")
-    title = F.when(k == 0, F.col("c_name")).otherwise("zzz qqq")
-    nodes = c.where(k != 1).select(F.col("c_custkey").alias("id"), F.lit(0).alias("seq"), title.alias("title"), F.lit("limit 1").alias("content")).unionByName(c.where(k != 2).select(F.col("c_custkey").alias("id"), F.lit(1).alias("seq"), title.alias("title"), F.lit("limit 2").alias("content")))
-    changes = c.select(F.col("c_custkey").alias("id"), F.lit(1).alias("seq"), F.when(k == 0, "modified").when(k == 1, "added").otherwise("removed").alias("change"))
-    commits = spark.range(1).selectExpr("1 AS seq", "md5('h') AS hash", "'2024-05-06T01:02:03Z' AS ts", "'Rise (#7)' AS message")
+    c = load(spark, d, "customer").withColumn("seq", (F.expr("c_custkey div 100") + 1).cast("int"))
+    title = F.when(k == 0, F.col("c_name")).otherwise("zzz qqq").alias("title")
+    old = c.where(k != 1).select(F.col("c_custkey").alias("id"), (F.col("seq") - 1).alias("seq"), title, F.lit("limit 1").alias("content"))
+    nodes = old.unionByName(c.where(k != 2).select(F.col("c_custkey").alias("id"), "seq", title, F.lit("limit 2").alias("content")))
+    changes = c.select(F.col("c_custkey").alias("id"), "seq", F.when(k == 0, "modified").when(k == 1, "added").otherwise("removed").alias("change"))
+    commits = c.select("seq").distinct().selectExpr("seq", "md5('h' || seq) AS hash", "'2024-05-06T01:02:03Z' AS ts", "'Rise (#' || seq || ')' AS message")
     bullet = F.concat(F.lit("- **"), "c_name", F.lit("** — word "), F.col("c_custkey").cast("string"))
-    body = c.where(k == 0).agg(F.array_join(F.array_sort(F.collect_list(bullet)), "\n").alias("body"))  # thirty customers at most
-    prs = body.select(F.lit(7).alias("number"), F.lit("Rise").alias("title"), F.lit("me").alias("author"), F.lit("u").alias("url"), "body", *(F.lit(n).alias(x) for n, x in ((1, "review_count"), (0, "approval_count"), (2, "comment_count"))))
+    body = c.where(k == 0).groupBy("seq").agg(F.array_join(F.array_sort(F.collect_list(bullet)), "\n").alias("body"))  # a hundred customers
+    prs = body.select(F.col("seq").alias("number"), F.lit("Rise").alias("title"), F.lit("me").alias("author"), F.lit("u").alias("url"), "body", *(F.lit(n).alias(x) for n, x in ((1, "review_count"), (0, "approval_count"), (2, "comment_count"))))
     return D.entries(changes, commits, prs, nodes).select("id", "seq", "date", "commit_hash", "change", "pr", "pr_title", "summary", "description", _flat(F.col("diff")).alias("diff"))
 
 
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'a' || chr(10) || '```' || chr(10) || c_name || chr(10) || 'y' || chr(10) || '```' WHEN 1 THEN '`' || c_name || '`' || chr(10) || 'b'
+ WHEN 2 THEN '```' || chr(10) || 'open ' || c_name || chr(10) || '```' WHEN 3 THEN c_name || ' `x` z' ELSE c_name END AS content FROM customer""")
+def fenced_contents(spark, d):
+    """Blocks that a lone backtick opens become fences, closed or not; code within a line, and all else, stays."""
+    shapes = "CASE c_custkey % 5 WHEN 0 THEN 'a' || chr(10) || '`' || c_name || chr(10) || 'y`' WHEN 1 THEN '`' || c_name || '`' || chr(10) || 'b' WHEN 2 THEN '`open ' || c_name WHEN 3 THEN '  ' || c_name || ' `x` z' || chr(10) ELSE c_name || chr(10) || chr(10) END AS content"
+    return P.clean_content(_customers(spark, d, "c_custkey", shapes))
+
+
 @query("""SELECT 'c' || c_custkey AS id, md5(c_name) AS commit_hash FROM customer WHERE c_custkey <= 20 OR c_custkey > 60""")
 def history_upsert(spark, d):
     """Commits after a checkpoint, some of them stored already, merged by key: nothing goes in twice."""

@@ -179,9 +179,7 @@ def short_addresses(spark, d):
     return load(spark, d, "customer").select("c_custkey", C.short_address(F.col("c_name")).alias("short"))
 
 
+@query("""SELECT to_json({'content': [{'type': 'text', 'text': to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey})::VARCHAR}]})::VARCHAR AS text FROM customer""")
 def tool_results(spark, d):
-    """Regions as items of the tool protocol."""
-    return sinks.tool_result(load(spark, d, "region"))
-
-
-QUERIES["tool_results"] = (tool_results, None)
+    """Customers as items of the tool protocol."""
+    return sinks.tool_result(load(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"))

@@ -112,9 +112,9 @@ def natural_sort_docno(spark, d):
     return _nodes(spark, d).select("doc_no", F.array_join(natural_key(F.col("doc_no")), ".").alias("key"))
 
 
-@query(f"WITH {views.OUTLINE_SQL} SELECT id, CASE WHEN length(title) > 9 THEN substr(title, 1, 8) || '…' ELSE title END AS short FROM outline WHERE title NOT LIKE '% %'")
+@query(f"WITH {views.OUTLINE_SQL} SELECT id, CASE WHEN length(title) > 9 THEN substr(title, 1, 8) || '…' ELSE title END AS short FROM outline")
 def short_titles(spark, d):
-    return _nodes(spark, d).where(~F.col("title").contains(" ")).select("id", H.shorten_title(F.col("title"), 9).alias("short"))
+    return _nodes(spark, d).select("id", H.shorten_title(F.col("title"), 9).alias("short"))
 
 
 

@@ -273,12 +273,12 @@ def extract_links(spark, d):
     return X.links(load(spark, d, "pages"), "page_id", "html", r'href="([^"]+)"')
 
 
-@query("""WITH a AS (SELECT 'c' || c_custkey AS address, CASE WHEN c_mktsegment = 'BUILDING' THEN c_name END AS registry, n_name AS own, r_name AS verified FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal >= 0)
+@query("""WITH a AS (SELECT 'c' || c_custkey AS address, CASE WHEN c_mktsegment = 'BUILDING' THEN c_name END AS registry, n_name AS own, r_name AS verified FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
 SELECT address, coalesce(registry, own, verified) AS label, array_to_string(list_sort(list_filter(list_distinct([registry, own, verified]), lambda x: x IS NOT NULL AND x <> coalesce(registry, own, verified))), ',') AS aliases FROM a""")
 def enrich_label_priority(spark, d):
     """Customers as addresses: a registry of those in building, the nation as their own label, the region as verified name."""
     c, n, r = (load(spark, d, t) for t in ("customer", "nation", "region"))
-    rows = c.where("c_acctbal >= 0").join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     address = F.concat(F.lit("0x"), F.col("c_custkey").cast("string"))
     empty = F.array().cast("array<string>")
     addresses = rows.select(address.alias("address"), F.lit("ethereum").alias("chain"), F.lit("").alias("explorer_url"), F.col("n_name").alias("label"), empty.alias("roles"), empty.alias("aliases"), empty.alias("tokens"))
