@@ -10,9 +10,9 @@ FLAGSHIP = "bm25_search"
 
 
 def _modules() -> list:
-    from coppice.plans import document_queries, relational_queries, structure_queries, text_queries
+    from coppice.plans import artifact_queries, document_queries, relational_queries, structure_queries, text_queries
 
-    return [text_queries, structure_queries, relational_queries, document_queries]
+    return [text_queries, structure_queries, relational_queries, document_queries, artifact_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

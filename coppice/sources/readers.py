@@ -112,9 +112,9 @@ def or_empty(read, schema: str, spark: SparkSession) -> DataFrame:
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
-    """``name, address, ord`` of a registry file (name to address); addresses in lower case, others dropped."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.map_entries(F.from_json("value", "map<string, string>"))).alias("ord", "e"))
-    return rows.where(F.col("e.value").startswith("0x")).select(F.col("e.key").alias("name"), F.lower("e.value").alias("address"), "ord")
+    """``name, address, ord`` of registry files (name to address); addresses in lower case, others dropped."""
+    rows = json_entries(spark, path).select("ord", F.explode(F.from_json(F.concat(F.lit("{"), "entry", F.lit("}")), "map<string, string>")).alias("name", "address"))
+    return rows.where(F.col("address").startswith("0x")).select("name", F.lower("address").alias("address"), "ord")
 
 
 def lookup_entry(chain_id: Column, address: Column, response: Column) -> list[Column]:
