@@ -199,9 +199,19 @@ def best_bullets(nodes: DataFrame, found: DataFrame, on: str, node: str = "id",
     words = lambda c: F.explode(title_tokens(c)).alias("_w")
     title = found.select(on, "pos", words(F.col("title")), F.lit(1).alias("_in_title"), F.lit(0).alias("_in_text"))
     text = found.select(on, "pos", words(F.coalesce("description", F.lit(""))), F.lit(0).alias("_in_title"), F.lit(1).alias("_in_text"))
-    hits = n.join(title.unionByName(text), [on, "_w"]).groupBy(on, node, "pos").agg(F.sum("_in_title").alias("_t"), F.sum("_in_text").alias("_d"), F.first("_n").alias("_n"))
+    key = [on, node, "pos"]
     if threshold > 0.2:
-        hits = hits.where("_t > 0")
+        # The description adds 0.2 at most, so few pairs need it; their words are looked up in that one description.
+        # A title of m words shares m words at most: long node titles meet no bullet, others only those long enough.
+        size = F.size(title_tokens(F.col("title")))
+        longest = found.groupBy(on).agg(F.max(size).alias("_most"))
+        likely = n.join(longest, on).where(F.col("_most") / F.col("_n") + 0.2 >= threshold).drop("_most")
+        sized = found.select(on, "pos", words(F.col("title")), size.alias("_m"), F.lit(1).alias("_in_title"))
+        named = likely.join(sized, [on, "_w"]).where(F.col("_m") / F.col("_n") + 0.2 >= threshold).groupBy(*key).agg(F.sum("_in_title").alias("_t"), F.first("_n").alias("_n")).where(F.col("_t") / F.col("_n") + 0.2 >= threshold)
+        told = named.select(*key).join(n, [on, node]).join(text.select(on, "pos", "_w"), [on, "pos", "_w"]).groupBy(*key).agg(F.count("*").alias("_d"))
+        hits = named.join(told, key, "left").withColumn("_d", F.coalesce("_d", F.lit(0)))
+    else:
+        hits = n.join(title.unionByName(text), [on, "_w"]).groupBy(*key).agg(F.sum("_in_title").alias("_t"), F.sum("_in_text").alias("_d"), F.first("_n").alias("_n"))
     scored = hits.withColumn("score", F.col("_t") / F.col("_n") + F.least(F.col("_d") / F.col("_n") * 0.4, F.lit(0.2))).where(F.col("score") >= threshold)
     best = scored.groupBy(on, node).agg(F.max(F.struct("score", (-F.col("pos")).alias("p"))).alias("_b")).select(on, node, (-F.col("_b.p")).alias("pos"), F.col("_b.score").alias("score"))
     return best.join(found.select(on, "pos", F.col("title").alias("summary"), "description"), [on, "pos"]).select(on, node, "pos", "summary", "description", "score")

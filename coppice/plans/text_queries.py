@@ -293,7 +293,8 @@ def enrich_label_priority(spark, d):
 
 def _probe(spark, d):
     vectors = load(spark, d, "embeddings")
-    return vectors, [float(x) for x in vectors.where("vec_id = 0").select("embedding").first()[0]]
+    found = vectors.where("vec_id = 0").select("embedding").first()
+    return vectors, [float(x) for x in found[0]] if found else []
 
 
 _DOT = "list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
