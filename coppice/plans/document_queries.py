@@ -67,6 +67,26 @@ def addresses_in_text(spark, d):
     return M.extract_addresses(nodes, "c_custkey").select("c_custkey", "address", "pos", "chain", "explorer_url", "label", *_joined("roles", "tokens"))
 
 
+_PHRASES = f"""CASE c_custkey % 8
+ WHEN 0 THEN 'mainnet entry: address on the Arbitrum One is '
+ WHEN 1 THEN 'from the Team ' || c_mktsegment || chr(39) || 's address is '
+ WHEN 2 THEN 'reward address for the Pool ' || c_custkey || ' is '
+ WHEN 3 THEN 'on avax, Keeper ' || c_mktsegment || ' at address '
+ WHEN 4 THEN 'Operator - Omega ' || c_mktsegment || ' '
+ WHEN 5 THEN 'with **Gamma ' || c_mktsegment || '**: '
+ WHEN 6 THEN 'aave and chainlink with Spark feed '
+ ELSE 'uniswap pool of sUSDS, USDS and sUSDS ' END || {OWN} || CASE c_custkey % 8 WHEN 4 THEN ' for SPK' ELSE '.' END"""
+
+
+@query(f"""SELECT c_custkey, {OWN} AS address, (instr({_PHRASES}, '0x') - 1)::INT AS pos, CASE c_custkey % 8 WHEN 0 THEN 'arbitrum' WHEN 3 THEN 'avalanche' ELSE 'ethereum' END AS chain,
+ CASE c_custkey % 8 WHEN 1 THEN 'Team ' || c_mktsegment WHEN 2 THEN 'Pool ' || c_custkey WHEN 3 THEN 'Keeper ' || c_mktsegment WHEN 4 THEN 'Omega ' || c_mktsegment WHEN 5 THEN 'Gamma ' || c_mktsegment END AS label,
+ CASE c_custkey % 8 WHEN 6 THEN 'spark' WHEN 7 THEN 'external' ELSE '' END AS roles, CASE c_custkey % 8 WHEN 4 THEN 'SPK' WHEN 7 THEN 'sUSDS,USDS' ELSE '' END AS tokens FROM customer""")
+def address_phrases(spark, d):
+    """The explicit chain phrase against nearer names, the other ways of naming in prose, and outside tags beside aligned ones."""
+    nodes = _customers(spark, d, "c_custkey", f"{_PHRASES} AS content", "c_custkey AS ord")
+    return M.extract_addresses(nodes, "c_custkey").select("c_custkey", "address", "pos", "chain", "label", *_joined("roles", "tokens"))
+
+
 _NATION = ADDRESS("'n' || c_nationkey")
 _SHARED = f"""CASE c_custkey % 3 WHEN 0 THEN 'On Gnosis. ' WHEN 1 THEN 'On Base. ' ELSE '' END || 'The address of the ' || CASE c_custkey % 2 WHEN 0 THEN 'Spark ' || c_mktsegment || ' Desk' ELSE 'Multisig' END || ' is ' || {_NATION}"""
 _MENTIONS_SQL = f"""m AS (SELECT c_custkey, c_nationkey, {_NATION} AS address, CASE c_custkey % 3 WHEN 0 THEN 'gnosis' WHEN 1 THEN 'base' END AS chain,
