@@ -209,7 +209,7 @@ def shorten_title(title: Column, most: int, ratio: float = 0.5, abbreviations: d
     return F.when(F.length(short) > most, F.concat(F.substring(short, 1, most - 1), F.lit("…"))).otherwise(short)
 
 
-def fit_breadcrumbs(titles: Column, width: int, separator: str = " / ") -> Column:
+def fit_breadcrumbs(titles: Column, width: int | Column, separator: str = " / ") -> Column:
     """Titles shortened by tiers of how many there are; beyond six by the first step that fits ``width`` characters."""
     short = lambda most, ratio: F.transform(titles, lambda t: shorten_title(t, most, ratio))
     out = F.when(F.size(titles) <= 2, titles).when(F.size(titles) <= 4, short(48, 0.33)).when(F.size(titles) <= 6, short(36, 0.66))

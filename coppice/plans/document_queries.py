@@ -362,6 +362,21 @@ def breadcrumbs(spark, d):
     return n.select("n_nationkey", crumbs(F.col("n_name"), F.lit("x")).alias("two"), crumbs(long, F.lit("b"), F.col("n_name")).alias("three"))
 
 
+_WIDTHS = (220, 180, 150, 90, 75, 60)
+_CRUMB = lambda s, m: f"(CASE WHEN length({s}) > {m} THEN substr({s}, 1, {m - 1}) || '…' ELSE {s} END)"
+_SEVEN = lambda m: f"array_to_string([{_CRUMB('s2', m)} FOR x IN range(7)], ' > ')"
+
+
+@query(f"""WITH n AS (SELECT n_nationkey, 'Gov. Parameters ' || n_name || ' Alpha Beta' AS s1, 'Gov. Params. ' || n_name || ' Alpha Beta' AS s2 FROM nation), w AS (SELECT unnest([{', '.join(map(str, _WIDTHS))}]) AS width)
+SELECT n_nationkey, width::INT AS width, array_to_string([{_CRUMB('s1', 48)} FOR x IN range(4)], ' > ') AS four, array_to_string([{_CRUMB('s2', 36)} FOR x IN range(6)], ' > ') AS six,
+ CASE {' '.join(f'WHEN length({_SEVEN(m)}) <= width THEN {_SEVEN(m)}' for m in (26, 22, 16, 10, 8))} ELSE {_SEVEN(6)} END AS seven FROM n, w""")
+def breadcrumb_tiers(spark, d):
+    """Four, six and seven titles, and seven at widths that each of the steps fits first."""
+    rows = load(spark, d, "nation").select("n_nationkey", F.concat(F.lit("Governance Parameters of the "), "n_name", F.lit(" Alpha Beta")).alias("title"), F.explode(F.array(*map(F.lit, _WIDTHS))).alias("width"))
+    crumbs = lambda n: F.array_join(H.fit_breadcrumbs(F.array_repeat("title", n), F.col("width")), " > ")
+    return rows.select("n_nationkey", "width", crumbs(4).alias("four"), crumbs(6).alias("six"), crumbs(7).alias("seven"))
+
+
 @query(f"WITH {views.OUTLINE_SQL} SELECT id FROM outline WHERE id IN ('r0', 'n5') OR id = (SELECT up FROM outline WHERE id = 'n5')")
 def deep_expanded_ids(spark, d):
     """The way to a node that lies as deep as children stay hidden: its parents from there on."""
