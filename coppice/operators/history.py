@@ -190,31 +190,31 @@ def match_score(bullet: Column, node: Column, description: Column) -> Column:
 def best_bullets(nodes: DataFrame, found: DataFrame, on: str, node: str = "id", threshold: float = THRESHOLD) -> DataFrame:
     """``on, node, pos, summary, description, score``: each changed node's best bullet of its own change.
 
-    nodes: ``on, node, title``. The first of equal bullets wins. Scores are those of ``match_score``, from counts:
-    words are joined, never all pairs, and no text goes through the shuffle. Only words of bullets' titles make
-    candidates, as words of the description alone stay below any threshold of 0.2 and more.
+    nodes: ``on, node, title``. The first of equal bullets wins; scores are those of ``match_score``. Titles with the
+    same words are one row, and so are bullets with the same words. A description adds 0.2 at most, so a node's title
+    shares at least ``_least`` words with its bullet's title: of its words, rarest among the bullets first, the last
+    ``_least - 1`` need no look-up. A pair is looked at once, at its rarest shared word. With a threshold of up to 0.2
+    words of the description alone make candidates too. Titles or bullets without words match nothing.
     """
-    own = title_tokens(F.col("title"))
-    n = nodes.select(on, node, F.explode(F.transform(own, lambda w: F.struct(w.alias("w"), F.size(own).alias("n")))).alias("_t")).select(on, node, F.col("_t.w").alias("_w"), F.col("_t.n").alias("_n"))
-    words = lambda c: F.explode(title_tokens(c)).alias("_w")
-    title = found.select(on, "pos", words(F.col("title")), F.lit(1).alias("_in_title"), F.lit(0).alias("_in_text"))
-    text = found.select(on, "pos", words(F.coalesce("description", F.lit(""))), F.lit(0).alias("_in_title"), F.lit(1).alias("_in_text"))
-    key = [on, node, "pos"]
-    if threshold > 0.2:
-        # The description adds 0.2 at most, so few pairs need it; their words are looked up in that one description.
-        # A title of m words shares m words at most: long node titles meet no bullet, others only those long enough.
-        size = F.size(title_tokens(F.col("title")))
-        longest = found.groupBy(on).agg(F.max(size).alias("_most"))
-        likely = n.join(longest, on).where(F.col("_most") / F.col("_n") + 0.2 >= threshold).drop("_most")
-        sized = found.select(on, "pos", words(F.col("title")), size.alias("_m"), F.lit(1).alias("_in_title"))
-        named = likely.join(sized, [on, "_w"]).where(F.col("_m") / F.col("_n") + 0.2 >= threshold).groupBy(*key).agg(F.sum("_in_title").alias("_t"), F.first("_n").alias("_n")).where(F.col("_t") / F.col("_n") + 0.2 >= threshold)
-        told = named.select(*key).join(n, [on, node]).join(text.select(on, "pos", "_w"), [on, "pos", "_w"]).groupBy(*key).agg(F.count("*").alias("_d"))
-        hits = named.join(told, key, "left").withColumn("_d", F.coalesce("_d", F.lit(0)))
-    else:
-        hits = n.join(title.unionByName(text), [on, "_w"]).groupBy(*key).agg(F.sum("_in_title").alias("_t"), F.sum("_in_text").alias("_d"), F.first("_n").alias("_n"))
-    scored = hits.withColumn("score", F.col("_t") / F.col("_n") + F.least(F.col("_d") / F.col("_n") * 0.4, F.lit(0.2))).where(F.col("score") >= threshold)
-    best = scored.groupBy(on, node).agg(F.max(F.struct("score", (-F.col("pos")).alias("p"))).alias("_b")).select(on, node, (-F.col("_b.p")).alias("pos"), F.col("_b.score").alias("score"))
-    return best.join(found.select(on, "pos", F.col("title").alias("summary"), "description"), [on, "pos"]).select(on, node, "pos", "summary", "description", "score")
+    tokens = lambda c: F.array_sort(title_tokens(F.coalesce(c, F.lit(""))))
+    own = nodes.select(on, node, tokens("title").alias("_own"))
+    told = found.select(on, "pos", tokens("title").alias("_title"), tokens("description").alias("_text")).groupBy(on, "_title", "_text").agg(F.min("pos").alias("pos"))
+    keys = "_title"
+    if threshold <= 0.2:
+        told, keys = told.where(F.size("_title") > 0).withColumn("_keys", F.array_union("_title", "_text")), "_keys"
+    n = F.size("_own")
+    least = F.greatest(F.lit(1), F.ceil((F.lit(threshold) - 0.2) * n - 1e-9)).cast("int")
+    seen = told.select(on, F.explode(keys).alias("_w")).groupBy(on, "_w").agg(F.count("*").alias("_df"))
+    words = own.select(on, "_own").distinct().select(on, "_own", F.explode("_own").alias("_w")).join(seen, [on, "_w"], "left")
+    rare = words.groupBy(on, "_own").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_w").alias("w")))).alias("_r"))  # a title's words
+    rare = rare.withColumn("_least", least).select(on, "_own", "_least", F.filter(F.slice("_r", F.lit(1), n - F.col("_least") + 1), lambda r: r.df > 0).w.alias("_first"))
+    sides = rare.withColumn("_w", F.explode("_first")).join(told.select(on, "pos", *{"_title": 0, keys: 0}, F.explode(keys).alias("_w")), [on, "_w"])
+    once = sides.where((F.size(keys) >= F.col("_least")) & (F.array_intersect("_first", keys)[0] == F.col("_w")))
+    pairs = once.select(on, "_own", "pos", F.size(F.array_intersect("_own", "_title")).alias("_t")).where(F.col("_t") / n + 0.2 >= threshold)
+    bonus = F.least(F.size(F.array_intersect("_own", "_text")) / n * 0.4, F.lit(0.2))
+    scored = pairs.join(told.select(on, "pos", "_text"), [on, "pos"]).select(on, "_own", "pos", (F.col("_t") / n + bonus).alias("score")).where(F.col("score") >= threshold)
+    best = scored.groupBy(on, "_own").agg(F.max(F.struct("score", (-F.col("pos")).alias("p"))).alias("_b")).select(on, "_own", (-F.col("_b.p")).alias("pos"), F.col("_b.score").alias("score"))
+    return own.join(best, [on, "_own"]).join(found.select(on, "pos", F.col("title").alias("summary"), "description"), [on, "pos"]).select(on, node, "pos", "summary", "description", "score")
 
 
 def entries(changes: DataFrame, commits: DataFrame, prs: DataFrame, nodes: DataFrame) -> DataFrame:

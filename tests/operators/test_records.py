@@ -43,6 +43,27 @@ def test_scores_and_bullets(spark):
     assert [r[0] for r in messages.select(D.pr_number(F.col("m"))).collect()] == [186, None]
 
 
+def test_best_bullets_by_brute_force(spark):
+    """Common and rare words, words of the description alone, repeated titles and bullets, ties, nulls and empty titles."""
+    rng = random.Random(5)
+    words = ["common", "usual", *(f"w{i}" for i in range(12))]
+    text = lambda most: " ".join(rng.choice(words[: rng.choice((3, 14))]) for _ in range(rng.randrange(most)))
+    nodes = [(rng.choice((1, 2, None)), i, rng.choice((text(14), "The Of", None, "Common usual"))) for i in range(60)]
+    bullets = [(rng.choice((1, 2)), i, text(6), rng.choice((text(9), None))) for i in range(40)]
+    bullets += [(c, i + 100, t, d) for c, i, t, d in bullets[:10]]
+    n = spark.createDataFrame(nodes, "change int, id int, title string")
+    b = spark.createDataFrame(bullets, "change int, pos int, title string, description string")
+    paired = n.withColumnRenamed("title", "node_title").join(b, "change").select("id", "pos", D.match_score(F.col("title"), F.col("node_title"), F.col("description")).alias("s")).collect()
+    for threshold in (0.35, 0.5, 0.2, 0.05):
+        want: dict = {}
+        for r in paired:
+            if r.s is not None and r.s >= threshold and (r.id not in want or (-r.s, r.pos) < want[r.id]):
+                want[r.id] = (-r.s, r.pos)
+        got = D.best_bullets(n, b, "change", threshold=threshold).collect()
+        assert {(r.id, r.pos, r.score) for r in got} == {(i, pos, -s) for i, (s, pos) in want.items()} and len(got) == len(want) > 0
+    assert D.best_bullets(n, b.limit(0), "change").count() == 0 and D.best_bullets(n.limit(0), b, "change").count() == 0
+
+
 def test_history_entries(spark):
     nodes = spark.createDataFrame([("a", 0, "T one", "x"), ("a", 1, "T one", "y"), ("b", 1, "Emergency Response", "l1\nl2"), ("b", 2, "Emergency Response", "l1\nl2")], "id string, seq int, title string, content string")
     changes = D.snapshot_diff(D.with_hash(nodes))
