@@ -196,7 +196,7 @@ def best_bullets(nodes: DataFrame, found: DataFrame, on: str, node: str = "id",
     ``_least - 1`` need no look-up. A pair is looked at once, at its rarest shared word. With a threshold of up to 0.2
     words of the description alone make candidates too. Titles or bullets without words match nothing.
     """
-    tokens = lambda c: F.array_sort(title_tokens(F.coalesce(c, F.lit(""))))
+    tokens = lambda c: F.sort_array(title_tokens(F.coalesce(c, F.lit(""))))
     own = nodes.select(on, node, tokens("title").alias("_own"))
     told = found.select(on, "pos", tokens("title").alias("_title"), tokens("description").alias("_text")).groupBy(on, "_title", "_text").agg(F.min("pos").alias("pos"))
     keys = "_title"
