@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from coppice.functions.text import trim_all
+from coppice.sources.scratch import settled
 
 # Fixed value: the heading line.
 HEADING = r"^(#{1,6}) ([A-Za-z0-9_.-]+) - (.+?) \[([^\]]+)\]\s+<!-- UUID: ([0-9a-f-]{36}) -->$"
@@ -110,9 +111,12 @@ def profile(nodes: DataFrame) -> DataFrame:
 
 
 def batches_of(rows: DataFrame, order: str, size: int) -> DataFrame:
-    """Adds ``batch``: rows in order, ``size`` to a batch, numbered over sorted partitions without one global task."""
+    """Adds ``batch``: rows in order, ``size`` to a batch, numbered over sorted partitions without one global task.
+
+    The partitions are written once: counted and numbered in runs of their own, their bounds need not be the same.
+    """
     spark = rows.sparkSession
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    ranged = settled(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     counts = ranged.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("lo")).collect()  # one row to a partition
     before, table = 0, []
     for r in sorted(counts, key=lambda r: r["_p"]):

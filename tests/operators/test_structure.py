@@ -157,3 +157,14 @@ def test_lines_in_blocks_parse_like_texts(spark, size):
     rows = P.lines(table, "doc").withColumn("block", F.floor(F.col("n") / size))
     want = sorted(map(tuple, P.parse(table, "doc").collect()))
     assert len(want) > 100 and sorted(map(tuple, P.parse_lines(rows, "doc").collect())) == want
+
+
+def test_batches_of_a_table_of_several_partitions(spark):
+    at = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(at, "false")  # small partitions stay apart, as large ones do
+    try:
+        rows = spark.range(0, 60_000, 1, 2).select(((F.col("id") * 7_919) % 60_000).alias("k"))
+        wrong = P.batches_of(rows, "k", 500).where(F.col("batch") != F.floor(F.col("k") / 500))
+        assert wrong.count() == 0
+    finally:
+        spark.conf.unset(at)
