@@ -46,18 +46,27 @@ def prefixes_before(doc_no: Column, marker: str = ".0.6.") -> Column:
 
 
 def active_data(edges: DataFrame, entities: DataFrame, nodes: DataFrame, chains: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
-    """One row for each responsibility edge to a known controller, with its active-data documents in natural order."""
+    """One row for each responsibility edge to a known controller, with its active-data documents in natural order.
+
+    The result names a controller's documents once for each of its edges, so only narrow rows are joined and sorted.
+    The documents come last, from a broadcast table that names each once, and no wide row is shuffled or sorted.
+    """
     below = nodes.select("doc_no", F.explode(prefixes_before(F.col("doc_no"))).alias("_up")).where("_up is not null")
-    docs = below.groupBy("_up").agg(F.array_sort(F.collect_list(F.struct(natural_key(F.col("doc_no")).alias("k"), "doc_no"))).alias("_d"))
-    docs = docs.select("_up", F.transform("_d", lambda d: d["doc_no"]).alias("active_docs"))
     who = entities.select(F.col("id").alias("entity_id"), F.col("name").alias("_name"), F.col("type").alias("_type"))
     rows = edges.where("edge_type = 'responsible_for'").select(F.col("from_id").alias("entity_id"), F.col("to_id").alias("id"), F.element_at("sources", 1).alias("source"))
-    rows = rows.join(nodes.select("id", "doc_no", "title", "content"), "id").join(who, "entity_id", "left").join(docs, F.col("doc_no") == F.col("_up"), "left")
+    rows = rows.join(nodes.select("id", "doc_no", "title", "content"), "id").join(who, "entity_id", "left")
     rows = rows.withColumn("agent", X.agent_of(F.col("doc_no"), prefixes)).join(chains.withColumnRenamed("agent_name", "agent"), "agent", "left")
-    return rows.select(
+    rows = rows.withColumn("process", classify_process(F.col("content"))).drop("content")
+    # A fixed number of ranges, as few bytes of narrow rows become many; ids split the edges of one controller.
+    by, parts = (natural_key(F.col("doc_no")), "entity_id"), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    rows = rows.where(F.monotonically_increasing_id() >= 0)  # true of all: Spark takes a sort out that only a join is above
+    docs = below.groupBy("_up").agg(F.array_sort(F.collect_list(F.struct(natural_key(F.col("doc_no")).alias("k"), "doc_no"))).alias("_d"))
+    docs = docs.select("_up", F.transform("_d", lambda d: d["doc_no"]).alias("active_docs"))
+    return rows.join(F.broadcast(docs), F.col("doc_no") == F.col("_up"), "left").select(
         "id", "doc_no", "title", F.coalesce("_name", F.lit("Unknown")).alias("entity_name"), "entity_id", F.coalesce("_type", F.lit("unknown")).alias("entity_type"),
-        classify_process(F.col("content")).alias("process"), "agent", "executor_name", "facilitator_name", "govops_name", F.coalesce("active_docs", F.array().cast("array<string>")).alias("active_docs"), "source",
-    ).orderBy(natural_key(F.col("doc_no")))
+        "process", "agent", "executor_name", "facilitator_name", "govops_name", F.coalesce("active_docs", F.array().cast("array<string>")).alias("active_docs"), "source",
+    )
 
 
 def classify_process(content: Column) -> Column:

@@ -247,3 +247,15 @@ def test_stream_of_snapshots_equals_the_batch_diff(spark, tmp_path):
             by.setdefault(r.id, []).append(r.n)
         assert all(n == list(range(1, len(n) + 1)) for n in by.values())
     assert snapshots.replay(table.limit(0)).count() == 0
+
+
+def test_active_documents_come_after_the_sort(spark):
+    nodes = spark.createDataFrame([("n2", "A.10", "ten", ""), ("n1", "A.9", "nine", ""), ("d1", "A.9.0.6.10", "", ""), ("d2", "A.9.0.6.2", "", "")], "id string, doc_no string, title string, content string")
+    edges = spark.createDataFrame([("e", n, "responsible_for", ["s"]) for n in ("n2", "n1", "n1")], "from_id string, to_id string, edge_type string, sources array<string>")
+    entities = spark.createDataFrame([("e", "E", "org")], "id string, name string, type string")
+    chains = spark.createDataFrame([], "agent_name string, executor_name string, facilitator_name string, govops_name string")
+    rows = R.active_data(edges, entities, nodes, chains)
+    assert [(r.doc_no, r.active_docs) for r in rows.collect()] == [("A.9", ["A.9.0.6.2", "A.9.0.6.10"])] * 2 + [("A.10", [])]
+    # No exchange or sort lies above the join that brings the documents.
+    top = rows._jdf.queryExecution().sparkPlan().toString().split("Join")[0]
+    assert "Sort" not in top and "Exchange" not in top
