@@ -353,7 +353,9 @@ _FIELDS = {"title": 10.0, "doc_no": 5.0, "type": 2.0, "content": 1.0}
 
 def _hits(spark, d, text, addresses=None):
     nodes = load(spark, d, "part").selectExpr(f"{_PART_ID} AS id", *_split_columns(_PART), "p_partkey AS ord", "array('a' || p_partkey % 7) AS address_refs")
-    return S.hits(nodes, _index(spark, d, "parts", lambda: [nodes], list(_FIELDS), "id"), None, text, addresses)
+    q = S.parse(text)
+    index = None if q.id else _index(spark, d, "parts", lambda: [nodes], list(_FIELDS), "id")  # an identifier needs none
+    return S.hits(nodes, index, None, q, addresses)
 
 
 def _split_columns(sql):

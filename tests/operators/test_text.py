@@ -223,3 +223,10 @@ def test_many_addresses_in_one_text(spark):
     rows = {r.address: r.label for r in M.extract_addresses(table).select("address", "label").collect()}
     assert len(rows) == 8000 and rows[f"0x{77:040x}"] == "name 77"
     assert X.occurrences(table, "id", "content", X.EVM, "evm").select(F.sum("pos")).first()[0] == sum(m.start() for m in re.finditer("0x", "| Name | Address |\n|---|---|\n" + lines))
+
+
+def test_an_identifier_needs_no_index(spark, monkeypatch):
+    from coppice.plans import text_queries as Q
+
+    monkeypatch.setattr(Q, "_index", lambda *_: pytest.fail("an index is made"))
+    assert Q.search_by_id(spark, "/root/testdata/sf0.001").count() == 1
