@@ -18,7 +18,7 @@ from coppice.operators import history as D
 from coppice.operators import parsing as P
 from coppice.operators import reports as R
 from coppice.sources import views
-from coppice.sources.tables import load
+from coppice.sources.tables import load, spread
 
 QUERIES = {}
 
@@ -309,7 +309,7 @@ _TAIL_VALUES = ", ".join(f"('{t}', {n}, '{s}')" for t, n, s in zip(_TAILS, (0, 0
 SELECT doc_no || tail AS doc_no, (n + more)::INT AS depth, array_to_string(list_transform(range(n), lambda i: i::VARCHAR) || list_transform(string_split_regex(seg, ''), lambda x: (n + x::INT)::VARCHAR), ',') AS segments FROM b, t""")
 def supporting_depths(spark, d):
     """Depths of supporting documents below each node of the outline: instance, tenet, scenario and variation."""
-    rows = _nodes(spark, d).withColumn("_tail", F.explode(F.array(*(F.lit(x) for x in _TAILS)))).select(F.concat("doc_no", "_tail").alias("doc_no"))
+    rows = spread(views.outline(spark, d).select("doc_no")).withColumn("_tail", F.explode(F.array(*(F.lit(x) for x in _TAILS)))).select(F.concat("doc_no", "_tail").alias("doc_no"))
     return rows.select("doc_no", docno.semantic_depth(F.col("doc_no")).alias("depth"), F.array_join(docno.segment_depths(F.col("doc_no")), ",").alias("segments"))
 
 
@@ -403,7 +403,8 @@ def line_diffs(spark, d):
     """Line and word diffs: a changed word in a changed line; a removed and an added line with two lines around them."""
     old = "CASE c_custkey % 3 WHEN 0 THEN 'same' || chr(10) || 'The limit of ' || c_name || ' is ' || c_custkey || ' units' || chr(10) || 'end' WHEN 1 THEN concat_ws(chr(10), 'a', 'b', 'c', c_name, 'd', 'e', 'f', 'u', 'v') ELSE 'x' END"
     new = "CASE c_custkey % 3 WHEN 0 THEN 'same' || chr(10) || 'The limit of ' || c_name || ' is ' || (c_custkey + 1) || ' units' || chr(10) || 'end' WHEN 1 THEN concat_ws(chr(10), 'a', 'b', 'c', 'd', 'e', 'f', 'u', 'v', 'x') ELSE 'x' END"
-    return _customers(spark, d, "c_custkey", f"{old} AS old", f"{new} AS new").select("c_custkey", _flat(D.line_diff_udf("old", "new")).alias("diff"))
+    rows = spread(_customers(spark, d, "c_custkey", "c_name")).selectExpr("c_custkey", f"{old} AS old", f"{new} AS new")
+    return rows.select("c_custkey", _flat(D.line_diff_udf("old", "new")).alias("diff"))
 
 
 @query("""SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN array_to_string(list_transform(range(20), lambda i: '+' || n_name || i::VARCHAR), '|') || '|…' ELSE '+' || n_name END AS diff FROM nation""")

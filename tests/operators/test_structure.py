@@ -168,3 +168,10 @@ def test_batches_of_a_table_of_several_partitions(spark):
         assert wrong.count() == 0
     finally:
         spark.conf.unset(at)
+
+
+def test_costly_rows_of_a_small_file_are_spread(spark):
+    from coppice.plans import document_queries as Q
+
+    for name in ("supporting_depths", "line_diffs"):
+        assert Q.QUERIES[name][0](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
