@@ -22,6 +22,8 @@ from coppice.sources.readers import or_empty
 ROW_GROUP = 1 << 20
 #: Terms of a wildcard or of edits that are looked up one by one; beyond, their range is read.
 NAMED = 1000
+#: Terms of the texts to a file of postings at most, in the mean, so that what a task sorts does not grow with the input.
+TERMS = 1 << 21
 
 
 def _live(spark: SparkSession, path: str) -> list[int]:
@@ -35,7 +37,8 @@ def _write(path: str, table: str, number: int, df: DataFrame, by: list[str] | No
 
 
 def _segment(spark: SparkSession, path: str, number: int, rows: DataFrame, stats: DataFrame, key: str, parts: int | None, replaces: list[int]) -> None:
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = stats.collect()  # a row for each field
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(r["total"] or 0 for r in sizes) // TERMS))
     ranged = rows.select(key, "field", "term", "tf", "dl").repartitionByRange(parts, "field", "term", key).sortWithinPartitions("field", "term", key)
     _write(path, "postings", number, ranged.withColumn("part", F.spark_partition_id()), ["part"])
     back = spark.read.parquet(f"{path}/postings/segment={number}")
@@ -44,14 +47,14 @@ def _segment(spark: SparkSession, path: str, number: int, rows: DataFrame, stats
     _write(path, "dictionary", number, back.groupBy("field", "term").agg(F.count("*").alias("df")).sort("field", "term"))
     words = spark.read.parquet(f"{path}/dictionary/segment={number}")
     _write(path, "variants", number, variants_of(words.select("term").distinct(), EDITS).sort("variant"))
-    _write(path, "stats", number, stats)
+    _write(path, "stats", number, spark.createDataFrame(sizes, stats.schema))
     spark.createDataFrame([(number, replaces)], "number int, replaces array<int>").write.mode("append").parquet(f"{path}/segments")
 
 
 def add(docs: DataFrame, key: str, fields: list[str], path: str, parts: int | None = None) -> None:
     """A new segment of documents, none of which is in the index yet; the first one makes the index.
 
-    A null field has no term. ``parts``: files that the postings are dealt to (as many as shuffles, if not given).
+    A null field has no term. ``parts``: files that the postings are dealt to (if not given, as many as shuffles, and more for more than ``TERMS`` terms each).
     """
     spark = docs.sparkSession
     rows = postings(docs, key, fields)

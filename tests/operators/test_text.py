@@ -230,3 +230,11 @@ def test_an_identifier_needs_no_index(spark, monkeypatch):
 
     monkeypatch.setattr(Q, "_index", lambda *_: pytest.fail("an index is made"))
     assert Q.search_by_id(spark, "/root/testdata/sf0.001").count() == 1
+
+
+def test_files_of_postings_grow_in_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "TERMS", 20, raising=False)
+    docs = spark.createDataFrame([(i, f"w{i} x{i} y{i} z") for i in range(100)], "k int, text string")
+    I.add(docs, "k", ["text"], str(tmp_path))
+    index = I.open_index(spark, str(tmp_path), "k")
+    assert index.postings.select("part").distinct().count() > 10 and index.dictionary.where("term = 'z'").first().df == 100
