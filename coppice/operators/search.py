@@ -8,12 +8,16 @@ table of postings made for the search, or one that is kept (``search_index.Store
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import TYPE_CHECKING
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from coppice.functions.text import UUID, escape_html, literal, terms
 
@@ -26,8 +30,11 @@ BOOSTS = {"title": 10.0, "doc_no": 5.0, "type": 2.0, "content": 1.0}
 #: Names of the fields in a match reason, in its order.
 REASONS = (("title", "title"), ("doc_no", "doc number"), ("type", "type"), ("content", "content"))
 LEAD, WINDOW, PAGE = 60, 160, 500
-#: Edits up to which an index keeps variants, and characters of a term that they are made from.
-EDITS, PREFIX = 2, 7
+#: Characters of a term that its deletion variants are made from.
+PREFIX = 7
+#: For ``functions.text.terms`` in the bytes of a text in lower case: all others are blanks. And terms to a batch of postings.
+_BYTES = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
+HELD = 1 << 16
 #: Shapes of words that get special treatment.
 TICKER = re.compile(r"[a-z]{0,2}[A-Z]{2,}[0-9]*")
 HEX_PREFIX = re.compile(r"0[xX][0-9a-fA-F]*")
@@ -114,17 +121,40 @@ def _word(w: str) -> tuple | None:
 
 
 def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """``key, field, term, tf, dl``: occurrences of each term in each field, and the field's length in terms.
+    """``key, field, dl, term, tf``: occurrences of each term in each field, and the field's length in terms.
 
-    Each row is a document of its own. Terms are counted where the text is, as runs of its sorted terms: no shuffle.
+    Each row is a document of its own. Terms are counted where the text is, in Arrow batches: no shuffle.
     """
-    held = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.sort_array(terms(F.coalesce(F.col(f).cast("string"), F.lit("")))).alias("ts")) for f in fields))).alias("f")
-    rows = docs.select(key, held).where(F.size("f.ts") > 0).select(key, F.col("f.field").alias("field"), F.col("f.ts").alias("_t"), F.size("f.ts").alias("_n"))
-    starts = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)))
-    rows = rows.withColumn("_at", starts)
-    ends = F.concat(F.slice("_at", 2, F.size("_at")), F.array("_n"))
-    runs = F.zip_with("_at", ends, lambda a, b: F.struct(F.get("_t", a).alias("term"), (b - a).cast("long").alias("tf")))
-    return rows.select(key, "field", F.explode(runs).alias("r"), F.col("_n").cast("long").alias("dl")).select(key, "field", "dl", "r.term", "r.tf")
+    rows = docs.select(key, *(F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).cast("binary").alias(f"_f{i}") for i, f in enumerate(fields)))
+    schema = StructType([docs.select(key).schema[0], *(StructField(n, t) for n, t in (("field", StringType()), ("dl", LongType()), ("term", StringType()), ("tf", LongType())))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, f in enumerate(fields):
+                for at, sizes, lengths, words, numbers in _counted(batch.column(i + 1)):
+                    rows_of = np.repeat(at, sizes)
+                    columns = [pa.array([f], type=pa.string()).take(pa.array(np.zeros(len(words), dtype=np.int64))), pa.array(np.repeat(lengths, sizes)), pa.array(words, type=pa.binary()).cast(pa.string()), pa.array(numbers, type=pa.int64())]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows_of)), *columns], names=schema.names)
+
+    return rows.mapInArrow(count, schema)
+
+
+def _counted(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], list[int]]]:
+    """Places of the texts that have terms, how many different ones and how many in all; the terms and their counts, text after text."""
+    at, sizes, lengths, words, numbers = [], [], [], [], []
+    for place, text in enumerate(texts):
+        found = Counter(text.as_py().translate(_BYTES).split())
+        if found:
+            at.append(place)
+            sizes.append(len(found))
+            lengths.append(found.total())
+            words += found.keys()
+            numbers += found.values()
+        if len(words) >= HELD:
+            yield np.array(at), np.array(sizes), np.array(lengths, dtype=np.int64), words, numbers
+            at, sizes, lengths, words, numbers = [], [], [], [], []
+    if words:
+        yield np.array(at), np.array(sizes), np.array(lengths, dtype=np.int64), words, numbers
 
 
 def field_stats(docs: DataFrame, fields: list[str]) -> DataFrame:
@@ -212,7 +242,7 @@ def score(index: DataFrame | Stored, stats: DataFrame | None, query: Query, key:
     table = F.create_map(*(F.lit(x) for kv in boosts.items() for x in kv))
     if isinstance(index, DataFrame):
         if not any(t.prefix or t.edits for t in query.terms):
-            index = index.where(F.col("term").isin(*{t.text for t in query.terms}))  # reaches the token scan
+            index = index.where(F.col("term").isin(*{t.text for t in query.terms}))
         found = index.join(matching_terms(dictionary(index), query), ["field", "term"])
     else:
         stats = index.stats

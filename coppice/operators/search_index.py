@@ -1,4 +1,4 @@
-"""A stored inverted index: segments of sorted postings with their dictionary, lengths and deletion variants.
+"""A stored inverted index: segments of sorted postings with their dictionary and lengths.
 
 A batch of documents is one segment. Its postings are range-partitioned and sorted by (field, term, key), so a term
 that very many documents hold lies in several files; ``bounds`` names the first and last term of each of them. A
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.operators.search import EDITS, Query, Term, deletion_variants, entries_of, postings, variants_of
+from coppice.operators.search import Query, Term, entries_of, postings
 from coppice.sources.readers import or_empty
 
 #: Bytes to a row group of postings, so that a file is read in part.
@@ -24,6 +24,8 @@ ROW_GROUP = 1 << 20
 NAMED = 1000
 #: Terms of the texts to a file of postings at most, in the mean, so that what a task sorts does not grow with the input.
 TERMS = 1 << 21
+#: Bytes that a term and what is behind it take in the mean, or more.
+BYTES = 3
 
 
 def _live(spark: SparkSession, path: str) -> list[int]:
@@ -36,32 +38,37 @@ def _write(path: str, table: str, number: int, df: DataFrame, by: list[str] | No
     df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/{table}/segment={number}", partitionBy=by)
 
 
-def _segment(spark: SparkSession, path: str, number: int, rows: DataFrame, stats: DataFrame, key: str, parts: int | None, replaces: list[int]) -> None:
-    sizes = stats.collect()  # a row for each field
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(r["total"] or 0 for r in sizes) // TERMS))
-    ranged = rows.select(key, "field", "term", "tf", "dl").repartitionByRange(parts, "field", "term", key).sortWithinPartitions("field", "term", key)
+def _segment(spark: SparkSession, path: str, number: int, rows: DataFrame, n: list[tuple[str, int]], key: str, parts: int, replaces: list[int]) -> None:
+    """n: documents of each field."""
+    ranged = rows.select(key, "field", "term", "tf", "dl").repartitionByRange(parts, "field", "term", key)
+    # A file hardly ever has two fields, so terms first: their beginnings tell most rows apart, which sorts faster.
+    ranged = ranged.sortWithinPartitions("term", "field", key)
     _write(path, "postings", number, ranged.withColumn("part", F.spark_partition_id()), ["part"])
-    back = spark.read.parquet(f"{path}/postings/segment={number}")
-    entry = F.struct("field", "term")
-    _write(path, "bounds", number, back.groupBy("part").agg(F.min(entry).alias("first"), F.max(entry).alias("last")))
-    _write(path, "dictionary", number, back.groupBy("field", "term").agg(F.count("*").alias("df")).sort("field", "term"))
+    # A term that several files hold is a row for each of them; readers add these up.
+    held = spark.read.parquet(f"{path}/postings/segment={number}").groupBy("field", "term", "part").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    _write(path, "dictionary", number, held.sort("field", "term", "part"))
     words = spark.read.parquet(f"{path}/dictionary/segment={number}")
-    _write(path, "variants", number, variants_of(words.select("term").distinct(), EDITS).sort("variant"))
-    _write(path, "stats", number, spark.createDataFrame(sizes, stats.schema))
+    entry = F.struct("field", "term")
+    _write(path, "bounds", number, words.groupBy("part").agg(F.min(entry).alias("first"), F.max(entry).alias("last")))
+    totals = {r["field"]: r["total"] for r in words.groupBy("field").agg(F.sum("tf").alias("total")).collect()}  # a row for each field
+    _write(path, "stats", number, spark.createDataFrame([(f, d, totals.get(f, 0)) for f, d in n], "field string, n long, total long"))
     spark.createDataFrame([(number, replaces)], "number int, replaces array<int>").write.mode("append").parquet(f"{path}/segments")
 
 
+def _files(spark: SparkSession, terms: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-terms // TERMS))
+
+
 def add(docs: DataFrame, key: str, fields: list[str], path: str, parts: int | None = None) -> None:
     """A new segment of documents, none of which is in the index yet; the first one makes the index.
 
     A null field has no term. ``parts``: files that the postings are dealt to (if not given, as many as shuffles, and more for more than ``TERMS`` terms each).
     """
     spark = docs.sparkSession
-    rows = postings(docs, key, fields)
-    sizes = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.size(F.regexp_extract_all(F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))).cast("long").alias("dl")) for f in fields))).alias("s")
-    stats = docs.select(sizes).groupBy("s.field").agg(F.count("*").alias("n"), F.sum("s.dl").alias("total"))
+    sizes = docs.agg(F.count("*"), *(F.sum(F.octet_length(F.col(f).cast("string"))) for f in fields)).first()
     numbers = or_empty(lambda: spark.read.parquet(f"{path}/segments"), "number int", spark).agg(F.max("number")).first()[0]
-    _segment(spark, path, 0 if numbers is None else numbers + 1, rows, stats, key, parts, [])
+    parts = parts or _files(spark, sum(x or 0 for x in sizes[1:]) // BYTES)
+    _segment(spark, path, 0 if numbers is None else numbers + 1, postings(docs, key, fields), [(f, sizes[0]) for f in fields], key, parts, [])
 
 
 def merge(spark: SparkSession, path: str, key: str, parts: int | None = None) -> None:
@@ -69,8 +76,9 @@ def merge(spark: SparkSession, path: str, key: str, parts: int | None = None) ->
     live = _live(spark, path)
     if len(live) > 1:
         index = Stored(spark, path, key, live)
-        stats = index._table("stats").groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-        _segment(spark, path, max(live) + 1, index.postings, stats, key, parts, live)
+        sums = index._table("stats").groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()  # a row for each field
+        parts = parts or _files(spark, sum(r["total"] for r in sums))
+        _segment(spark, path, max(live) + 1, index.postings, [(r["field"], r["n"]) for r in sums], key, parts, live)
 
 
 def open_index(spark: SparkSession, path: str, key: str) -> Stored:
@@ -102,10 +110,12 @@ class Stored:
         return self._table("stats").groupBy("field").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("avgdl"))
 
     def near(self, text: str, edits: int) -> DataFrame:
-        """``term``: those within so many edits. Up to ``EDITS`` they are found by the stored variants of what is searched."""
-        table = self._table("variants") if edits <= EDITS else variants_of(self._table("dictionary").select("term").distinct(), edits)
-        found = table.where(F.col("variant").isin(deletion_variants(text, edits))).select("term").distinct()
-        return found.where(F.levenshtein("term", F.lit(text)) <= edits)
+        """``term``: those within so many edits, measured where their length allows it.
+
+        Variants of all terms would be some 27 times as many rows as the dictionary, and longer to make than very many searches.
+        """
+        alike = self._table("dictionary").where(F.length("term").between(len(text) - edits, len(text) + edits))
+        return alike.where(F.levenshtein("term", F.lit(text), edits) >= 0).select("term").distinct()
 
     def entries(self, query: Query) -> DataFrame:
         """Dictionary entries of the query's terms, as ``search.matching_terms`` gives them."""

@@ -15,7 +15,7 @@ from coppice.operators import vectors as V
 from coppice.operators import search_index as I
 from coppice.operators.tools import Tools
 from coppice.sources import readers, scratch, sinks, views
-from coppice.sources.tables import load
+from coppice.sources.tables import load, spread
 
 K = 20
 
@@ -147,7 +147,7 @@ def bm25_segments(spark, d):
 
 @query(f"WITH {_TERMS_SQL}, f AS (SELECT 'fuzzy' AS kind, term, count(*) AS df FROM t WHERE levenshtein(term, 'licence') <= 2 GROUP BY term UNION ALL SELECT 'wildcard', term, count(*) FROM t WHERE starts_with(term, 'licen') GROUP BY term UNION ALL SELECT 'exact', term, count(*) FROM t WHERE term = 'token' GROUP BY term) SELECT * FROM f")
 def index_dictionary_entries(spark, d):
-    """What a query's words stand for, looked up in the stored dictionary and its deletion variants."""
+    """What a query's words stand for, looked up in the stored dictionary."""
     kinds = F.element_at(F.array(F.lit("fuzzy"), F.lit("wildcard"), F.lit("exact")), F.col("q") + 1)
     return _texts(spark, d).entries(S.parse("licence~2 licen* token")).select(kinds.alias("kind"), "term", "df")
 
@@ -352,7 +352,8 @@ _FIELDS = {"title": 10.0, "doc_no": 5.0, "type": 2.0, "content": 1.0}
 
 
 def _hits(spark, d, text, addresses=None):
-    nodes = load(spark, d, "part").selectExpr(f"{_PART_ID} AS id", *_split_columns(_PART), "p_partkey AS ord", "array('a' || p_partkey % 7) AS address_refs")
+    parts = spread(load(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size"))
+    nodes = parts.selectExpr(f"{_PART_ID} AS id", *_split_columns(_PART), "p_partkey AS ord", "array('a' || p_partkey % 7) AS address_refs")
     q = S.parse(text)
     index = None if q.id else _index(spark, d, "parts", lambda: [nodes], list(_FIELDS), "id")  # an identifier needs none
     return S.hits(nodes, index, None, q, addresses)

@@ -238,3 +238,28 @@ def test_files_of_postings_grow_in_number(spark, tmp_path, monkeypatch):
     I.add(docs, "k", ["text"], str(tmp_path))
     index = I.open_index(spark, str(tmp_path), "k")
     assert index.postings.select("part").distinct().count() > 10 and index.dictionary.where("term = 'z'").first().df == 100
+
+
+def test_an_index_is_smaller_than_variants_of_its_terms(spark, tmp_path):
+    """Rows of all tables of an index together are in proportion to the postings; edits are still found at any number."""
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 12))) for _ in range(500)})
+    docs = spark.createDataFrame([(i, " ".join(words[i * 10 : i * 10 + 10])) for i in range(50)], "k int, text string")
+    I.add(docs, "k", ["text"], str(tmp_path), parts=3)
+    rows = sum(spark.read.parquet(str(p)).count() for p in tmp_path.iterdir())
+    assert rows < 3 * len(words), rows
+    index = I.open_index(spark, str(tmp_path), "k")
+    for edits in (1, 2, 4):
+        pairs = spark.createDataFrame([(w,) for w in words], "term string").where(F.levenshtein("term", F.lit(words[7])) <= edits)
+        assert {r.term for r in index.near(words[7], edits).collect()} == {r.term for r in pairs.collect()}, edits
+
+
+def test_a_small_table_of_nodes_is_indexed_by_many_tasks(spark, monkeypatch):
+    from coppice.plans import text_queries as Q
+
+    seen = []
+    monkeypatch.setattr(Q, "_index", lambda s, d, name, batches, *_: seen.append(batches()[0].rdd.getNumPartitions()))
+    monkeypatch.setattr(Q.S, "hits", lambda *_: None)
+    monkeypatch.setattr(Q, "load", lambda s, d, t: s.read.parquet(f"{d}/{t}.parquet").coalesce(1))
+    Q._hits(spark, "/root/testdata/sf0.001", "USDS")
+    assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))] and seen[0] > 1
