@@ -23,6 +23,8 @@ from coppice.llm.components import connected_components
 #: Bits of the table of word counts, and of a shingle's hash.
 BITS, HASH_BITS = 18, 48
 LONGS = ("_d1", "_d2", *S.BITMAPS)
+#: As ``LONGS``, of sets that may be large.
+WIDE_LONGS = ("_d1", "_d2", *S.bitmap_columns(S.ALL_BANDS))
 DIGEST = ["_d1", "_d2"]
 #: Stands for a null id, and sorts before all others.
 NO_ID = -(1 << 63)
@@ -76,10 +78,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             codes, whole, sizes = shingle_sets(S.binary(batch.column(1)), k, table.value)
             prefix, lengths = S.prefixes(codes, sizes, num, den)
-            words = [*(pa.array(d) for d in S.digests(whole, sizes)), *S.bitmaps(whole, sizes, num, den)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *words, list_array(prefix.view(np.int64), lengths, pa.int64())], names=["_doc", "_n", *LONGS, "_prefix"])
+            words = [*(pa.array(d) for d in S.digests(whole, sizes)), *S.bitmaps(whole, sizes, num, den, S.ALL_BANDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *words, list_array(prefix.view(np.int64), lengths, pa.int64())], names=["_doc", "_n", *WIDE_LONGS, "_prefix"])
 
-    signed = written(rows.mapInArrow(sign, f"_doc long, _n long, {', '.join(f'{c} long' for c in LONGS)}, _prefix array<long>"), "shingle-prefixes")
+    signed = written(rows.mapInArrow(sign, f"_doc long, _n long, {', '.join(f'{c} long' for c in WIDE_LONGS)}, _prefix array<long>"), "shingle-prefixes")
     hashed = signed.withColumn("_g1", F.xxhash64("_prefix")).withColumn("_g2", F.xxhash64(F.lit(1), "_prefix"))
     group = ["_n", "_g1", "_g2"]
     classes = hashed.where("_n > 0").groupBy(*DIGEST).agg(F.min(F.struct("_doc", *group)).alias("_m")).select(*DIGEST, "_m.*")
@@ -90,10 +92,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Prefixes of one document of each group; rows that repeat it repeat its entries, which changes nothing.
     # Members of a group differ outside the prefix, so a group of several has no bitmap that holds for all: they
     # are compared by prefix and size alone.
-    items = signed.select(*DIGEST, "_doc", *LONGS[2:], "_prefix").join(groups.select(*DIGEST, "_doc", "_n", F.col("_group").alias("_item"), "_c"), [*DIGEST, "_doc"])
+    items = signed.select(*DIGEST, "_doc", *WIDE_LONGS[2:], "_prefix").join(groups.select(*DIGEST, "_doc", "_n", F.col("_group").alias("_item"), "_c"), [*DIGEST, "_doc"])
     free = (F.col("_c") > 1).cast("int").alias("_free")
-    items = written(items.select("_item", "_n", "_prefix", *LONGS[2:], free), "group-prefixes")
-    comps = S.candidate_components(items, num, den)
+    items = written(items.select("_item", "_n", "_prefix", *WIDE_LONGS[2:], free), "group-prefixes")
+    comps = S.candidate_components(items, num, den, S.ALL_BANDS)
     placed = groups.join(comps, groups["_group"] == comps["_item"], "left").where("_comp is not null or _c > 1").select(*group, F.coalesce("_comp", "_group").alias("_comp"))
     members = written(classes.select("_item", "_doc", *DIGEST, *group).join(placed, group).select("_item", "_doc", *DIGEST, "_n", "_comp"), "members")
     wanted = written(members.join(S.block_plan(members), "_comp").select("_item", *DIGEST, "_comp", "_k", F.col("_doc").alias("_at")), "wanted")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import cleaned, forget, tune, written
+from coppice.llm.common import cleaned, flagged, forget, tune, written
 from coppice.llm.components import connected_components
 
 #: Holders of a key to a block; keys that more hold are split.
@@ -44,7 +44,21 @@ PAIRS = 1 << 21
 SHORT, MIDDLE, WIDE = 80, 200, 700
 #: Bands of sizes of a pair's larger set, and the columns of their bitmaps.
 BANDS = ((0, SHORT, ["_x"]), (SHORT, MIDDLE, ["_y0", "_y1"]), (MIDDLE, WIDE, ["_z0", "_z1", "_z2", "_z3"]), (WIDE, None, []))
-BITMAPS = tuple(c for _, _, columns in BANDS for c in columns)
+#: The same where large sets are common. By far most of their pairs that share an element of the prefixes do so by
+#: chance, and their number grows with the square of the sets', so that they would join more and more sets to one
+#: component. Bitmaps of 256, 1024 and 4096 bits differ by chance in some six standard deviations more bits than may
+#: differ (at 2,800 and 11,000 elements 3.6 and 8).
+UPTO = (500, 2800, 11000)
+ALL_BANDS = (*BANDS[:2], (MIDDLE, UPTO[0], ["_z0", "_z1", "_z2", "_z3"]), (UPTO[0], UPTO[1], [f"_v{i}" for i in range(16)]), (UPTO[1], UPTO[2], [f"_w{i}" for i in range(64)]), (UPTO[2], None, []))
+#: Words of a bitmap from which only keys that may have a second holder get it.
+LARGE_BITMAP = 16
+
+
+def bitmap_columns(bands: tuple) -> tuple[str, ...]:
+    return tuple(c for _, _, columns in bands for c in columns)
+
+
+BITMAPS = bitmap_columns(BANDS)
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -209,10 +223,10 @@ def parities(h: np.ndarray, sizes: np.ndarray, words: int) -> list[np.ndarray]:
     return [per_set(np.where(at >> np.uint64(6) == w, bit, np.uint64(0)), sizes, np.bitwise_xor).view(np.int64) for w in range(words)]
 
 
-def bitmaps(h: np.ndarray, sizes: np.ndarray, num: int, den: int) -> list[pa.Array]:
-    """``BITMAPS`` of each set, null where sets of its size are not compared by them."""
+def bitmaps(h: np.ndarray, sizes: np.ndarray, num: int, den: int, bands: tuple = BANDS) -> list[pa.Array]:
+    """The bitmaps of each set, null where sets of its size are not compared by them."""
     out = []
-    for above, upto, columns in BANDS:
+    for above, upto, columns in bands:
         if not columns:
             continue
         words, has = len(columns), (sizes > above * num // den) & (sizes <= upto)
@@ -388,7 +402,14 @@ def candidate_edges(items: DataFrame, num: int, den: int, above: int, upto: int
     if upto is not None:
         items = items.where(F.col("_n") <= upto)
     with cleaned(spark):
-        keys, hot = keys_of(items, ["_item", "_n", "_free", *bitmap], num, den, pairs=upto is not None and upto <= SHORT)
+        columns = ["_item", "_n", "_free"]
+        if len(bitmap) < LARGE_BITMAP:
+            keys, hot = keys_of(items, [*columns, *bitmap], num, den, pairs=upto is not None and upto <= SHORT)
+        else:
+            held = keys_of(items, ["_item"], num, den, pairs=False)[0].groupBy("_e").count().where("count > 1").select("_e")
+            held = written(held, "held-keys")
+            keys, hot = keys_of(items, [*columns, *bitmap], num, den, pairs=False)
+            keys = flagged(keys, "_e", held, "_e", "_maybe").where("_maybe").drop("_maybe")
         dealt = in_blocks(keys, hot)
     # Size, place, side and freedom in one long, which also sorts by size.
     packed = F.shiftleft(F.col("_n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("_pos").cast("long"), 2)).bitwiseOR((F.col("_side") * 2 + F.col("_free")).cast("long"))
@@ -413,15 +434,17 @@ def candidate_edges(items: DataFrame, num: int, den: int, above: int, upto: int
         return written(dealt.repartition("_e", "_at").sortWithinPartitions("_e", "_at", "_w").mapInArrow(compare, "src long, dst long").distinct(), "candidates")
     finally:
         tune(spark)
+        if len(bitmap) >= LARGE_BITMAP:
+            forget(held)
 
 
-def candidate_components(items: DataFrame, num: int, den: int) -> DataFrame:
+def candidate_components(items: DataFrame, num: int, den: int, bands: tuple = BANDS) -> DataFrame:
     """``_item, _comp`` of the items that some other one may be similar to.
 
-    items: as in ``candidate_edges`` with ``BITMAPS``. Bands of sizes have bitmaps that suit them, so that hardly
+    items: as in ``candidate_edges`` with the bands' bitmaps. Bands of sizes have bitmaps that suit them, so that hardly
     any pair passes by chance.
     """
-    found = [candidate_edges(items, num, den, above, upto, bitmap) for above, upto, bitmap in BANDS]
+    found = [candidate_edges(items, num, den, above, upto, bitmap) for above, upto, bitmap in bands]
     parts = connected_components(functools.reduce(DataFrame.unionByName, found))
     forget(*found)
     return parts.select(F.col("node").alias("_item"), F.col("component").alias("_comp"))

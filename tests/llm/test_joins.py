@@ -201,3 +201,21 @@ def test_line_dedup_of_short_lines_equals_brute_force(spark, tmp_path):
     # A line without words is blank and always stays.
     assert want[5005] == "no no no no no no\n\n" and want[5002] == "Home\nhome page\n\n"
     assert {r.doc_id: r.text for r in op5_line_dedup(spark, str(tmp_path)).collect()} == want
+
+
+def test_large_documents_that_share_a_passage_are_no_candidates(spark, monkeypatch):
+    """Sets of some 600 to 6,000 shingles of which all share a rare one, and no two others but a near copy."""
+    rng = random.Random(21)
+    passage = " ".join(f"rare{i}" for i in range(6))
+    texts = [" ".join([*(f"w{rng.randrange(300)}" for _ in range(n)), passage]) for n in [600] * 20 + [2000] * 20 + [5000] * 8]
+    texts.append(texts[25].replace(passage, passage + " and more"))
+    found, compared = [], S.candidate_components
+
+    def kept(*args):
+        found.append(compared(*args))
+        return found[-1]
+
+    monkeypatch.setattr(S, "candidate_components", kept)
+    rows = similar_documents(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: 25 if i == len(texts) - 1 else i for i in range(len(texts))}
+    assert found[0].count() == 2
