@@ -46,9 +46,9 @@ SHORT, MIDDLE, WIDE = 80, 200, 700
 BANDS = ((0, SHORT, ["_x"]), (SHORT, MIDDLE, ["_y0", "_y1"]), (MIDDLE, WIDE, ["_z0", "_z1", "_z2", "_z3"]), (WIDE, None, []))
 #: The same where large sets are common. By far most of their pairs that share an element of the prefixes do so by
 #: chance, and their number grows with the square of the sets', so that they would join more and more sets to one
-#: component. Bitmaps of 256, 1024 and 4096 bits differ by chance in some six standard deviations more bits than may
-#: differ (at 2,800 and 11,000 elements 3.6 and 8).
-UPTO = (500, 2800, 11000)
+#: component. Bitmaps of 256, 1024 and 4096 bits differ by chance in four standard deviations more bits than may
+#: differ up to these sizes, at a similarity of 0.8 and more.
+UPTO = (400, 2000, 8000)
 ALL_BANDS = (*BANDS[:2], (MIDDLE, UPTO[0], ["_z0", "_z1", "_z2", "_z3"]), (UPTO[0], UPTO[1], [f"_v{i}" for i in range(16)]), (UPTO[1], UPTO[2], [f"_w{i}" for i in range(64)]), (UPTO[2], None, []))
 #: Words of a bitmap from which only keys that may have a second holder get it.
 LARGE_BITMAP = 16
