@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.llm import setjoin as S
-from coppice.llm.common import column, flagged, forget, list_array, tune, written
+from coppice.llm.common import FEW_ROWS, column, flagged, forget, list_array, tune, written
 from coppice.llm.ngram_join import LONGS, id_or_least
 
 #: Different words that a line must have to be compared, and the least Jaccard similarity.
@@ -41,7 +41,7 @@ def line_sets(texts: list[bytes | None], classes: np.ndarray | None) -> tuple[np
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, num: int = NUM, den: int = DEN) -> DataFrame:
     """``_doc, _gone``: for each document that loses lines, their numbers from 0 (``_doc`` is the id, the least long if null)."""
     spark = docs.sparkSession
-    tune(spark)
+    tune(spark, FEW_ROWS)
     rows = docs.select(id_or_least(id_col).alias("_doc"), column(text_col).alias("_text"))
     table = spark.sparkContext.broadcast(S.rarity(S.word_counts(rows, "_text", BITS)))  # of fixed size
 
@@ -57,17 +57,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             words = [*(pa.array(d) for d in S.digests(whole, n)), *S.bitmaps(whole, n, num, den)]
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), pa.array(n), *words, list_array(prefix.view(np.int64), p, pa.int64())], names=["_doc", "_line", "_n", *LONGS, "_prefix"])
 
-    lines = written(rows.mapInArrow(split, f"_doc long, _line long, _n long, {', '.join(f'{c} long' for c in LONGS)}, _prefix array<long>"), "lines")
+    lines = written(rows.mapInArrow(split, f"_doc long, _line long, _n long, {', '.join(f'{c} long' for c in LONGS)}, _prefix array<long>"), "lines", hashes=True)
     digest = ["_d1", "_d2"]
     # A class is found by digests alone; of lines that do not repeat, nothing else is shuffled. Those that may
     # repeat are joined by their place, so that a very common line is no hot key.
-    found = written(lines.groupBy(*digest).agg(F.min(F.struct("_doc", "_line")).alias("_m"), F.count("*").alias("_c")).select(*digest, "_c", "_m.*"), "line-digests")
+    found = written(lines.groupBy(*digest).agg(F.min(F.struct("_doc", "_line")).alias("_m"), F.count("*").alias("_c")).select(*digest, "_c", "_m.*"), "line-digests", hashes=True)
     repeated = found.where("_c > 1")
     marked = flagged(lines, "_d1", repeated, "_d1", "_maybe")
     once = marked.where("not _maybe").withColumn("_c", F.lit(1).cast("long")).drop("_maybe")
     place = ["_doc", "_line", *digest]
     again = marked.where("_maybe").join(flagged(found, "_d1", repeated, "_d1", "_hit").where("_hit").drop("_hit"), place).select(*once.columns).dropDuplicates(place)  # rows may share an id
-    classes = written(once.unionByName(again).withColumn("_item", F.monotonically_increasing_id()), "line-classes")
+    classes = written(once.unionByName(again).withColumn("_item", F.monotonically_increasing_id()), "line-classes", hashes=True)
     forget(found)
 
     comps = S.candidate_components(classes.select("_item", "_n", "_prefix", *LONGS[2:], F.lit(0).alias("_free")), num, den)
@@ -128,16 +128,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = flagged(packed, "_doc", gone, "_doc", "_maybe")
     whole = marked.where("not _maybe").withColumn("_gone", F.lit(None).cast("array<bigint>"))
     # Lines gone grow with the input: the join is the same at every size.
-    joined = marked.where("_maybe").join(gone.hint("merge"), "_doc", "left").select(*whole.columns).unionByName(whole)
-    lines = F.split(F.col("_in")[text_col], "\n", -1)
+    # A document has one row of them at most, so they are hashed, and texts need no sort.
+    joined = marked.where("_maybe").join(gone.hint("shuffle_hash"), "_doc", "left").select(*whole.columns).unionByName(whole)
+    old = F.col("_in")[text_col]
     removed = F.coalesce("_gone", F.array().cast("array<bigint>"))
-    left = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~F.array_contains(removed, i.cast("long"))))
-    text = F.array_join(left, "\n")
+    left = F.filter(F.split(old, "\n", -1), lambda _, i: ~F.array_contains(removed, i.cast("long")))
+    text = F.when(F.col("_gone").isNull(), old).otherwise(F.array_join(left, "\n"))
+    n_lines = F.octet_length(old) - F.octet_length(F.replace(old, F.lit("\n"), F.lit(""))) + 1
     size = lambda line: F.size(F.array_distinct(F.filter(F.split(F.translate(line, string.ascii_uppercase, string.ascii_lowercase), r"[\x20\x09-\x0D]+"), lambda w: w != "")))
     columns = [(text if c == text_col else F.col("_in")[c]).alias(c) for c in docs.columns if c not in added]
     return joined.select(
         *columns,
-        F.coalesce(F.when(F.col("_in")[text_col].isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
         F.size(removed).cast("long").alias("n_removed"),
         F.when(F.size(removed) > 0, F.size(F.filter(left, lambda x: size(x) >= least))).cast("long").alias("n_compared"),
     )

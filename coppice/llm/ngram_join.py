@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coppice.llm import setjoin as S
-from coppice.llm.common import column, flagged, forget, list_array, tune, written
+from coppice.llm.common import FEW_ROWS, column, flagged, forget, list_array, tune, written
 from coppice.llm.components import connected_components
 
 #: Bits of the table of word counts, and of a shingle's hash.
@@ -70,7 +70,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     smallest of all. Other columns are not looked at; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    tune(spark)
+    tune(spark, FEW_ROWS)
     rows = docs.select(id_or_least(id_col).alias("_doc"), column(text_col).alias("_text"))
     table = spark.sparkContext.broadcast(S.rarity(S.word_counts(rows, "_text", BITS)))  # of fixed size
 
@@ -81,7 +81,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             words = [*(pa.array(d) for d in S.digests(whole, sizes)), *S.bitmaps(whole, sizes, num, den, S.ALL_BANDS)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *words, list_array(prefix.view(np.int64), lengths, pa.int64())], names=["_doc", "_n", *WIDE_LONGS, "_prefix"])
 
-    signed = written(rows.mapInArrow(sign, f"_doc long, _n long, {', '.join(f'{c} long' for c in WIDE_LONGS)}, _prefix array<long>"), "shingle-prefixes")
+    signed = written(rows.mapInArrow(sign, f"_doc long, _n long, {', '.join(f'{c} long' for c in WIDE_LONGS)}, _prefix array<long>"), "shingle-prefixes", hashes=True)
     hashed = signed.withColumn("_g1", F.xxhash64("_prefix")).withColumn("_g2", F.xxhash64(F.lit(1), "_prefix"))
     group = ["_n", "_g1", "_g2"]
     classes = hashed.where("_n > 0").groupBy(*DIGEST).agg(F.min(F.struct("_doc", *group)).alias("_m")).select(*DIGEST, "_m.*")
@@ -94,7 +94,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # are compared by prefix and size alone.
     items = signed.select(*DIGEST, "_doc", *WIDE_LONGS[2:], "_prefix").join(groups.select(*DIGEST, "_doc", "_n", F.col("_group").alias("_item"), "_c"), [*DIGEST, "_doc"])
     free = (F.col("_c") > 1).cast("int").alias("_free")
-    items = written(items.select("_item", "_n", "_prefix", *WIDE_LONGS[2:], free), "group-prefixes")
+    items = written(items.select("_item", "_n", "_prefix", *WIDE_LONGS[2:], free), "group-prefixes", hashes=True)
     comps = S.candidate_components(items, num, den, S.ALL_BANDS)
     placed = groups.join(comps, groups["_group"] == comps["_item"], "left").where("_comp is not null or _c > 1").select(*group, F.coalesce("_comp", "_group").alias("_comp"))
     members = written(classes.select("_item", "_doc", *DIGEST, *group).join(placed, group).select("_item", "_doc", *DIGEST, "_n", "_comp"), "members")

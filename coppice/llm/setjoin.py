@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import cleaned, flagged, forget, tune, written
+from coppice.llm.common import FEW_ROWS, cleaned, flagged, forget, tune, written
 from coppice.llm.components import connected_components
 
 #: Holders of a key to a block; keys that more hold are split.
@@ -38,6 +38,8 @@ CELLS = 1 << 16
 BROADCAST_KEYS = 100_000
 #: Set elements, and sets, to a block of a component.
 ELEMENTS, MEMBERS = 1 << 19, 1024
+#: Cells to a piece of a table of word counts.
+COUNTS = 1 << 12
 #: Pairs compared at once.
 PAIRS = 1 << 21
 #: Sizes up to which a bitmap of 64, 128 and 256 bits tells sets apart; larger sets have none.
@@ -246,23 +248,39 @@ def prefix_length(n: np.ndarray | int, num: int, den: int):
 
 
 def word_counts(docs: DataFrame, text_col: str, bits: int) -> np.ndarray:
-    """Words of all texts counted by the last ``bits`` bits of their hashes: a table of fixed size."""
+    """Words of all texts counted by the last ``bits`` bits of their hashes: a table of fixed size.
+
+    Each task's table leaves it in pieces of bytes, and tables are summed piece by piece.
+    """
     mask = np.uint64((1 << bits) - 1)
+    cells = min(1 << bits, COUNTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
             h, _ = words_of_texts(binary(batch.column(0)))
             total += np.bincount((h & mask).astype(np.int64), minlength=1 << bits)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["_b", "_n"])
+        yield from pieces(dict(enumerate(total.reshape(-1, cells))))
+
+    def pieces(of: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        full = [b for b, n in of.items() if n.any()]
+        yield pa.RecordBatch.from_arrays([pa.array(full, type=pa.int32()), pa.array([of[b].tobytes() for b in full], type=pa.binary())], names=["_b", "_n"])
 
-    tune(docs.sparkSession)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[b] = total.get(b, 0) + np.frombuffer(n.as_buffer(), dtype=np.int64)
+        yield from pieces(total)
+
+    tune(docs.sparkSession, FEW_ROWS)
+    kind = "_b int, _n binary"
     with cleaned(docs.sparkSession):
-        rows = docs.select(text_col).mapInArrow(count, "_b long, _n long").groupBy("_b").agg(F.sum("_n").alias("_n")).toArrow()
-    out = np.zeros(1 << bits, dtype=np.int64)
-    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return out
+        rows = docs.select(text_col).mapInArrow(count, kind).repartition("_b").mapInArrow(add, kind).toArrow()
+    out = np.zeros(((1 << bits) // cells, cells), dtype=np.int64)
+    for b, n in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+        out[b] = np.frombuffer(n, dtype=np.int64)
+    return out.reshape(-1)
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], enough: int = 1 << 16) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -374,20 +392,22 @@ def keys_of(items: DataFrame, columns: list[str], num: int, den: int, pairs: boo
 
 
 def in_blocks(entries: DataFrame, hot: bool) -> DataFrame:
-    """Adds ``_at`` (the pair of blocks, lo << 32 | hi) and ``_side`` (1 if in block hi of two) to entries with ``_e`` and ``_item``.
+    """Adds ``_run`` (the key, and if keys are split a hash of it and the pair of blocks), ``_cross`` (1 if that is of two blocks)
+    and ``_side`` (1 if in the later one of two) to entries with ``_e`` and ``_item``.
 
-    Keys of more than HOLDERS entries are split into blocks of about as many; each block meets all others.
+    Keys of more than HOLDERS entries are split into blocks of about as many; each block meets all others. Where two
+    runs' hashes coincide, they are compared as one, which loses no pair.
     """
     cells, some = full_cells(entries, HOLDERS) if hot else (None, 0)
     if not some:
-        return entries.withColumn("_at", F.lit(0).cast("long")).withColumn("_side", F.lit(0))
+        return entries.select("*", F.col("_e").alias("_run"), F.lit(0).alias("_cross"), F.lit(0).alias("_side"))
     heavy = entries.withColumn("_c", _cell(F.col("_e"))).join(cells, "_c").groupBy("_e").count().where(F.col("count") > HOLDERS)
     heavy = written(heavy.select("_e", F.ceil(F.col("count") / HOLDERS).cast("int").alias("_k")), "common-keys")
     few = heavy.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     dealt = entries.join(F.broadcast(heavy) if few else heavy, "_e", "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
     dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("_item"), F.col("_k")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    at = F.shiftleft(F.least("_b", "_o").cast("long"), 32).bitwiseOR(F.greatest("_b", "_o").cast("long"))
-    return dealt.withColumn("_at", at).withColumn("_side", (F.col("_b") > F.col("_o")).cast("int")).drop("_k", "_b", "_o")
+    run, cross, side = F.xxhash64("_e", F.least("_b", "_o"), F.greatest("_b", "_o")), F.col("_b") != F.col("_o"), F.col("_b") > F.col("_o")
+    return dealt.select("*", run.alias("_run"), cross.cast("int").alias("_cross"), side.cast("int").alias("_side")).drop("_k", "_b", "_o")
 
 
 def candidate_edges(items: DataFrame, num: int, den: int, above: int, upto: int | None, bitmap: list[str]) -> DataFrame:
@@ -411,17 +431,20 @@ def candidate_edges(items: DataFrame, num: int, den: int, above: int, upto: int
             keys, hot = keys_of(items, [*columns, *bitmap], num, den, pairs=False)
             keys = flagged(keys, "_e", held, "_e", "_maybe").where("_maybe").drop("_maybe")
         dealt = in_blocks(keys, hot)
-    # Size, place, side and freedom in one long, which also sorts by size.
-    packed = F.shiftleft(F.col("_n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("_pos").cast("long"), 2)).bitwiseOR((F.col("_side") * 2 + F.col("_free")).cast("long"))
-    dealt = dealt.select("_e", "_at", packed.alias("_w"), *bitmap, "_item")
+    # Size, place, sides and freedom in one long. Spark sorts by one long, the run; a run's few rows are put in order of size here.
+    packed = F.shiftleft(F.col("_n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("_pos").cast("long"), 3)).bitwiseOR((F.col("_cross") * 4 + F.col("_side") * 2 + F.col("_free")).cast("long"))
+    dealt = dealt.select("_run", packed.alias("_w"), *bitmap, "_item")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, start in runs(batches, ["_e", "_at"]):
-            item, at, w = (t.column(k).to_numpy() for k in ("_item", "_at", "_w"))
-            x = [t.column(k).to_numpy().view(np.uint64) for k in bitmap]
+        for t, start in runs(batches, ["_run"]):
+            w = t.column("_w").to_numpy()
+            n = w >> 32
+            order = np.argsort(np.repeat(np.arange(len(start) - 1), np.diff(start)) * (n.max() + 1) + n)
+            item, n, w = t.column("_item").to_numpy()[order], n[order], w[order]
+            x = [t.column(k).to_numpy().view(np.uint64)[order] for k in bitmap]
             ids, of = np.unique(item, return_inverse=True)
             label = np.arange(len(ids))
-            for i, j in similar_runs(start, w >> 32, (w & 0xFFFFFFFF) >> 2, x, w & 1 == 1, w >> 1 & 1, at >> 32 != at & 0xFFFFFFFF, above, num, den):
+            for i, j in similar_runs(start, n, (w & 0xFFFFFFFF) >> 3, x, w & 1 == 1, w >> 1 & 1, w & 4 == 4, above, num, den):
                 a, b = label[of[i]], label[of[j]]
                 a, b = a[a != b], b[a != b]
                 if len(a):
@@ -431,7 +454,7 @@ def candidate_edges(items: DataFrame, num: int, den: int, above: int, upto: int
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     try:
-        return written(dealt.repartition("_e", "_at").sortWithinPartitions("_e", "_at", "_w").mapInArrow(compare, "src long, dst long").distinct(), "candidates")
+        return written(dealt.repartition("_run").sortWithinPartitions("_run").mapInArrow(compare, "src long, dst long").distinct(), "candidates")
     finally:
         tune(spark)
         if len(bitmap) >= LARGE_BITMAP:
