@@ -6,7 +6,7 @@ import itertools
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,10 +18,14 @@ THRESHOLD = 0.35
 CONTEXT, HEAD_LINES, BODY_CHARS = 2, 20, 500
 #: Rows of an edit table that are kept at each level.
 KEPT_ROWS = 64
+#: Diffs of a batch that are Python objects at a time.
+DIFFS = 64
 
 SEGMENT = T.StructType([T.StructField("op", T.StringType()), T.StructField("text", T.StringType())])
 DIFF = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("text", T.StringType()), T.StructField("segs", T.ArrayType(SEGMENT))]))
 
+ARROW_DIFF = pa.list_(pa.field("element", pa.struct([("op", pa.string()), ("text", pa.string()), ("segs", pa.list_(pa.field("element", pa.struct([("op", pa.string()), ("text", pa.string())]))))])))
+
 
 def with_hash(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("content_hash", F.md5("content"))
@@ -144,9 +148,19 @@ def line_diff(old: str | None, new: str | None, context: int = CONTEXT) -> list[
     return out
 
 
-@F.pandas_udf(DIFF)
-def line_diff_udf(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([[{"op": op, "text": text, "segs": None if segs is None else [{"op": o, "text": t} for o, t in segs]} for op, text, segs in line_diff(a, b)] for a, b in zip(old, new, strict=True)])
+def line_diffs(old: pa.Array, new: pa.Array) -> pa.Array:
+    """The diffs of a batch as ``ARROW_DIFF``. Only ``DIFFS`` of them are Python objects at a time: those take many times the bytes."""
+    parts = []
+    for at in range(0, len(old), DIFFS):
+        pairs = zip(old.slice(at, DIFFS).to_pylist(), new.slice(at, DIFFS).to_pylist(), strict=True)
+        rows = [[{"op": op, "text": text, "segs": None if segs is None else [{"op": o, "text": t} for o, t in segs]} for op, text, segs in line_diff(a, b)] for a, b in pairs]
+        parts.append(pa.array(rows, type=ARROW_DIFF))
+    return pa.concat_arrays(parts) if parts else pa.array([], type=ARROW_DIFF)
+
+
+@F.arrow_udf(DIFF)
+def line_diff_udf(old: pa.Array, new: pa.Array) -> pa.Array:
+    return line_diffs(old, new)
 
 
 def whole_diff(content: Column, op: str, most: int = HEAD_LINES) -> Column:

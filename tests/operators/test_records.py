@@ -3,6 +3,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +24,18 @@ def test_edit_scripts():
     assert [r[0] for r in far] == list("==-+==…==-+==")
 
 
+def test_diffs_of_a_batch_are_few_objects_at_a_time():
+    texts = ["\n".join(f"line {j} of text {i} {'x' if j % 3 else i}" for j in range(30)) for i in range(1001)]
+    old, new = [*texts[:-1], None], [*texts[1:], ""]
+    tracemalloc.start()
+    got = D.line_diffs(pa.array(old), pa.array(new))
+    peak = tracemalloc.get_traced_memory()[1]  # without Arrow's own
+    tracemalloc.stop()
+    assert peak < 8 << 20
+    want = [[{"op": op, "text": t, "segs": s and [{"op": o, "text": x} for o, x in s]} for op, t, s in D.line_diff(a, b)] for a, b in zip(old, new, strict=True)]
+    assert got.to_pylist() == want and D.line_diffs(pa.array([], pa.string()), pa.array([], pa.string())).to_pylist() == []
+
+
 def test_edit_script_replays():
     import random
 
