@@ -65,6 +65,13 @@ def test_line_dedup_odd_tables(spark):
     assert got == sorted([(None, "a b c d e", 0, None), (2, "x", 1, 0), (2, "x", 1, 0), (3, "p q r s t", 0, None), (3, "p q r s t", 0, None)], key=repr)
 
 
+def test_texts_that_lose_lines_are_not_sorted(spark):
+    out = spark_lines(spark.createDataFrame([(1, "a b c d e"), (2, "x\na b c d e\n"), (3, ""), (4, None)], SCHEMA))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r.doc_id, r.text, r.n_lines) for r in out.collect()) == [(1, "a b c d e", 1), (2, "x\n", 3), (3, "", 1), (4, None, 0)]
+
+
 def test_words_in(monkeypatch):
     from brute import words
 
