@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import column, flagged, forget, tune, written
+from coppice.llm.common import FILTER_WORDS, cleaned, column, flagged, forget, tune, written
 
 LENGTH = 50
 #: Bytes to a hashed string; windows to a piece at most.
 GRAM, WINDOWS = 20, 64
 #: Bytes of text hashed at once, and of pieces to a task's transform; pieces of a key beyond which windows are dealt.
-CHUNK, BUCKET, PIECES = 1 << 19, 1 << 17, 1 << 14
+CHUNK, BUCKET, PIECES = 1 << 16, 1 << 17, 1 << 14
+#: Symbols that are sorted by at once.
+FIRST = 7
 #: Pieces that a task returns at once.
 FLUSH = 1 << 16
 NULL_ID = (1 << 63) - 1
@@ -47,9 +49,11 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     else:
         h = words[:n]
         for at in (*range(8, gram - 7, 8), *[gram - 8] * (gram % 8 > 0)):
-            h = (h * _MIX) ^ words[at : at + n]
+            h = h * _MIX
+            h ^= words[at : at + n]
             h ^= h >> np.uint64(29)
-    h = (h + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = h + np.uint64(1)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     h *= _MIX
     return h ^ (h >> np.uint64(29))
@@ -76,19 +80,21 @@ def pieces_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tup
         data = np.frombuffer(b"".join(b for _, _, b in part), dtype=np.uint8)
         least = sliding_least(gram_hashes(data, gram), length - gram + 1)
         sizes = np.array([len(b) for _, _, b in part])
-        windows = sizes - length + 1
         first = np.cumsum(sizes) - sizes
-        own = np.repeat(np.arange(len(part)), windows)
-        offset = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
-        key = least[np.repeat(first, windows) + offset]
-        new = np.ones(len(own), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-        at = np.flatnonzero(new)
-        run = np.arange(len(own)) - np.repeat(at, np.diff(np.append(at, len(own))))
-        at = np.flatnonzero(run % WINDOWS == 0)
-        n = np.diff(np.append(at, len(own)))
+        upto = first + sizes - length + 1  # windows from there on cross the text's end
+        # A run begins where the key changes, and with each text; only these places are looked at one by one.
+        new = least[1:] != least[:-1]
+        new[first[1:] - 1] = True
+        at = np.concatenate([[0], np.flatnonzero(new) + 1])
+        own = np.searchsorted(first, at, side="right") - 1
+        inside = at < upto[own]
+        end = np.minimum(np.append(at[1:], len(least)), upto[own])[inside]
+        at, own = at[inside], own[inside]
+        parts = -(-(end - at) // WINDOWS)
+        key, own, end = (np.repeat(x, parts) for x in (least[at], own, end))
+        start = np.repeat(at, parts) + WINDOWS * (np.arange(len(own)) - np.repeat(np.cumsum(parts) - parts, parts))
         text, shift = np.array([t for t, _, _ in part]), np.array([s for _, s, _ in part])
-        out.append((text[own[at]], key[at].view(np.int64), shift[own[at]] + offset[at], n))
+        out.append((text[own], key.view(np.int64), shift[own] + start - first[own], np.minimum(end - start, WINDOWS)))
         part.clear()
 
     for t, b in enumerate(texts):
@@ -104,28 +110,45 @@ def pieces_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tup
     return tuple(np.concatenate(c) if out else np.zeros(0, dtype=np.int64) for c in (zip(*out, strict=True) if out else ((),) * 4))
 
 
+def packed(symbols: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` symbols (7 at most) that begin at each position as one number; 0 follows the last."""
+    padded = np.concatenate([symbols.astype(np.int64), np.zeros(size, dtype=np.int64)])
+    key = padded[: len(symbols)].copy()
+    for j in range(1, size):
+        key <<= 9
+        key |= padded[j : j + len(symbols)]
+    return key
+
+
 def sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Positions in the order of the ``depth`` symbols (or more) that follow; by doubling, from 7 symbols at once."""
-    n, size = len(symbols), 7
-    padded = np.concatenate([symbols.astype(np.int64), np.zeros(size, dtype=np.int64)])
-    key = np.zeros(n, dtype=np.int64)
-    for j in range(size):
-        key = key << 9 | padded[j : j + n]
+    n, size = len(symbols), FIRST
+    key = packed(symbols, size)
+    order = np.argsort(key)
+    some = slice(None)  # places in the order of those that are not alone with their rank
+    rank = np.empty(n, dtype=np.int64)
     while True:
-        order = np.argsort(key)
-        new = np.ones(n, dtype=np.int64)
-        new[1:] = np.diff(key[order]) != 0
-        ranks = np.cumsum(new)
-        if size >= depth or ranks[-1] == n:
+        at = order[some]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = np.diff(key[at] if size == FIRST else key) != 0
+        # A rank is the place of the first of its equals, so that ranks of those alone stay.
+        place = np.arange(n)[some]
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(at)))
+        rank[at] = np.repeat(place[first], count)
+        tied = np.repeat(count > 1, count)
+        if size >= depth or not tied.any():
             return order
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = ranks
+        some = place[tied]
+        at = at[tied]
         # Two ranks further on as well, if three fit in 63 bits.
-        key = rank
         steps = 2 if (n + 1) ** 3 < 1 << 63 else 1
+        key = rank[at]
         for step in range(1, steps + 1):
-            key = key * (n + 1)
-            key[: max(0, n - step * size)] += rank[step * size :]
+            on = at + step * size
+            key = key * (n + 1) + np.where(on < n, rank[np.minimum(on, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        key, order[some] = key[by], at[by]
         size *= steps + 1
 
 
@@ -133,22 +156,27 @@ def run_ends(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """Flags of n + 1 rows: the row shares fewer than ``length`` symbols with the row before.
 
     Symbol 0 separates and ends the pieces; strings with one are not extended, so flags are right after each row
-    that has no separator among its first ``length`` symbols.
+    that has no separator among its first ``length`` symbols. The first intervals are those of strings of 7 symbols,
+    but for those that end where shorter ones do: what extends them ends where extensions of the shorter ones do.
     """
-    n = len(symbols)
+    n, size = len(symbols), min(FIRST, length)
     last = symbols[order - 1]
     head = symbols[order]
     follow = np.empty(n, dtype=np.int64)
     follow[np.argsort(last, kind="stable")] = np.arange(n)  # the row of the suffix that begins one symbol before
-    ends = np.zeros(n + 1, dtype=bool)
-    ends[0] = ends[n] = True
-    lo = np.concatenate([[0], np.flatnonzero(np.diff(head.astype(np.int64))) + 1])
-    hi = np.append(lo[1:], n)
-    ends[hi] = True
-    keep = head[lo] != 0
-    lo, hi = lo[keep], hi[keep]
+    ends = np.ones(n + 1, dtype=bool)
+    key = packed(symbols, size)[order]
+    differ = key[1:] ^ key[:-1]
+    ends[1:n] = differ != 0
+    hi = np.flatnonzero((differ > 0) & (differ < 1 << 9)) + 1
+    edge = np.flatnonzero(ends)
+    lo = edge[np.searchsorted(edge, hi) - 1]
+    whole = np.ones(len(lo), dtype=bool)
+    for j in range(size):
+        whole &= (key[lo] >> 9 * j & 511) != 0
+    lo, hi = lo[whole], hi[whole]
     source = np.empty(n, dtype=np.int64)
-    for _ in range(1, length):
+    for _ in range(size, length):
         if not len(lo):
             break
         size = hi - lo
@@ -200,6 +228,21 @@ def least_by_window(pieces: np.ndarray, sizes: np.ndarray, least: np.ndarray, le
     return piece[first], lowest[first], np.bitwise_or.reduceat(bit, first).view(np.int64)
 
 
+def expanded(table: pa.Table, length: int = LENGTH) -> pa.Table:
+    """``_key, _piece, _lowest, _bits``: windows of pieces and the least id that has them, where it is less than the piece's ``_most``.
+
+    Other windows are nobody's repeats: all holders of the piece have ids of ``_least`` to ``_most``.
+    """
+    table = table.combine_chunks()
+    held = table.column("_piece").combine_chunks() if table.column("_piece").num_chunks != 1 else table.column("_piece").chunk(0)
+    ends = np.frombuffer(held.buffers()[1], dtype=np.int32)[held.offset : held.offset + len(held) + 1]
+    data = np.frombuffer(held.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
+    piece, lowest, bits = least_by_window(data, np.diff(ends).astype(np.int64), table.column("_least").to_numpy(), length)
+    used = lowest < table.column("_most").to_numpy()[piece]
+    of = pa.array(piece[used])
+    return pa.table([table.column("_key").take(of), held.take(of), pa.array(lowest[used]), pa.array(bits[used])], names=["_key", "_piece", "_lowest", "_bits"])
+
+
 def cover(text: bytes, starts: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> tuple[list[tuple[int, int]], bytes]:
     """Maximal runs of bytes that the windows cover (bit i of a row: the window at its start + i), and the bytes left."""
     row, bit = np.nonzero(np.unpackbits(windows.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
@@ -210,6 +253,23 @@ def cover(text: bytes, starts: np.ndarray, windows: np.ndarray, length: int = LE
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)), np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
 
 
+def key_filter(wanted: DataFrame, key: str) -> np.ndarray:
+    """A Bloom filter of ``FILTER_WORDS`` words, of keys whose low bits are a hash's."""
+    bits = F.array(*(F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)))
+    word, bit = F.col(key).bitwiseAND(F.lit(FILTER_WORDS - 1)), F.shiftright(F.col(key), FILTER_WORDS.bit_length() - 1).bitwiseAND(F.lit(63))
+    with cleaned(wanted.sparkSession):
+        words = wanted.groupBy(word.alias("_word")).agg(F.bit_or(F.element_at(bits, bit.cast("int") + 1)).alias("_bits")).toArrow()
+    out = np.zeros(FILTER_WORDS, dtype=np.int64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return out
+
+
+def in_filter(key: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """True for each key that is in the filter, and by chance for others."""
+    bit = key >> np.int64(len(words).bit_length() - 1) & np.int64(63)
+    return words[key & np.int64(len(words) - 1)] >> bit & np.int64(1) == 1
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET, pieces: int = PIECES, keep_bytes: bool = True) -> DataFrame:
     """``id, n_bytes, n_removed, spans, kept, kept_sha256``: one row for each row.
 
@@ -227,17 +287,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = rows.groupBy("_digest").agg(F.min("_rank").alias("_least"), F.first("_text").alias("_text"))
     texts = written(texts.withColumn("_class", F.monotonically_increasing_id()), "texts", codec="zstd")
 
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t, key, _, _ = pieces_of(b.column(1).to_pylist(), length, gram)
+            yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(pa.array(t))], names=["_key", "_least"])
+
+    long = texts.where(F.length("_text") >= length)
+    shared = long.select("_least", "_text").mapInArrow(keys, "_key long, _least long").groupBy("_key").agg(F.min("_least").alias("lo"), F.max("_least").alias("hi"))
+    shared = written(shared.where("lo < hi").select(F.col("_key").alias("_wanted")), "keys")
+    table = spark.sparkContext.broadcast(key_filter(shared, "_wanted"))  # of fixed size
+
     def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t, key, start, n = pieces_of(b.column(2).to_pylist(), length, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(key), b.column(1).take(pa.array(t)), b.column(0).take(pa.array(t)), pa.array(start * WINDOWS + n - 1)], names=["_key", "_least", "_class", "_place"])
+            t, key, start, n = pieces_of(b.column(1).to_pylist(), length, gram)
+            maybe = in_filter(key, table.value)
+            t, key, start, n = t[maybe], key[maybe], start[maybe], n[maybe]
+            yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(pa.array(t)), pa.array(start * WINDOWS + n - 1)], names=["_key", "_class", "_place"])
 
-    found = texts.where(F.length("_text") >= length).select("_class", "_least", "_text").mapInArrow(minimizers, "_key long, _least long, _class long, _place long")
-    shared = found.groupBy("_key").agg(F.min("_least").alias("lo"), F.max("_least").alias("hi")).where("lo < hi").select(F.col("_key").alias("_wanted"))
-    shared = written(shared, "keys")
-    maybe = flagged(found.drop("_least"), "_key", shared, "_wanted", "_maybe").where("_maybe")
+    maybe = long.select("_class", "_text").mapInArrow(minimizers, "_key long, _class long, _place long")
     places = maybe.join(shared, F.col("_key") == F.col("_wanted"), "left_semi").groupBy("_class").agg(F.collect_list(F.struct("_key", "_place")).alias("_at"))
     places = written(places, "places", codec="zstd")
+    table.destroy()
     forget(shared)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,30 +341,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = of(places).select("_class", "_least", "_text", "_at")
     where = written(placed.mapInArrow(cut, "_key long, _piece binary, _class long, _least long, _start long"), "pieces", codec="zstd")
     forget(places)
-    least = F.min("_least").alias("_least")
+    holders = F.min("_least").alias("_least"), F.max("_least").alias("_most")
     pieces_table = where
-    distinct = written(where.groupBy("_key", "_piece").agg(least), "distinct", codec="zstd")
+    distinct = written(where.groupBy("_key", "_piece").agg(*holders), "distinct", codec="zstd")
     hot = written(distinct.groupBy("_key").count().where(F.col("count") > pieces).select("_key"), "hot")
     dealt = distinct.withColumn("_by", F.col("_key"))
     if not hot.isEmpty():
         each = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("_piece") - length + 1), lambda i: F.substring("_piece", i, F.lit(length)))).alias("_i", "_w")
         windows = lambda df: df.join(hot, "_key", "left_semi").select("*", each).withColumn("_piece", F.col("_w")).drop("_w")
-        split = windows(distinct).groupBy("_key", "_piece").agg(least).withColumn("_by", F.xxhash64("_piece"))
+        split = windows(distinct).groupBy("_key", "_piece").agg(holders[0], F.max("_most").alias("_most")).withColumn("_by", F.xxhash64("_piece"))
         dealt = distinct.join(hot, "_key", "left_anti").withColumn("_by", F.col("_key")).unionByName(split)
         where = where.join(hot, "_key", "left_anti").unionByName(windows(where).withColumn("_start", F.col("_start") + F.col("_i")).drop("_i"))
     total = distinct.agg(F.sum(F.length("_piece") + 1)).first()[0] or 0
 
-    def expand(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        held = table.column("_piece").combine_chunks() if table.column("_piece").num_chunks != 1 else table.column("_piece").chunk(0)
-        ends = np.frombuffer(held.buffers()[1], dtype=np.int32)[held.offset : held.offset + len(held) + 1]
-        data = np.frombuffer(held.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
-        piece, lowest, bits = least_by_window(data, np.diff(ends).astype(np.int64), table.column("_least").to_numpy(), length)
-        of = pa.array(piece)
-        return pa.table([table.column("_key").take(of), held.take(of), pa.array(lowest), pa.array(bits)], names=["_key", "_piece", "_lowest", "_bits"])
-
     n_buckets = max(1, -(-total // bucket))
-    runs = dealt.groupBy(F.pmod(F.xxhash64("_by"), F.lit(n_buckets)).alias("_bucket")).applyInArrow(expand, "_key long, _piece binary, _lowest long, _bits long")
+    runs = dealt.groupBy(F.pmod(F.xxhash64("_by"), F.lit(n_buckets)).alias("_bucket")).applyInArrow(lambda table: expanded(table, length), "_key long, _piece binary, _lowest long, _bits long")
     runs = written(runs, "runs", codec="zstd")
     forget(distinct)
     hits = where.join(runs, ["_key", "_piece"]).where("_lowest < _least").groupBy("_class").agg(F.collect_list(F.struct("_start", "_bits")).alias("_hits"))

@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from coppice.llm import hard_negatives as H
@@ -60,6 +61,20 @@ def test_transform_finds_least_ids(length):
         assert got == want
 
 
+def test_transform_returns_only_windows_that_a_holder_loses():
+    lone, copied, inside = bytes(range(60)), bytes(range(60, 120)), bytes(range(70, 125))
+    table = pa.table({"_key": [1, 2, 3], "_piece": pa.array([lone, copied, inside], type=pa.binary()), "_least": [5, 4, 6], "_most": [5, 9, 6]})
+    # The lone piece's windows are nobody's repeats; the copied one's go from document 9, one of them from 6 as well.
+    assert S.expanded(table).to_pylist() == [{"_key": 2, "_piece": copied, "_lowest": 4, "_bits": (1 << 11) - 1}, {"_key": 3, "_piece": inside, "_lowest": 4, "_bits": 1}]
+
+
+def test_minimizers_that_no_other_document_has_stay_in_their_task(spark):
+    keys = np.array([random.Random(i).randrange(-(1 << 63), 1 << 63) for i in range(3000)])
+    words = S.key_filter(spark.createDataFrame([(int(k),) for k in keys[:1000]], "k long"), "k")
+    assert len(words) == S.FILTER_WORDS and S.in_filter(keys[:1000], words).all() and S.in_filter(keys[1000:], words).sum() < 10
+    assert not S.in_filter(keys, S.key_filter(spark.createDataFrame([], "k long"), "k")).any()
+
+
 def test_each_window_lies_in_one_piece(monkeypatch):
     rng = random.Random(5)
     texts = [b"", b"a" * 49, b"a" * 50, b"a" * 1000, bytes(rng.randrange(256) for _ in range(3000)), b"ab" * 400]
