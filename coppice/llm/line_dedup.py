@@ -96,7 +96,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     few = flagged(rows, "_doc", wanted, "_at", "_maybe").where("_maybe")
     sets = few.join(wanted, F.col("_doc") == F.col("_at")).select("_doc", "_text", "_want").mapInArrow(expand, "_comp long, _k int, _item long, _doc long, _line long, _set array<long>")
-    gone = written(S.verified(sets, S.repeated_later(num, den), ["_doc", "_line"]).select("_left").distinct(), "repeated")
+    gone = written(S.verified(sets, S.repeated_later(num, den), ["_doc", "_line"], S.repeated_pairs(num, den)).select("_left").distinct(), "repeated")
     forget(comps, members, wanted)
     tune(spark)
     # Lines can only go if their class occurs again or has an earlier like.

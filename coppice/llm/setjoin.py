@@ -38,6 +38,8 @@ CELLS = 1 << 16
 BROADCAST_KEYS = 100_000
 #: Set elements, and sets, to a block of a component.
 ELEMENTS, MEMBERS = 1 << 19, 1024
+#: Sets of a component up to which its pairs are compared together with those of others.
+SMALL = 8
 #: Cells to a piece of a table of word counts.
 COUNTS = 1 << 12
 #: Pairs compared at once.
@@ -67,17 +69,21 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9,
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """A finaliser: every bit of the result depends on every bit of h."""
-    h = (h ^ (h >> np.uint64(30))) * _M2
-    h = (h ^ (h >> np.uint64(27))) * _M3
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= _M2
+    h ^= h >> np.uint64(27)
+    h *= _M3
+    h ^= h >> np.uint64(31)
+    return h
 
 
 #: Bytes hashed at once, and to a word that is not hashed on its own.
-PIECE, LONG = 1 << 19, 64
+PIECE, LONG = 1 << 16, 64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _M1)
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_BYTE[_SPACE] = 0
 _STEP = 0xD1342543DE82EF95
 _POWER, _INVERSE = (np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.uint64), np.full(PIECE, x, dtype=np.uint64)])) for x in (_STEP, pow(_STEP, -1, 1 << 64)))
 
@@ -91,7 +97,7 @@ def words_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hashes, starts, lo = [], [], 0
     while lo < len(data):
         hi = min(len(data), lo + PIECE)
-        space = _SPACE[data[lo:hi]]
+        space = (data[lo:hi] == 0x20) | (data[lo:hi] - np.uint8(0x09) < 5)
         if hi < len(data):
             ends = np.flatnonzero(space)
             if not len(ends):  # a word longer than a piece
@@ -102,7 +108,9 @@ def words_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 continue
             hi = lo + int(ends[-1]) + 1
             space = space[: hi - lo]
-        total = np.cumsum(np.where(space, np.uint64(0), _BYTE[data[lo:hi]]) * _POWER[: hi - lo])
+        total = _BYTE.take(data[lo:hi])
+        total *= _POWER[: hi - lo]
+        np.cumsum(total, out=total)
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if not space[0]:
             edge = np.concatenate([[0], edge])
@@ -505,11 +513,42 @@ class Overlaps:
         return ok
 
 
-def verified(sets: DataFrame, compare: Callable[[dict, Overlaps], tuple[list, list]], columns: list[str]) -> DataFrame:
+def similar_pairs(values: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets i and j are similar, for many pairs at once. values: the sets' elements, set after set."""
+    out = np.zeros(len(i), dtype=bool)
+    _, ids = np.unique(values, return_inverse=True)
+    n, wide = np.diff(offsets), np.int64(len(values) + 1)
+    upto = np.cumsum(n[i] + n[j])
+    lo = 0
+    while lo < len(i):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, side="right")))
+        two = np.stack([i[lo:hi], j[lo:hi]], axis=1).ravel()
+        size = n[two]
+        at = np.arange(size.sum()) + np.repeat(offsets[two] - starts_of(size), size)
+        key = np.repeat(np.arange(len(two)) // 2, size) * wide + ids[at]
+        key.sort()
+        shared = np.bincount(key[1:][key[1:] == key[:-1]] // wide, minlength=hi - lo)
+        out[lo:hi] = shared * den >= num * (n[i[lo:hi]] + n[j[lo:hi]] - shared)
+        lo = hi
+    return out
+
+
+def pairs_of_runs(start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of rows of runs of ``SMALL`` rows or fewer."""
+    size = np.diff(start)
+    own = np.repeat(np.arange(len(size)), size)
+    n = np.where(size[own] <= SMALL, start[1:][own] - np.arange(len(own)) - 1, 0)
+    i = np.repeat(np.arange(len(own)), n)
+    return i, np.arange(len(i)) - np.repeat(starts_of(n), n) + i + 1
+
+
+def verified(sets: DataFrame, compare: Callable[[dict, Overlaps], tuple[list, list]], columns: list[str], pairs: Callable[[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
     """``_left, _right`` (long) that ``compare`` returns for each component or pair of its blocks.
 
     sets: ``_comp, _k, _item, _set`` (array of long) and ``columns`` (long), one row for each item. compare gets
     the columns as arrays (also ``_item``, and ``_side``: 0 and 1 where two blocks meet, else 0) and the overlaps.
+    ``pairs``, if given, answers for all components of ``SMALL`` items or fewer at once: it gets the columns, the sets'
+    elements and their bounds, and the pairs of rows.
     """
     spark = sets.sparkSession
     dealt = sets.withColumn("_b", F.pmod(F.xxhash64("_item"), F.col("_k")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
@@ -521,8 +560,13 @@ def verified(sets: DataFrame, compare: Callable[[dict, Overlaps], tuple[list, li
             sets_ = t.column("_set").chunk(0) if t.num_rows else None
             c = {k: t.column(k).to_numpy() for k in ("_item", "_b", "_lo", "_hi", *columns)}
             left, right = [], []
+            if pairs:
+                values, offsets = sets_.flatten().to_numpy(), sets_.offsets.to_numpy().astype(np.int64)
+                x, y = pairs(c | {"_side": (c["_b"] != c["_lo"]).astype(int)}, values, offsets - offsets[0], *pairs_of_runs(start))
+                left += x.tolist()
+                right += y.tolist()
             for a, b in zip(start[:-1], start[1:], strict=True):
-                if b - a < 2:
+                if b - a < 2 or pairs and b - a <= SMALL:
                     continue
                 part = sets_.slice(a, b - a)
                 values, offsets = part.flatten().to_numpy(), part.offsets.to_numpy()
@@ -586,3 +630,19 @@ def repeated_later(num: int, den: int) -> Callable[[dict, Overlaps], tuple[list,
         return out, out
 
     return later
+
+
+def repeated_pairs(num: int, den: int) -> Callable[[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """What ``repeated_later`` finds, for ``verified`` as ``pairs``."""
+
+    def later(c: dict, values: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # Where a component is split, the rows of one block alone meet elsewhere.
+        ok = (c["_item"][i] != c["_item"][j]) & ((c["_side"][i] != c["_side"][j]) | (c["_lo"][i] == c["_hi"][i]))
+        i, j = i[ok], j[ok]
+        ok = similar_pairs(values, offsets, i, j, num, den)
+        i, j = i[ok], j[ok]
+        doc, line = c["_doc"], c["_line"]
+        out = c["_item"][np.unique(np.where((doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j])), i, j))]
+        return out, out
+
+    return later

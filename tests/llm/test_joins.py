@@ -226,3 +226,25 @@ def test_large_documents_that_share_a_passage_are_no_candidates(spark, monkeypat
     rows = similar_documents(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
     assert {r.doc_id: r.component_id for r in rows} == {i: 25 if i == len(texts) - 1 else i for i in range(len(texts))}
     assert found[0].count() == 2
+
+
+def test_small_components_are_compared_together(monkeypatch):
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        sizes = rng.integers(1, S.SMALL + 3, 12)
+        comp = np.repeat(np.arange(12), sizes)
+        start = np.concatenate([[0], np.cumsum(sizes)])
+        n = int(sizes.sum())
+        sets = [np.array(sorted(rng.choice(12, rng.integers(1, 12), replace=False)), dtype=np.int64) for _ in range(n)]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        split = rng.integers(0, 2, 12)[comp]  # of these components, two blocks meet
+        c = {"_item": rng.permutation(n) - rng.integers(0, 2) * 5, "_doc": rng.integers(0, 4, n), "_line": rng.integers(0, 3, n), "_side": rng.integers(0, 2, n) * split, "_lo": np.zeros(n, dtype=int), "_hi": split}
+        want = set()
+        for a, b in zip(start[:-1], start[1:], strict=True):
+            part = {k: v[a:b] for k, v in c.items()}
+            if b - a <= S.SMALL and (not split[a] or part["_side"].any()):
+                want |= set(S.repeated_later(80, 100)(part, S.Overlaps(np.concatenate(sets[a:b]), offsets[a : b + 1] - offsets[a]))[0])
+        for most in (S.PAIRS, 5):
+            monkeypatch.setattr(S, "PAIRS", most)
+            got = S.repeated_pairs(80, 100)(c, np.concatenate(sets), offsets, *S.pairs_of_runs(start))[0]
+            assert set(got.tolist()) == want
